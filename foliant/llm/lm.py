@@ -32,7 +32,7 @@ from .ragged import blocks, row_sums, texts_of
 from .store import partitions, written
 
 SPACE = re.compile(rb"[ \t-\r]+")
-CHUNK = 24_000_000  # characters of a chunk at the most, or one text
+CHUNK = 10_000_000  # characters of a chunk at the most, or one text
 END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # no words
 MU, ADD, STEP, MISSING = 2.0, 0.1, 25.0, 255
 U = np.uint64
