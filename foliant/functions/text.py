@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .helpers import casefold as _casefold
@@ -19,6 +19,12 @@ PLACEHOLDER = (
 ENGLISH = r"(?U)\b[A-Za-z][A-Za-z'’-]*(?:\s+[A-Za-z][A-Za-z'’-]*){4,}\b"
 
 
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """``frame`` with a column that is worked out once a row, however often later columns use it: a generator of one
+    row stands between them, and the optimizer doesn't copy expressions through it."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space alone."""
     return F.coalesce(~c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))

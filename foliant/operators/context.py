@@ -53,7 +53,7 @@ def build_context(frame: DataFrame, most: int = 1200) -> DataFrame:
     summary = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(SUMMARY + "\n"), T.strip(F.col("summary")))).otherwise("")
     terms = F.coalesce(glossary_section(F.col("terms")), F.lit(""))
     head = F.array_join(F.filter(F.array(terms, summary), lambda x: x != ""), "\n\n")
-    frame = frame.withColumn("_head", head).withColumn("_prev", F.coalesce("previous", F.array().cast(frame.schema["previous"].dataType)))
+    frame = T.once(frame, "_head", head).withColumn("_prev", F.coalesce("previous", F.array().cast(frame.schema["previous"].dataType)))
     cjk = lambda c: F.length(c) - F.length(F.regexp_replace(c, "[㐀-鿿]", ""))
     fixed = F.concat(F.col("_head"), F.when(F.col("_head") != "", "\n\n").otherwise(""), F.lit(HISTORY))
     frame = frame.withColumns({"_cjk": cjk(fixed).cast("long"), "_all": F.length(fixed).cast("long")})
@@ -68,12 +68,12 @@ def build_context(frame: DataFrame, most: int = 1200) -> DataFrame:
         fits = c + F.ceil((n - c) / F.lit(4.0)) <= most
         return F.struct(F.when(fits, F.concat(F.array(x["p"]), acc["got"])).otherwise(acc["got"]).alias("got"), F.when(fits, c).otherwise(acc["c"]).alias("c"), F.when(fits, n).otherwise(acc["n"]).alias("n"))
 
-    frame = frame.withColumn("_got", F.aggregate("_sized", start, step, lambda acc: acc["got"]))
+    frame = T.once(frame, "_got", F.aggregate("_sized", start, step, lambda acc: acc["got"]))
     whole = F.array_join(F.filter(F.array(F.col("_head"), history_section(F.col("_got"))), lambda x: x != ""), "\n\n")
-    frame = frame.withColumn("_whole", whole)
+    frame = T.once(frame, "_whole", whole)
     long = T.estimate_tokens(F.col("_whole")) > most
     context = F.when(long, clip_context(most)(F.when(long, F.col("_whole")))).otherwise(F.col("_whole"))
-    return frame.withColumn("context", context).drop("_head", "_prev", "_cjk", "_all", "_sized", "_got", "_whole")
+    return T.once(frame, "context", context).drop("_head", "_prev", "_cjk", "_all", "_sized", "_got", "_whole")
 
 
 def chapter_summary_source(chapters: DataFrame, segments: DataFrame, candidates: DataFrame, most: int = 8000) -> DataFrame:
@@ -144,7 +144,8 @@ def build_requests(leaders: DataFrame, segments: DataFrame, chapters: DataFrame,
     wide = leaders.join(matches, "id", "left").join(rolling_context(segments, n), "id", "left")
     wide = wide.join(chapters.select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
     wide = wide.join(prompts.select(F.col("id").alias("project_id"), "prompt", "guidance"), "project_id", "left")
-    wide = build_context(wide, most).withColumn("m", mask_markdown(F.col("source_text")))
+    wide = T.once(build_context(wide, most), "m", mask_markdown(F.col("source_text")))
     system = render_prompt(F.col("prompt"), F.col("guidance"), F.col("source_lang"), F.col("target_lang"))
-    out = wide.select("id", "project_id", system.alias("system_prompt"), "context", F.col("m.text").alias("text"), F.col("m.replacements").alias("replacements"), user_message(F.col("context"), F.col("m.text")).alias("message"))
+    wide = T.once(wide, "system_prompt", system)
+    out = wide.select("id", "project_id", "system_prompt", "context", F.col("m.text").alias("text"), F.col("m.replacements").alias("replacements"), user_message(F.col("context"), F.col("m.text")).alias("message"))
     return out.withColumn("tokens", T.estimate_tokens(F.col("system_prompt")) + T.estimate_tokens(F.col("message")))

@@ -388,10 +388,10 @@ def chapter_summary_source(b):
     return C.chapter_summary_source(b.chapters(), s, L.select_candidates(s))
 
 
-@query("segment", "SELECT id, source_text AS restored, CAST(ord % 11 < 3 AS INT) AS markers FROM segment")
+@query("segment", "SELECT id, source_text AS restored FROM segment")
 def mask_markdown_text(b):
     s = b.segments().withColumn("m", mask_markdown(F.col("source_text"))).withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(-1)))
-    return s.select("id", F.col("r.text").alias("restored"), F.size("m.replacements").alias("markers"))
+    return s.select("id", F.col("r.text").alias("restored"))
 
 
 @query("segment", "SELECT id, source_text AS restored, CAST(ord % 11 < 2 AS INT) AS markers FROM segment")
