@@ -18,9 +18,9 @@ their pieces. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +31,46 @@ from .ragged import Memo, blocks, row_sums, spans, texts_of
 from .store import partitions, written
 
 WINDOW, CLOSING = 4096, 2
-#: White space that the tokenizer drops between words; other white space stays inside a "word" and is left to it.
-BREAK = re.compile(r"[ \n\t\r]+")
+#: Stands between words that are tokenized together; words that hold it are tokenized alone.
+FENCE = "\x01"
 
 
+@lru_cache(maxsize=1)
 def word_tokens(path: str) -> Memo:
     """Token ids of single words. The tokenizer drops white space and never merges across it, so a text's ids are
-    its words' ids in a row."""
+    its words' ids in a row. The memo outlives a task: Spark uses a Python worker again for the next one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Memo(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], np.uint16)
+    encode = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    (fence,) = encode(FENCE)
+
+    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = [], []
+        for a in range(0, len(words), 4000):
+            some = words[a : a + 4000]
+            alone = {k: encode(w) for k, w in enumerate(some) if FENCE in w}
+            text = f" {FENCE} ".join(["" if k in alone else w for k, w in enumerate(some)])
+            ids = np.array(encode(text), np.uint16)
+            stops = np.flatnonzero(ids == fence)
+            rows = np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1
+            ids = np.delete(ids, stops)
+            for k, own in alone.items():
+                ids = np.insert(ids, int(rows[:k].sum()), own)
+                rows[k] = len(own)
+            parts.append(ids)
+            sizes.append(rows)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    return Memo(make, np.uint16, 1_000_000)
 
 
 def token_ids(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids in a row, each text's with the closing id, and how many each has."""
-    words = [BREAK.split(t) for t in texts]
+    # line ends and spaces are dropped by the tokenizer; other white space stays inside a "word" and is left to it
+    words = [t.replace("\n", " ").split(" ") for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     numbers = memo.numbers([x for w in words for x in w])
     lengths = memo.lengths[numbers]

@@ -45,10 +45,11 @@ def row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """Number of each distinct word, with the ragged integers that ``make`` gives for it. A word is worked out
-    once; the memo is emptied between batches when it holds ``most`` words, so its memory is bounded."""
+    """Number of each distinct word, with the ragged integers that ``make`` gives for it: for a list of words either a
+    row each, or all rows in one array and their lengths. A word is worked out once; the memo is emptied between
+    batches when it holds ``most`` words, so its memory is bounded."""
 
-    def __init__(self, make: Callable[[list[str]], list[Sequence[int]]], dtype, most: int = 400_000):
+    def __init__(self, make: Callable, dtype, most: int = 400_000):
         super().__init__()
         self.make, self.dtype, self.most = make, dtype, most
         self.reset()
@@ -58,25 +59,40 @@ class Memo(dict):
         self.flat = np.zeros(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.known = 0
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words' numbers; new words are worked out together."""
-        fresh = list(set(words).difference(self))
-        if fresh:
-            rows = self.make(fresh)
-            n, total = len(self), sum(map(len, rows))
-            while n + len(rows) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            try:
+                self._add(self.make(self.fresh))
+            except BaseException:
+                self.reset()
+                raise
+        return out
+
+    def _add(self, rows) -> None:
+        if isinstance(rows, tuple):
+            flat, sizes = rows
+        else:
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            self.lengths[n : n + len(rows)] = sizes
-            self.starts[n : n + len(rows)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + total] = np.fromiter((x for row in rows for x in row), self.dtype, total)
-            self.used += total
-            self.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            flat = np.fromiter((x for row in rows for x in row), self.dtype, int(sizes.sum()))
+        a, b = self.known, self.known + len(sizes)
+        while b > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.lengths[a:b] = sizes
+        self.starts[a:b] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used, self.known, self.fresh = self.used + len(flat), b, []
 
     def trim(self) -> None:
         if len(self) > self.most:

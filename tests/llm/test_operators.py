@@ -403,6 +403,18 @@ def test_packing(which, request):
         assert (d, joined) in want and all(p[2] == len(joined) for p in by_doc[d])
 
 
+def test_word_tokens_around_the_fence():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    texts = ["a \x01 b\x01c", "\x01\x01", "<|endoftext|> x", "Tab\there\x1cthere", "a\u00a0b  c\n\nd", "", "İstanbul ΣΑΣ don't 12 ½ é"]
+    ids, sizes = packing.token_ids(texts, packing.word_tokens(path))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+
+
 def test_packing_follows_the_mixture(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     got = packing.pack(df, tokenizer_file("word_bpe_49k.json")).join(df.select("doc_id", "source"), "doc_id").collect()
