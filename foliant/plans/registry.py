@@ -748,8 +748,8 @@ def stream_progress(b):
     return _streamed(b, ST.stream_progress, "complete")
 
 
-@query("", """WITH e AS (SELECT user_id AS segment_id, event_id AS id, event_id % 6 AS k FROM events), r AS (SELECT segment_id, max(id) FILTER (k IN (4, 5)) AS at, max(id) AS last FROM e GROUP BY 1)
-  SELECT e.segment_id, any_value(last) AS last_id, CASE WHEN any_value(at) % 6 = 5 THEN 'T' || any_value(at) ELSE '' END || coalesce(string_agg('d' || id, '' ORDER BY id) FILTER (k IN (0, 1) AND id > coalesce(at, -1)), '') AS text FROM e JOIN r USING (segment_id) GROUP BY 1""")
+@query("", """WITH e AS (SELECT user_id AS segment_id, event_id AS id, event_id % 6 AS k FROM events), r AS (SELECT segment_id, max(id) FILTER (k IN (4, 5)) AS cut, max(id) AS last FROM e GROUP BY 1)
+  SELECT e.segment_id, any_value(last) AS last_id, CASE WHEN any_value(cut) % 6 = 5 THEN 'T' || any_value(cut) ELSE '' END || coalesce(string_agg('d' || id, '' ORDER BY id) FILTER (k IN (0, 1) AND id > coalesce(cut, -1)), '') AS text FROM e JOIN r USING (segment_id) GROUP BY 1""")
 def stream_segment_text(b):
     out = _streamed(b, ST.stream_segment_text, "update")
     return out.groupBy("segment_id").agg(F.max_by(F.struct("last_id", "text"), "last_id").alias("m")).select("segment_id", "m.last_id", "m.text")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FOLDED = "project_id long, segment_id long, text string, status string, last_id long"
 STATE = "text string, status string, last_id long"
+IDLE_MS = 86_400_000
 
 
 def stream_dedup(events: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -52,10 +53,13 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             state.remove()
     else:
         state.update((text, status, int(last)))
-        state.setTimeoutDuration(3_600_000)
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"project_id": [key[0]], "segment_id": [key[1]], "text": [text], "status": [status], "last_id": [int(last)]})
 
 
-def stream_segment_text(events: DataFrame) -> DataFrame:
-    """Each segment's text so far; state goes an hour after a segment's last event, or with its project."""
-    return events.groupBy("project_id", "segment_id").applyInPandasWithState(_step, FOLDED, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def stream_segment_text(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Each segment's text so far; state goes, by event time, a day after a segment's last event, or with its project.
+    A timeout by the clock would keep a stream that ends with its data from ending."""
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("project_id", "segment_id").applyInPandasWithState(_step, FOLDED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
