@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -34,9 +35,10 @@ SQL: dict[str, str] = {}
 
 def query(tables: str = "", sql: str = ""):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Base(spark, sf_dir))
+        name = f.__name__.removesuffix("_query")
+        QUERIES[name] = lambda spark, sf_dir: f(Base(spark, sf_dir))
         if sql:
-            SQL[f.__name__] = with_tables(tables, sql) if tables else sql
+            SQL[name] = with_tables(tables, sql) if tables else sql
         return f
 
     return add
@@ -389,19 +391,19 @@ def chapter_summary_source(b):
 
 
 @query("segment", "SELECT id, source_text AS restored FROM segment")
-def mask_markdown_text(b):
+def mask_markdown_query(b):
     s = b.segments().withColumn("m", mask_markdown(F.col("source_text"))).withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(-1)))
     return s.select("id", F.col("r.text").alias("restored"))
 
 
 @query("segment", "SELECT id, source_text AS restored, CAST(ord % 11 < 2 AS INT) AS markers FROM segment")
-def mask_plain_text(b):
+def mask_plain_query(b):
     s = b.segments().withColumn("m", mask_plain(F.col("source_text"))).withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(-1)))
     return s.select("id", F.col("r.text").alias("restored"), F.size("m.replacements").alias("markers"))
 
 
 @query("segment", "SELECT id, source_text AS restored, length(source_text) >= 10 AS has_slots, CASE WHEN ord % 3 = 0 THEN 'error' END AS damaged FROM segment WHERE length(source_text) >= 10")
-def restore_markers_text(b):
+def restore_markers_query(b):
     slots = F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end")), F.struct(F.lit(4).alias("start"), F.length("source_text").alias("end")))
     s = b.segments().where(F.length("source_text") >= 10).withColumn("m", mask_slots(F.col("source_text"), slots))
     s = s.withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(2))).withColumn("bad", restore_markers(F.when(F.col("ord") % 3 == 0, F.substring("m.text", 14, 100000)).otherwise(F.col("m.text")), F.col("m.replacements"), F.lit(2)))
@@ -685,6 +687,15 @@ def read_epub(b):
     return D.read_epub(_archives(b).where("book % 10 <> 9")).select("path", "spine_ord", "html")
 
 
+@query("segment", "SELECT project_id, count(*) AS rows, CAST(sum(length(source_text)) AS BIGINT) AS chars FROM segment GROUP BY 1")
+def write_ledger(b):
+    """The ledger written by buckets of projects and read again."""
+    root = b.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-")
+    path = f"{root}/ledger-{uuid.uuid4().hex}"
+    D.write_ledger(b.segments(), path, 8)
+    return D.read_ledger(b.spark, path).groupBy("project_id").agg(F.count("*").alias("rows"), F.sum(F.length("source_text")).alias("chars"))
+
+
 # --- logs and streams -----------------------------------------------------------------------------------------------------------
 
 
