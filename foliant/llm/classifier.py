@@ -92,12 +92,11 @@ class Machine:
         return self.bias + first + 0.5 * (total * total - squares).sum(1), total
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5) -> Machine:
-    """Adagrad over small batches of the sample, on the logistic loss."""
-    dtype = np.float32
-    index, values, sizes, stats = features(texts, words_to_buckets())
-    scale = stats.std(0) if len(texts) else np.ones(STATS)
-    m = Machine(0.0, np.zeros(BUCKETS + STATS, dtype), np.random.default_rng(7).normal(0, 0.02, (BUCKETS + STATS, RANK)).astype(dtype), stats.mean(0) if len(texts) else np.zeros(STATS), np.where(scale > 1e-6, scale, 1.0))
+def fit(index: np.ndarray, values: np.ndarray, sizes: np.ndarray, stats: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5) -> Machine:
+    """Adagrad over small batches of the sample's ``features``, on the logistic loss."""
+    dtype, rows_ = np.float32, len(sizes)
+    scale = stats.std(0) if rows_ else np.ones(STATS)
+    m = Machine(0.0, np.zeros(BUCKETS + STATS, dtype), np.random.default_rng(7).normal(0, 0.02, (BUCKETS + STATS, RANK)).astype(dtype), stats.mean(0) if rows_ else np.zeros(STATS), np.where(scale > 1e-6, scale, 1.0))
     if len(set(labels.tolist())) < 2:
         m.factors[:] = 0
         return m
@@ -106,7 +105,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0.
     seen_w, seen_v = np.full(len(m.linear), 1e-2, dtype), np.full(m.factors.shape, 1e-2, dtype)
     rng = np.random.default_rng(11)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(rows_)
         for at in range(0, len(order), 128):
             rows = order[at : at + 128]
             n = sizes[rows]
@@ -136,17 +135,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = words_to_buckets()
+    for batch in batches:
+        texts = texts_of(batch, "text")
+        for a, b in blocks([len(t) for t in texts], 1 << 21):
+            index, values, sizes, stats = features(texts[a:b], memo)
+            ends = np.cumsum(sizes).tolist()
+            cut = lambda x: pa.array([x[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cut(index.astype("<i4")), cut(values.astype("<f4")), pa.array([r.tobytes() for r in stats.astype("<f4")], pa.binary())], ["id", "y", "index", "value", "stats"])
+            memo.trim()
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows that aren't held out; the bound keeps the fit on the driver small.
-    The join moves ids of the sample, not texts: they are few enough to be sent to every reader of texts."""
+    """Fit on at most ``sample`` labelled rows that aren't held out. Their features are made by tasks; the driver gets
+    the sparse rows, some kilobytes each, and no texts. The join moves ids of the sample, not texts: they are few
+    enough to be sent to every reader of texts."""
     marked = labels.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     known = docs.select(F.col(doc_id).alias("id")).where(F.col("id").isNotNull()).distinct()
     marked = marked.groupBy("id").agg(F.min("y").alias("y")).join(known, "id", "left_semi")
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["id"])
-    return fit([r["text"] for r in rows], np.array([float(r["y"] > 0) for r in rows]))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(_sample_features, f"id {rows.schema['id'].dataType.simpleString()}, y int, index binary, value binary, stats binary").toArrow().sort_by("id")
+    whole = lambda c, kind: np.frombuffer(b"".join(found[c].to_pylist()), kind)
+    sizes = np.array([len(x) // 4 for x in found["index"].to_pylist()], np.int64)
+    return fit(whole("index", "<i4"), whole("value", "<f4"), sizes, whole("stats", "<f4").reshape(-1, STATS), (found["y"].to_numpy() > 0).astype(float))
 
 
 def _scored(docs: DataFrame, machine: Machine, out: str) -> DataFrame:

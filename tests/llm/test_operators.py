@@ -511,7 +511,8 @@ def test_classifier_awkward(spark, awkward, empty):
 
 def test_machine_pairs_match_the_double_sum():
     rng = np.random.default_rng(8)
-    m = classifier.fit(["good words here", "BAD!! BAD!!", "fine text", "#### ####"] * 8, np.array([1.0, 0, 1, 0] * 8), epochs=3)
+    rows = classifier.features(["good words here", "BAD!! BAD!!", "fine text", "#### ####"] * 8, classifier.words_to_buckets())
+    m = classifier.fit(*rows, np.array([1.0, 0, 1, 0] * 8), epochs=3)
     index, values, sizes, stats = classifier.features(["good BAD!! words", ""], classifier.words_to_buckets())
     dense = m.dense(stats)
     got, _ = m.margins(index, values, sizes, dense)
