@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import classifier, neardup, packing, rules
+from foliant.llm import classifier, packing, rules, similar
 from foliant.llm.queries import tokenizer_file
 from foliant.llm.store import folder
 
@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, the one with the smallest doc_id; shingles are of five words."""
-    return neardup.keep_first(docs)
+    """One document of each class of texts whose sets of five-word shingles are alike by 0.8 or more, the one with the
+    smallest doc_id."""
+    return similar.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,23 +38,28 @@ SPACE = re.compile(rb"[ \t-\r]+")
 SEED = 42
 
 
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """The XXH64 hashes of a text's word shingles in order; none for a blank text."""
+    words = b" ".join([w for w in SPACE.split(text.encode().lower()) if w])
+    if not words:
+        return []
+    digest, gaps = xxhash.xxh64_intdigest, np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+    m = max(1, len(gaps) + 2 - shingle)
+    starts = [0, *(gaps[: m - 1] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(words)]
+    return [digest(words[s:e], SEED) for s, e in zip(starts, ends, strict=True)]
+
+
 def simhash(texts: list[str], shingle: int) -> np.ndarray:
     """Fingerprints as unsigned 64-bit integers, the first bit the highest."""
     out = np.zeros(len(texts), np.uint64)
-    digest = xxhash.xxh64_intdigest
     for a, b in blocks([len(t) for t in texts], 1 << 20):
         hashes: list[int] = []
         sizes = np.zeros(b - a, np.int64)
         for k in range(a, b):
-            words = b" ".join([w for w in SPACE.split(texts[k].encode().lower()) if w])
-            if not words:
-                continue
-            gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
-            m = max(1, len(gaps) + 2 - shingle)
-            starts = [0, *(gaps[: m - 1] + 1).tolist()]
-            ends = [*gaps[shingle - 1 :].tolist(), len(words)]
-            hashes += [digest(words[s:e], SEED) for s, e in zip(starts, ends, strict=True)]
-            sizes[k - a] = m
+            found = shingle_hashes(texts[k], shingle)
+            hashes += found
+            sizes[k - a] = len(found)
         full = np.flatnonzero(sizes)
         if not len(full):
             continue
@@ -69,6 +74,14 @@ def simhash(texts: list[str], shingle: int) -> np.ndarray:
     return out
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of one text's shingle hashes as a signed integer."""
+    if not len(hashes):
+        return 0
+    ones = _bit_sums(hashes.astype(">u8"), np.zeros(1, np.int64))
+    return int(np.packbits(ones * 2 > len(hashes), axis=1).view(">i8")[0, 0])
+
+
 def _bit_sums(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """(rows, 64): in how many hashes of a row each bit is set; long rows are unpacked bit by byte."""
     raw = h.view(np.uint8).reshape(-1, 8)
@@ -300,7 +313,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """One row of each class stays, that of the smallest doc_id, with the columns of ``docs``. Rows that repeat a
     doc_id are one document and the copy with the least text stays."""
-    found = near_duplicates(docs, doc_id, text, shingle, radius)
+    return keep_least(docs, near_duplicates(docs, doc_id, text, shingle, radius), doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id that ``found`` gives it."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     twice = docs.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept"))
     rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")

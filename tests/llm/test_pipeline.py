@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from foliant.llm import neardup
+from foliant.llm import neardup, similar
 from tests.llm.test_operators import slow_classes, slow_simhash
 
 
@@ -46,3 +46,62 @@ def test_packing_has_every_token_once(stages):
     assert set(tokens) == {r["doc_id"] for r in stages[2].collect()}
     assert sum(r["length"] for r in pieces) == sum(tokens.values())
     assert max(r["sequence_id"] for r in pieces) + 1 == -(-sum(tokens.values()) // 4096)
+
+
+def shingle_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def slow_similar(rows):
+    """component_id of each (doc_id, text) by comparing all pairs of shingle sets."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or 9 * both >= 4 * (len(a) + len(sets[j])) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(d, least.get(find(k), d))
+    return {d: least[find(k)] for k, (d, _) in enumerate(rows)}
+
+
+def test_near_dedup_takes_similar_texts(spark, tiny):
+    """Long texts with a few words changed lie more than four bits apart, yet are similar by 0.8 or more."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        rows.append((10 * k, " ".join(words)))
+        for n in range(1, 4):
+            for at in rng.choice(len(words), n, False):
+                words[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((10 * k + n, " ".join(words)))
+    rows += [(1000 + k, t) for k, t in enumerate(["", " ", "Two words", "two  words", "a b c d e f"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(docs).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, tiny).collect()}
+    assert kept == {d for d, c in want.items() if d == c}
+    assert len(neardup.keep_first(docs).collect()) > len(kept)
+
+
+def test_similar_texts_of_the_small_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar(docs).collect()} == slow_similar([tuple(r) for r in docs.collect()])
+
+
+def test_dealt_groups(spark, monkeypatch):
+    monkeypatch.setattr(similar, "NODES", 3)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([*words[:90], *[f"y{k}"] * 6])) for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_similar(rows) and set(got.values()) == {0}
