@@ -731,17 +731,37 @@ def event_history(b):
     return LG.event_history(b.logs(), 5000).select("id", "project_id")
 
 
+def _shared(b, name: str) -> str:
+    """A new folder's path where the driver and all executors see it."""
+    root = b.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(b, transform, mode: str) -> DataFrame:
-    """All events through a stream that ends with the data."""
+    """All events through a stream that ends with the data. Its rows and its state go to the shared folder."""
     source = Base(b.spark, b.dir)
-    folder = _is_folder(b, "events")
-    glob, path = ("*.parquet", f"{b.dir}/events.parquet") if folder else ("events.parquet", b.dir)
+    parts = _is_folder(b, "events")
+    glob, path = ("*.parquet", f"{b.dir}/events.parquet") if parts else ("events.parquet", b.dir)
     schema = b.table("events").schema
     source.table = lambda _: b.spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
-    name = f"stream_{uuid.uuid4().hex}"
-    run = transform(source.events()).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    root = _shared(b, "stream")
+    out, changed = f"{root}/out", transform(source.events())
+    writer = changed.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        run = writer.format("parquet").outputMode(mode).start(out)
+    else:  # each batch has a folder of its own, so that one that is done again replaces itself
+
+        def put(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+        run = writer.foreachBatch(put).outputMode(mode).start()
     run.awaitTermination()
-    return b.spark.table(name)
+    if mode == "append":
+        return b.spark.read.schema(changed.schema).parquet(out)
+    rows = b.spark.read.schema(changed.schema.add("batch", "long")).parquet(out)
+    if mode == "complete":  # the last batch has all rows
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.drop("batch")
 
 
 def _is_folder(b, name: str) -> bool:
