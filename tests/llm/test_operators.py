@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -403,16 +405,88 @@ def test_packing(which, request):
         assert (d, joined) in want and all(p[2] == len(joined) for p in by_doc[d])
 
 
-def test_word_tokens_around_the_fence():
+def test_word_tokens_match_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    texts = ["a \x01 b\x01c", "\x01\x01", "<|endoftext|> x", "Tab\there\x1cthere", "a\u00a0b  c\n\nd", "", "İstanbul ΣΑΣ don't 12 ½ é"]
-    ids, sizes = packing.token_ids(texts, packing.word_tokens(path))
-    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
-    assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+    texts = ["a \x01 b\x01c", "\x01\x01", "<|endoftext|> x", "Tab\there\x1cthere", "a\u00a0b  c\n\nd", "", "İstanbul ΣΑΣ don't 12 ½ é", "İ x İ", "e\u0301te\u0301 K Å"]
+    rng = random.Random(7)
+    plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xC0, 0x17F))] + ["'s", "'RE", "n't", "''", "ß", "ŉ", "\n", " "] * 8
+    texts += ["".join(rng.choices(plain, k=rng.randrange(1, 400))) for _ in range(300)]
+    texts += [t for _, t in pairs_of(docs)]
+    found = packing.Words(path, words=1000, parts=500)
+    for a in range(0, len(texts), 50):  # memos are emptied in between
+        ids, sizes = found.ids(pa.array(texts[a : a + 50], pa.string()))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[a : a + 50]]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def round_by_round(queues, shares, window):
+    """The sources in the order in which deficit round-robin sends their packets: (source, number of packet, round)."""
+    left = {s: list(q) for s, q in queues.items()}
+    credit, sent, deficit, turn = {s: window * p for s, p in shares.items()}, [], dict.fromkeys(shares, 0.0), 0
+    at = dict.fromkeys(shares, 0)
+    while any(left.values()):
+        turn += 1
+        for s in sorted(shares):
+            deficit[s] += credit[s] if left[s] else 0.0
+            while left[s] and left[s][0] <= deficit[s] + 1e-9:
+                deficit[s] -= left[s].pop(0)
+                sent.append((s, at[s], turn))
+                at[s] += 1
+    return sent
+
+
+@pytest.mark.parametrize("shares", [None, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.125, "b": 0.125, "c": 0.75}, {"a": 0.5, "c": 0.5}, {"b": 1.0}, {}])
+def test_layout_is_deficit_round_robin(spark, shares):
+    rng, window = random.Random(11), 64
+    rows = [(k, rng.choice("aaaabbc"), rng.choice([1, 7, 30, 64, 65, 200])) for k in range(400)]
+    got = packing.layout(spark.createDataFrame(rows, "row long, source string, n long"), window, shares).collect()
+    source, size = {k: s for k, s, _ in rows}, {k: n for k, _, n in rows}
+    tokens = Counter()
+    for k, s, n in rows:
+        tokens[s] += n
+    # the queues as they were sent: pieces in the order of their places, put together to packets of at most a window
+    order = sorted(got, key=lambda r: (r["sequence_id"], r["offset"]))
+    packets, lengths = [], {}
+    for r in order:
+        key = (r["row"], r["start"] // window)
+        if key not in lengths:
+            packets.append(key)
+        lengths[key] = lengths.get(key, 0) + r["length"]
+    assert sum(lengths.values()) == sum(size.values()) and all(n <= window for n in lengths.values())
+    queues = {}
+    for key in packets:
+        queues.setdefault(source[key[0]], []).append(lengths[key])
+    named = {s: p for s, p in (shares or {}).items() if p > 0 and s in tokens}
+    groups = [named, {s: float(n) for s, n in tokens.items() if s not in named}] if shares is not None else [{s: float(n) for s, n in tokens.items()}]
+    want = []
+    for group in groups:
+        if group:
+            whole = sum(group.values())
+            want += [s for s, _, _ in round_by_round({s: queues[s] for s in group}, {s: p / whole for s, p in group.items()}, window)]
+    assert [source[k] for k, _ in packets] == want
+    # windows are filled
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert all(fill[k] == window for k in range(len(fill) - 1))
+
+
+def test_given_shares_leave_parts_even(spark):
+    rows = [(k, "abcd"[k % 4], 60) for k in range(8000)]
+    docs = spark.createDataFrame(rows, "row long, source string, n long")
+    made = []
+    keep = packing.written
+    try:
+        packing.written = lambda df, name: made.append((name, keep(df, name))) or made[-1][1]
+        packing.layout(docs, 64, {"a": 0.9, "b": 0.1}).count()
+    finally:
+        packing.written = keep
+    sizes = [r["count"] for r in dict(made)["sent"].groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
 
 
 def test_packing_follows_the_mixture(spark, small):
