@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import Memo, blocks, row_sums, texts_of
+from .ragged import Memo, blocks, row_sums, spans, texts_of
 
 SPACE = re.compile(r"[ \t-\r]+")
 MARK = "▁"
@@ -182,6 +182,7 @@ class Encoder:
         self.split = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.out = [self._bytes(p) for p in model.pieces]
+        self.merger: Merger | None = None
 
     @staticmethod
     def _bytes(p) -> bytes:
@@ -189,13 +190,17 @@ class Encoder:
             return bytes([int(p.piece[3:5], 16)])
         return b"" if p.type == CONTROL else b" \xe2\x81\x87 " if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode()
 
-    def normalize(self, text: str) -> tuple[str, list[int] | range]:
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the source byte that it comes from."""
-        plain = not self.map.units and not self.squeeze
-        if plain:  # nothing is replaced but spaces, each by the mark of three bytes
+        raw, mark = text.encode(), MARK.encode() if self.escape else b" "
+        if not self.map.units and not self.squeeze:  # every prefix stands for itself, and a space for the mark
+            lead = np.zeros(len(mark) if self.dummy and text else 0, np.int32)
+            source = np.arange(len(raw), dtype=np.int32)
+            if self.escape:
+                source = np.repeat(source, np.where(np.frombuffer(raw, np.uint8) == 32, len(mark), 1))
             body = text.replace(" ", MARK) if self.escape else text
-            return (MARK if self.escape else " ") + body if self.dummy and text else body, range(0)
-        raw, pieces, align, at = text.encode(), [], [], 0
+            return (mark.decode() if len(lead) else "") + body, np.concatenate([lead, source, np.array([len(raw)], np.int32)])
+        pieces, align, at = [], [], 0
         while at < len(raw):
             hit = self.map.longest(raw, at)
             if hit:
@@ -205,12 +210,12 @@ class Encoder:
                 new = raw[at : at + n]
             pieces.append((new, at))
             at += n
-        if self.squeeze:
-            while pieces and pieces[0][0] == b" ":
-                pieces.pop(0)
+        begin = 0
+        while self.squeeze and begin < len(pieces) and pieces[begin][0] == b" ":
+            begin += 1
+        pieces = pieces[begin:]
         if not pieces:
-            return "", [len(raw)]
-        mark = MARK.encode() if self.escape else b" "
+            return "", np.array([len(raw)], np.int32)
         out = bytearray()
         if self.dummy:
             out += mark
@@ -229,7 +234,7 @@ class Encoder:
         if self.squeeze:
             while out.endswith(mark):
                 del out[-len(mark) :], align[-len(mark) :]
-        return out.decode(), [*align, len(raw)]
+        return out.decode(), np.array([*align, len(raw)], np.int32)
 
     def merge(self, chunk: str) -> list[str]:
         """Byte-pair merges, the best score first and the leftmost of equals."""
@@ -289,31 +294,138 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids; the space that normalising put first goes, and bytes that aren't UTF-8 become U+FFFD."""
-        whole = b"".join([self.out[k] for k in ids])
-        text = replaced(whole)
+        return self.finish(b"".join([self.out[k] for k in ids]))
+
+    def finish(self, raw: bytes) -> bytes:
+        text = replaced(raw)
         return text[1:] if self.dummy and text[:1] == b" " else text
 
-    def encode(self, text: str) -> list[tuple[int, str, int, int]]:
-        """(id, piece, first byte, end byte) of every id; the bytes are those of the source. Byte ids of one
-        letter share the letter's span's start and end at its last byte."""
+    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, packed with how many normalised bytes each stands for (``PACK``), and how
+        many each chunk has. A letter's byte ids stand for nothing but the last, which stands for the letter."""
+        short = [c for c in chunks if len(c) <= 64] if self.byte else []
+        rows: dict[int, list[int]] = {}
+        for k, c in enumerate(chunks):
+            if not self.byte or len(c) > 64:
+                rows[k] = [i | (len(p.encode()) if j + 1 == len(ids) else 0) << PACK for p, ids in self.chunk(c) for j, i in enumerate(ids)]
+        if not short:
+            sizes = np.array([len(r) for r in rows.values()], np.int64)
+            return np.array([i for r in rows.values() for i in r], np.int64), sizes
+        if self.merger is None:
+            self.merger = Merger(self.score, self.ids, self.byte)
+        flat, lengths = self.merger.ids(short)
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[[k for k in range(len(chunks)) if k not in rows] if rows else slice(None)] = lengths
+        if rows:
+            at = np.repeat(np.cumsum(sizes)[list(rows)], [len(r) for r in rows.values()])
+            flat = np.insert(flat, at, [i for r in rows.values() for i in r])
+            sizes[list(rows)] = [len(r) for r in rows.values()]
+        return flat, sizes
+
+    def encode(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, first byte, end byte) of every id; the bytes are those of the source. Byte ids of one letter share the
+        start of the letter's span and all but the last end there."""
         normal, align = self.normalize(text)
-        if isinstance(align, range):
-            lead = 1 if self.dummy and text else 0
-            width = [len(c.encode()) for c in normal]
-            for k, c in enumerate(normal):
-                if c == MARK and (k < lead or text[k - lead] == " "):
-                    width[k] = 0 if k < lead else 1
-            ends = np.cumsum([0, *width]).tolist()
-        else:
-            ends = [align[b] for b in np.cumsum([0, *[len(c.encode()) for c in normal]]).tolist()]
-        out, at = [], 0
-        for chunk in self.chunks(normal):
-            for piece, ids in self.chunk(chunk):
-                a, b = ends[at], ends[at + len(piece)]
-                for j, k in enumerate(ids):
-                    out.append((k, piece, a, a if j + 1 < len(ids) else b))
-                at += len(piece)
-        return out
+        packed, _ = self.many(self.chunks(normal))
+        firsts, ends = spans_of(packed, align)
+        return list(zip((packed & IDS).tolist(), firsts.tolist(), ends.tolist(), strict=True))
+
+
+PACK, IDS = 32, (1 << 32) - 1
+
+
+def spans_of(packed: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end source byte of each packed id of a text: its normalised bytes, projected by the alignment."""
+    ends = np.cumsum(packed >> PACK)
+    return align[ends - (packed >> PACK)], align[ends]
+
+
+class Merger:
+    """Byte-pair merges of many short chunks at once. Each round does every chunk's best merge, the leftmost of equals,
+    so a chunk sees the same merges in the same order as alone. Symbols are numbers: those of letters and pieces of
+    the vocabulary, and beyond them code points that it lacks."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int], byte: list[int]):
+        symbols: dict[str, int] = {}
+        for p in score:
+            for x in (*p, p):
+                symbols.setdefault(x, len(symbols))
+        self.n, self.byte = len(symbols), byte
+        self.width = self.n + 0x110000
+        self.letter = np.arange(self.n, self.width, dtype=np.int64)
+        self.out = np.full(self.n, -1, np.int64)  # id and bytes of each symbol that is a piece
+        for x, k in symbols.items():
+            if len(x) == 1:
+                self.letter[ord(x)] = k
+            if x in score:
+                self.out[k] = ids[x] | len(x.encode()) << PACK
+        self.text = {k: x for x, k in symbols.items() if x not in score}
+        best = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        rows = sorted((symbols[p[:k]] * self.width + symbols[p[k:]], best[s], symbols[p]) for p, s in score.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.keys, self.rank, self.made = (np.array(c, np.int64) for c in zip(*(rows or [(-1, 0, 0)]), strict=True))
+        self.none = len(best)
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging neighbours; rank ``none`` where they don't merge."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.rank[at], self.none), self.made[at]
+
+    def merged(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All chunks' symbols in a row, and how many each has."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbols = self.letter[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        row = np.repeat(np.arange(len(chunks)), sizes)
+        rank, made = self._look(symbols, np.append(symbols[1:], 0))
+        rank[np.append(row[1:] != row[:-1], True)[: len(rank)]] = self.none
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            counts = np.diff(np.append(starts, len(row)))
+            best = np.minimum.reduceat(rank, starts)
+            live = np.repeat(best < self.none, counts)
+            if not live.all():
+                done.append((row[~live], symbols[~live]))
+                symbols, row, rank, made = symbols[live], row[live], rank[live], made[live]
+                some = best < self.none
+                best, counts = best[some], counts[some]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, counts))
+            at = at[np.append(True, row[at[1:]] != row[at[:-1]])]
+            symbols[at] = made[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, row, rank, made = symbols[keep], row[keep], rank[keep], made[keep]
+            at = at - np.arange(len(at))
+            at = np.concatenate([at[at > 0] - 1, at[at + 1 < len(row)]])  # the merged symbol's two neighbourhoods
+            at = at[row[at] == row[at + 1]]
+            rank[at], made[at] = self._look(symbols[at], symbols[at + 1])
+            last = np.append(row[1:] != row[:-1], True)
+            rank[last] = self.none
+        if not done:
+            return np.zeros(0, np.int64), sizes
+        row, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(row, kind="stable")
+        return symbols[order], np.bincount(row, minlength=len(chunks))
+
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Packed ids of all chunks, byte ids where a letter isn't in the vocabulary."""
+        symbols, sizes = self.merged(chunks)
+        flat = np.where(symbols < self.n, self.out[np.minimum(symbols, self.n - 1)], -1)
+        strange = np.flatnonzero(flat < 0)
+        if not len(strange):
+            return flat, sizes
+        raw = [(self.text[k] if k < self.n else chr(k - self.n)).encode() for k in symbols[strange].tolist()]
+        more = np.array([len(r) for r in raw])
+        row = np.repeat(np.arange(len(chunks)), sizes)
+        wide = np.ones(len(flat), np.int64)
+        wide[strange] = more
+        flat = np.repeat(flat, wide)
+        first = np.cumsum(wide)[strange] - more
+        flat[np.repeat(first - np.cumsum(more) + more, more) + np.arange(more.sum())] = [self.byte[b] | (len(r) if j + 1 == len(r) else 0) << PACK for r in raw for j, b in enumerate(r)]
+        return flat, np.bincount(np.repeat(row, wide), minlength=len(chunks))
 
 
 def replaced(raw: bytes) -> bytes:
@@ -343,62 +455,94 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=1)
+def chunks_of(path: str) -> Chunks:
+    """Of this worker, for all its tasks."""
+    return Chunks(encoder_of(path))
+
+
+class Chunks:
+    """What each distinct chunk comes to: packed ids, its ids as text, and its decoded bytes. At most ``most`` chunks
+    are remembered between blocks of texts."""
+
+    def __init__(self, encoder: Encoder, most: int = 500_000):
+        self.encoder, self.memo = encoder, Memo(self._make, np.int64, most)
+        self.names = [str(k) for k in range(len(encoder.out))]
+        self.widths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.names, encoder.out)]
+        self.spelled: list[str] = []
+        self.decoded: list[bytes] = []
+
+    def _make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = self.encoder.many(chunks)
+        ids = flat & IDS
+        names, out, each = self.names, self.encoder.out, ids.tolist()
+        spelled, decoded = ",".join([names[k] for k in each]), b"".join([out[k] for k in each])
+        last = np.cumsum(sizes)
+        for text, width, gap, rows in ((spelled, self.widths[0], 1, self.spelled), (decoded, self.widths[1], 0, self.decoded)):
+            ends = np.append(0, np.cumsum(width[ids] + gap))[np.append(0, last)].tolist()
+            rows += [text[a : b - gap] for a, b in zip(ends, ends[1:], strict=False)]
+        return flat, sizes
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+        """(packed ids, first bytes, end bytes, numbers of the chunks) of each text."""
+        normal = [self.encoder.normalize(t) for t in texts]
+        parts = [self.encoder.chunks(n) for n, _ in normal]
+        numbers = self.memo.numbers([c for p in parts for c in p])
+        lengths, at = self.memo.lengths[numbers], 0
+        for p, (_, align) in zip(parts, normal, strict=True):
+            own = numbers[at : at + len(p)]
+            packed = self.memo.flat[spans(self.memo.starts[own], lengths[at : at + len(p)])]
+            at += len(p)
+            yield packed, *spans_of(packed, align), own.tolist()
+
+    def trim(self) -> None:
+        if len(self.memo) > self.memo.most:
+            self.memo.reset()
+            self.spelled.clear(), self.decoded.clear()
+
+
 def pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, pieces, firsts, ends): every piece of every text with its bytes in the source, firsts to ends.
-    Null and empty texts have no pieces. Repeated rows each get their row; other columns are ignored."""
+    """(doc_id, ids, pieces, firsts, ends): every id of every text, its piece, and its bytes in the source, firsts to
+    ends. Null and empty texts have none. Repeated rows each get their row; other columns are ignored."""
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder_of(model)
+        memo, names = chunks_of(model), [p.piece for p in model_of(model).pieces]
         for batch in batches:
-            for a, b in blocks([len(t or "") for t in batch.column(1).to_pylist()], 1 << 20):
-                part = batch.slice(a, b - a)
-                rows = [list(zip(*e.encode(t), strict=True)) or [[]] * 4 for t in texts_of(part)]
-                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-                columns = [pa.array([list(r[k]) for r in rows], pa.list_(kind)) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "pieces", "firsts", "ends"])
+            texts = texts_of(batch)
+            for a, b in blocks([len(t) for t in texts], 1 << 20):
+                rows = [((p & IDS).tolist(), f, e) for p, f, e, _ in memo.texts(texts[a:b])]
+                columns = [
+                    pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                    pa.array([[names[k] for k in r[0]] for r in rows], pa.list_(pa.string())),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                ]
+                memo.trim()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], ["doc_id", "ids", "pieces", "firsts", "ends"])
 
     return frame.mapInArrow(run, "doc_id long, ids array<int>, pieces array<string>, firsts array<long>, ends array<long>")
 
 
-@lru_cache(maxsize=1)
-def digests_of(path: str) -> Digests:
-    """Of this worker, for all its tasks."""
-    return Digests(encoder_of(path))
-
-
-class Digests(dict):
-    """Of each distinct chunk: its ids as text, how many, and its decoded bytes."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = [k for _, row in self.encoder.chunk(chunk) for k in row]
-        out = ",".join(map(str, ids)), len(ids), b"".join([self.encoder.out[k] for k in ids])
-        self[chunk] = out
-        return out
-
-
-def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", most: int = 300_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text that
-    they decode to. It goes through the same normalising and merging as ``pieces`` and keeps each distinct chunk's
-    result; ``most`` bounds how many a worker remembers."""
+def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): digests of every text's ids, of the text that they
+    decode to, and of the ids' first and end bytes in the source (little-endian 32-bit integers, all firsts, then all
+    ends). What ``pieces`` gives, hashed in place."""
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, memo = encoder_of(model), digests_of(model)
+        memo = chunks_of(model)
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for t in texts_of(batch):
-                found = list(map(memo.__getitem__, e.chunks(e.normalize(t)[0])))
-                counts.append(sum([f[1] for f in found]))
-                ids.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-                whole = replaced(b"".join([f[2] for f in found]))
-                decoded.append(hashlib.sha256(whole[1:] if e.dummy and whole[:1] == b" " else whole).hexdigest())
-                if len(memo) > most:
-                    memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return frame.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            texts = texts_of(batch)
+            for a, b in blocks([len(t) for t in texts], 1 << 20):
+                counts, ids, decoded, places = [], [], [], []
+                for packed, firsts, ends, own in memo.texts(texts[a:b]):
+                    counts.append(len(packed))
+                    ids.append(sha(",".join(map(memo.spelled.__getitem__, own)).encode()))
+                    decoded.append(sha(memo.encoder.finish(b"".join(map(memo.decoded.__getitem__, own)))))
+                    places.append(sha(firsts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()))
+                memo.trim()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (ids, decoded, places))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+
+    return frame.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

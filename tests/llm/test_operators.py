@@ -288,7 +288,19 @@ def test_round_trip_matches_library(which, request):
     for d, t in pairs_of(df):
         ids = library.encode(t)
         want[d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
-    assert Counter(tuple(r.values()) for r in rows_of(pieces.round_trip(df, path))) == want
+    got = rows_of(pieces.round_trip(df, path))
+    assert Counter(tuple(r[k] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in got) == want
+    places = Counter()
+    for d, t in pairs_of(df):
+        firsts, ends = library_spans(library, t)
+        places[d, hashlib.sha256(np.array(firsts + ends, "<i4").tobytes()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["spans_sha256"]) for r in got) == places
+
+
+def library_spans(library, text):
+    """First and end byte of every id, as the library gives them."""
+    found = library.encode(text, return_type="proto").pieces
+    return [p.begin for p in found], [p.end for p in found]
 
 
 def test_pieces_cover_their_source(awkward):
@@ -319,6 +331,16 @@ def test_encoder_matches_library_on_odd_texts(text):
     assert encoder.decode(ids).decode() == library.decode(ids)
 
 
+def test_merges_of_many_chunks_are_those_of_one():
+    encoder, rng = pieces.encoder_of(tokenizer_file("piece_bpe_32k.model")), random.Random(5)
+    letters = list("▁▁▁eeeaaattthinors.,!#&(\\\"'0123ABCÉéüßñ日本😀\u0301\u0000\u200b")
+    chunks = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(3000)] + ["▁" * 70, "ab" * 60, "a"]
+    flat, sizes = encoder.many(chunks)
+    want = [[k | (len(p.encode()) if j + 1 == len(ids) else 0) << pieces.PACK for p, ids in encoder.chunk(c) for j, k in enumerate(ids)] for c in chunks]
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+    assert all(encoder.merge(c) == encoder.merge_long(c) for c in chunks)
+
+
 def test_character_map_matches_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
