@@ -196,8 +196,13 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     probs = [k / parts for k in range(1, parts)]
     cuts = sorted(set(docs.approxQuantile("doc_id", probs, 0.25 / parts))) if probs else []
-    cuts_sql = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts_sql, lambda c: c < F.col("doc_id"))))
+
+    def part_of(lo: int, hi: int):
+        """How many cuts lie below an id, lo to hi of them; each comparison halves what is left."""
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col("doc_id") > int(cuts[mid]), part_of(mid + 1, hi)).otherwise(part_of(lo, mid))
+
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(part_of(0, len(cuts)))
     docs = docs.withColumn("bucket", bucket)
     ends = docs.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("bare")).orderBy("bucket").collect()
     if not ends:

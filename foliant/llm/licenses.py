@@ -18,12 +18,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import blocks, texts_of
+from .ragged import texts_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The contract's fixed phrases and their labels.
@@ -140,19 +139,12 @@ class Scanner:
         self.first: dict[bytes, list[tuple[str, list[bytes]]]] = {}
         for p in self.phrases:
             self.first.setdefault(p[1][0], []).append(p)
-        # every template and phrase has one of these words; a text without any isn't looked at word by word
-        self.needs = re.compile(rb"licen[sc]e|permission|redistribution|unencumbered|waived|(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])cc(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])")
-        for words in [*(w for _, w in self.phrases), *([w for s in a.steps for w in s] for a in self.automata)]:
-            if not any(self.needs.search(w) for w in words):
-                raise ValueError(f"no key word in {words[:4]}")
-
-    def scan(self, low: bytes) -> tuple[list[tuple[str, int]], list[tuple[str, int, int]], float]:
-        """(label, start) of each phrase, (label, start, end) of each accepted template, and the score."""
-        if not self.needs.search(low):
-            return [], [], 0.0
+        self.starts = self.first.keys() | self.at.keys()
+
+    def scan(self, low: bytes) -> tuple[list[tuple[str, int]], list[tuple[str, int, int]], float, int]:
+        """(label, start) of each phrase, (label, start, end) of each accepted template, the score, and how many words there are."""
         words = WORD.findall(low)
-        base, found, score = [], [], 0.0
-        starts = self.first.keys() | self.at.keys()
+        base, found, score, starts = [], [], 0.0, self.starts
         for k in [k for k, w in enumerate(words) if w in starts]:
             for label, phrase in self.first.get(words[k], ()):
                 if words[k : k + len(phrase)] == phrase:
@@ -163,23 +155,7 @@ class Scanner:
                 score = max(score, most / a.total)
                 if end is not None:
                     found.append((a.label, k, end))
-        return base, found, score
-
-
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
-
-
-def count_words(lows: list[bytes]) -> np.ndarray:
-    """Words of each text: places where a word's byte follows another kind."""
-    out = np.zeros(len(lows), np.int64)
-    for a, b in blocks([len(x) for x in lows], 1 << 20):
-        sizes = np.array([len(x) + 1 for x in lows[a:b]], np.int64)
-        inside = _IS_WORD[np.frombuffer(b" ".join(lows[a:b]) + b" ", np.uint8)]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        out[a:b] = np.add.reduceat(begins, np.cumsum(sizes) - sizes, dtype=np.int64)
-    return out
+        return base, found, score, len(words)
 
 
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,first:long,end:long>>"
@@ -193,20 +169,19 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)
         for batch in batches:
-            lows = [t.encode().lower() for t in texts_of(batch)]
-            rows = [scanner.scan(x) for x in lows]
+            rows = [scanner.scan(t.encode().lower()) for t in texts_of(batch)]
             join = lambda labels: ",".join(sorted(set(labels)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(count_words(lows)),
-                    pa.array([len(b) for b, _, _ in rows], pa.int64()),
-                    pa.array([min((k for _, k in b), default=None) for b, _, _ in rows], pa.int64()),
-                    pa.array([max((k for _, k in b), default=None) for b, _, _ in rows], pa.int64()),
-                    pa.array([join(x for x, _ in b) for b, _, _ in rows], pa.string()),
-                    pa.array([join([x for x, _ in b] + [x for x, _, _ in f]) for b, f, _ in rows], pa.string()),
-                    pa.array([s for _, _, s in rows], pa.float64()),
-                    pa.array([[{"label": x, "first": k, "end": e} for x, k, e in f] for _, f, _ in rows], pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([n for *_, n in rows], pa.int64()),
+                    pa.array([len(b) for b, *_ in rows], pa.int64()),
+                    pa.array([min((k for _, k in b), default=None) for b, *_ in rows], pa.int64()),
+                    pa.array([max((k for _, k in b), default=None) for b, *_ in rows], pa.int64()),
+                    pa.array([join(x for x, _ in b) for b, *_ in rows], pa.string()),
+                    pa.array([join([x for x, _ in b] + [x for x, _, _ in f]) for b, f, *_ in rows], pa.string()),
+                    pa.array([s for *_, s, _ in rows], pa.float64()),
+                    pa.array([[{"label": x, "first": k, "end": e} for x, k, e in f] for _, f, *_ in rows], pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"],
             )

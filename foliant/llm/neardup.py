@@ -11,7 +11,8 @@ Equal fingerprints are one row before any of this. Rows that meet under one key
 its pairs, which leaves components as they are and loses no link between different components.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
-shingle are one shingle. Repeated rows each get their row. A null doc_id is no candidate for the smallest one.
+shingle are one shingle. Repeated rows each get their row. A null doc_id is no candidate for the smallest one, and a
+class without any other has a null component_id.
 Other columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .ragged import blocks, texts_of
-from .store import partitions, written
+from .store import attach, partitions, written
 
 RADIUS, GROUP = 4, 4096
 SPACE = re.compile(rb"[ \t-\r]+")
@@ -258,7 +259,7 @@ def links(prints: DataFrame, parts: list[tuple[list[int], int]], radius: int = R
     met = meetings(prints, parts)
     sizes = met.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     n_blocks = F.ceil(F.col("n") / (GROUP // 2)).cast("int")
-    met = met.join(sizes, ["part", "key"]).withColumn("blocks", n_blocks)
+    met = attach(met, sizes.withColumn("blocks", n_blocks), "part", "key")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
@@ -293,37 +294,54 @@ def links(prints: DataFrame, parts: list[tuple[list[int], int]], radius: int = R
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of (fp, first): the least ``first`` that links reach, over distinct fingerprints."""
+    """(fp, root, component_id) of (fp, first): the least ``first`` that links reach, over distinct fingerprints."""
     parts = plan(prints, radius)
     roots = components(links(prints, parts, radius))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return attach(rooted.drop("first"), least, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row. Texts are read once and never shuffled."""
+def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, root, component_id) of every row, and (fp, root, component_id) of every fingerprint."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = written(fingerprinted(plain, shingle=shingle, keep=["doc_id"]), "simhash")
-    prints = written(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    found = table.join(classes(prints, radius), "fp")
+    prints = written(table.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
+    found = written(classes(prints.drop("n"), radius).join(prints.select("fp", "n"), "fp"), "classes")
+    return attach(table, found, "fp"), found.drop("n")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row. Texts are read once and never shuffled."""
+    found, _ = _classed(docs, doc_id, text, shingle, radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One row of each class stays, that of the smallest doc_id, with the columns of ``docs``. Rows that repeat a
-    doc_id are one document and the copy with the least text stays."""
-    return keep_least(docs, near_duplicates(docs, doc_id, text, shingle, radius), doc_id, text)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the component_id that ``found`` gives it."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    twice = docs.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept"))
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
-    if twice.isEmpty():
-        return rows
-    again = rows.join(twice, rows[doc_id].eqNullSafe(twice["_kept"]), "left_semi")
-    once = rows.join(twice, rows[doc_id].eqNullSafe(twice["_kept"]), "left_anti")
-    first = again.groupBy(doc_id).agg(F.min(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("m"))
-    return once.unionByName(first.select("m.row.*"))
+    """One row of each class stays, with the columns of ``docs``; see ``keep_least`` for which."""
+    rows, prints = _classed(docs, doc_id, text, shingle, radius)
+
+    def bare(frame: DataFrame) -> DataFrame:
+        return fingerprinted(frame, text, "_fp", shingle).join(prints.select(F.col("fp").alias("_fp"), F.col("root").alias("_class"), F.col("component_id").alias("_first")), "_fp").drop("_fp")
+
+    return keep_least(docs, rows, bare, doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, bare, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each class's smallest doc_id, which is the component_id that ``found`` gives it. Rows that repeat a
+    doc_id are one document, and the copy with the least text stays. Rows without a doc_id are documents of their own:
+    they go where their class has a row with an id, else the one with the least text stays. ``bare`` adds _class and
+    _first, the class's component_id, to them."""
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept"))
+    rows = docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi")
+    row = F.struct(F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if not twice.isEmpty():
+        again = rows.join(twice, rows[doc_id] == twice["_kept"], "left_semi")
+        rows = rows.join(twice, rows[doc_id] == twice["_kept"], "left_anti")
+        rows = rows.unionByName(again.groupBy(doc_id).agg(F.min(row).alias("m")).select("m.row.*"))
+    nameless = docs.where(F.col(doc_id).isNull())
+    if not nameless.select(doc_id).isEmpty():
+        alone = bare(nameless).where(F.col("_first").isNull())
+        rows = rows.unionByName(alone.groupBy("_class").agg(F.min(row).alias("m")).select("m.row.*"))
+    return rows

@@ -166,13 +166,15 @@ def _patterns(frame: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``. Votes are worked out again rather
-    than joined, so rows need no key and texts are never shuffled."""
-    columns, name = docs.columns, "_counts"
+    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``. Texts are counted once: rows are written
+    with their votes, the model is learned from the votes' columns alone, and the rows that it keeps are read again, so
+    rows need no key and texts are never shuffled."""
+    columns, name = docs.columns, "_votes"
     while name in columns:
         name += "_"
-    ready = counted(docs.select(F.col(text).alias("text")))
-    model = learn(_patterns(ready.select(*[v.alias(r) for r, v in votes().items()])))
     wide = counted(docs, text, name)
-    good = model.posterior(list(votes(name).values())) >= least
-    return wide.where(~F.col(f"{name}.base_failed") & good).select(*[F.col(f"`{c}`") for c in columns])
+    made = F.struct(F.col(f"{name}.base_failed").alias("base_failed"), *[v.cast("byte").alias(r) for r, v in votes(name).items()])
+    table = written(wide.withColumn(name, made), "voted")
+    model = learn(_patterns(table.select(*[F.col(f"{name}.{r}").alias(r) for r in RULES])))
+    good = model.posterior([F.col(f"{name}.{r}") for r in RULES]) >= least
+    return table.where(~F.col(f"{name}.base_failed") & good).select(*[F.col(f"`{c}`") for c in columns])

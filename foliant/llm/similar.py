@@ -21,11 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import neardup
 from .components import components
 from .ragged import blocks, texts_of
-from .store import partitions, written
+from .store import attach, partitions, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
@@ -46,6 +47,10 @@ def band_keys(grams: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def set_hash(grams: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(grams.tobytes(), neardup.SEED)], np.uint64).view(np.int64)[0])
+
+
 TABLE = "doc_id long, row long, node long, fp long, size long, bands array<long>, grams binary"
 
 
@@ -61,8 +66,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                     h = np.array(neardup.shingle_hashes(text, shingle), np.uint64)
                     grams = np.unique(h)
                     fp = neardup.majority(h)
-                    node = np.array([xxhash.xxh64_intdigest(grams.tobytes(), neardup.SEED)], np.uint64).view(np.int64)[0]
-                    for c, x in zip(columns, (int(node), fp, len(grams), band_keys(grams), grams.tobytes()), strict=True):
+                    for c, x in zip(columns, (set_hash(grams), fp, len(grams), band_keys(grams), grams.tobytes()), strict=True):
                         c.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
@@ -103,15 +107,15 @@ def forest(nodes: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def candidates(table: DataFrame) -> DataFrame:
-    """(node, root): nodes that fingerprints join, by groups."""
-    keys = table.select("node", F.explode("bands").alias("key")).distinct()
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    banded = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    prints = written(table.where("size > 0").groupBy("fp").agg(F.min("node").alias("hub")), "prints")
-    same = table.where("size > 0").select("fp", "node").distinct().join(prints, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = neardup.links(prints, neardup.plan(prints))
-    x, y = prints.select(F.col("fp").alias("a"), F.col("hub").alias("x")), prints.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
-    near = near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    """(node, root): nodes that fingerprints join, by groups. Fingerprints are nodes of their own here, named by a hash,
+    so what they link needs no join."""
+    keys = written(table.select("node", F.explode("bands").alias("key")).distinct(), "bands")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    banded = attach(keys, hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    prints = written(table.where("size > 0").select("fp").distinct(), "prints")
+    named = lambda c: F.xxhash64(F.lit("fingerprint"), F.col(c))
+    near = neardup.links(prints, neardup.plan(prints)).select(named("a").alias("a"), named("b").alias("b"))
+    same = table.where("size > 0").select(F.col("node").alias("a"), named("fp").alias("b"))
     return components(banded.union(same).union(near))
 
 
@@ -120,7 +124,8 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
     leads = table.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"))
     held = written(roots.join(leads, "node"), "candidates")
     n_blocks = F.ceil(F.greatest(F.count("*") / NODES, F.sum("size") / GRAMS)).cast("int")
-    held = held.join(held.groupBy("root").agg(n_blocks.alias("blocks")), "root")
+    groups = held.groupBy("root").agg(n_blocks.alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    held = attach(held, groups, "root")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
@@ -151,16 +156,35 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) for every row: the least doc_id that links reach."""
+def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, component_id) of every row, and (node, root, component_id) of every set of shingles."""
     table = written(described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle), "shingles")
     roots = components(links(table, candidates(table)))
-    nodes = table.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return table.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    nodes = table.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rooted = written(nodes.join(roots, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("k"))
+    found = written(attach(rooted.drop("first"), least, "root", n="k").select("node", "root", "component_id", "n"), "classes")
+    return attach(table.select("doc_id", "node"), found, "node").select("doc_id", "component_id"), found.drop("n")
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) for every row: the least doc_id that links reach."""
+    return _classed(docs, doc_id, text, shingle)[0]
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of each class stays, that of the smallest doc_id, with the columns of ``docs``."""
-    return neardup.keep_least(docs, similar(docs, doc_id, text, shingle), doc_id, text)
+    """One row of each class stays, with the columns of ``docs``; see ``neardup.keep_least`` for which."""
+    rows, nodes = _classed(docs, doc_id, text, shingle)
+
+    def bare(frame: DataFrame) -> DataFrame:
+        names = [*frame.columns, "_node"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [set_hash(np.unique(np.array(neardup.shingle_hashes(t, shingle), np.uint64))) for t in texts_of(batch, text)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names)
+
+        found = frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("_node", T.LongType())]))
+        return found.join(nodes.select(F.col("node").alias("_node"), F.col("root").alias("_class"), F.col("component_id").alias("_first")), "_node").drop("_node")
+
+    return neardup.keep_least(docs, rows, bare, doc_id, text)

@@ -6,13 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only in local mode, where that is unset."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("foliant.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("foliant.scratch.dir", root)
     return root.rstrip("/")
@@ -29,3 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A key is hot when it holds more than 1/HOT of all rows, and LEAST rows at the least.
+HOT, LEAST = 10_000, 1000
+
+
+def attach(rows: DataFrame, keyed: DataFrame, *keys: str, n: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has a row a key and, as ``n``, how many of ``rows`` the key has. Hot
+    keys, fewer than HOT whatever the corpus, are broadcast and their rows stay where they are; only the others are
+    shuffled, so no task gets the rows of a hub, a giant class or the empty text."""
+    total, most = keyed.agg(F.sum(n), F.max(n)).first()
+    bar = max((total or 0) // HOT, LEAST)
+    plain = keyed.drop(n)
+    if (most or 0) <= bar:
+        return rows.join(plain, list(keys))
+    hot, cold = keyed.where(F.col(n) > bar).drop(n), keyed.where(F.col(n) <= bar).drop(n)
+    names = hot.select(*keys)
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rows.join(F.broadcast(names), list(keys), "left_anti").join(cold, list(keys)))

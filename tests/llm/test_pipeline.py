@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import neardup, similar
-from tests.llm.test_operators import slow_classes, slow_simhash
+from foliant.llm import neardup, similar, store
 
 
 @pytest.fixture(scope="module")
@@ -32,12 +32,8 @@ def test_columns_and_kept_documents(spark, tiny, stages):
 
 
 def test_near_dedup_matches_brute_force(stages):
-    before = sorted((r["doc_id"], r["text"]) for r in stages[1].collect())
-    prints = np.array([slow_simhash(t, 5) for _, t in before], np.uint64)
-    classes = slow_classes(prints, [d for d, _ in before])
-    want = [d for (d, _), c in zip(before, classes, strict=True) if d == c]
-    assert sorted(r["doc_id"] for r in stages[2].collect()) == want
-    assert neardup.RADIUS == 4
+    want = slow_similar([(r["doc_id"], r["text"]) for r in stages[1].collect()])
+    assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(d for d, c in want.items() if d == c)
 
 
 def test_packing_has_every_token_once(stages):
@@ -105,3 +101,30 @@ def test_dealt_groups(spark, monkeypatch):
     rows = [(k, " ".join([*words[:90], *[f"y{k}"] * 6])) for k in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == slow_similar(rows) and set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("keep", [neardup.keep_first, similar.keep_first])
+def test_rows_without_an_id_stay_apart(spark, keep):
+    words = [f"w{k}" for k in range(200)]
+    a, b, c, d = (" ".join(words[k : k + 50]) for k in (0, 50, 100, 150))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (6, d), (6, d), (None, None), (7, a[:90])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in keep(docs).collect()))) == sorted(map(str, [(None, a), (None, b), (None, None), (5, c), (6, d), (7, a[:90])]))
+
+
+def test_hot_keys_do_not_meet(spark, monkeypatch):
+    """Many empty texts, a giant class of unlike copies and a hub: the same result when they go by broadcast."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, None if k % 3 == 0 else "") for k in range(90)]
+    rows += [(1000 + k, " ".join([*base[:195], *[f"x{k % 150}"] * (k % 5)])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {f: sorted(tuple(r) for r in f(docs).collect()) for f in (neardup.near_duplicates, similar.similar)}
+    monkeypatch.setattr(store, "LEAST", 3)
+    monkeypatch.setattr(store, "HOT", 1 << 40)
+    for f, want in plain.items():
+        assert sorted(tuple(r) for r in f(docs).collect()) == want
+    keyed = spark.createDataFrame([(1, 900, "hub"), (2, 2, "leaf")], "k long, n long, name string")
+    edges = spark.range(900).select(F.lit(1).cast("long").alias("k")).union(spark.createDataFrame([(2,), (2,)], "k long"))
+    joined = store.attach(edges, keyed, "k")
+    assert joined.count() == 902
+    assert "Broadcast" in joined._jdf.queryExecution().toString()
