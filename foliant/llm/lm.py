@@ -33,6 +33,9 @@ from .store import partitions, written
 
 SPACE = re.compile(rb"[ \t-\r]+")
 CHUNK = 10_000_000  # characters of a chunk at the most, or one text
+#: Dictionary words, and tokens, of all chunks for each holder: what a holder gathers in one task stays the same however
+#: large the corpus is.
+WORDS, PAIRS = 2_000_000, 3_000_000
 END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # no words
 MU, ADD, STEP, MISSING = 2.0, 0.1, 25.0, 255
 U = np.uint64
@@ -74,8 +77,9 @@ def held(doc_id: int | None) -> bool:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """(chunk, docs, sizes, words, counts, numbers) of (doc_id, text): sizes are tokens a document, words the sorted
-    hashes of its dictionary, counts their training counts, numbers the tokens by their place among words."""
+    """(chunk, docs, sizes, words, counts, numbers, n_words, n_tokens) of (doc_id, text): sizes are tokens a document,
+    words the sorted hashes of its dictionary, counts their training counts, numbers the tokens by their place among
+    words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -91,8 +95,8 @@ def encoded(docs: DataFrame) -> DataFrame:
             train = np.repeat([not held(k) for k in ids], sizes)
             counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([squeeze(np.array(sizes, np.uint32))]), pa.array([squeeze(words)]), pa.array([squeeze(counts)]), pa.array([squeeze(flat)])],
-                ["docs", "sizes", "words", "counts", "numbers"],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([squeeze(np.array(sizes, np.uint32))]), pa.array([squeeze(words)]), pa.array([squeeze(counts)]), pa.array([squeeze(flat)]), pa.array([len(words)], pa.int64()), pa.array([len(flat)], pa.int64())],
+                ["docs", "sizes", "words", "counts", "numbers", "n_words", "n_tokens"],
             )
 
         def reset() -> None:
@@ -114,7 +118,7 @@ def encoded(docs: DataFrame) -> DataFrame:
         if ids:
             yield chunk()
 
-    found = docs.mapInArrow(run, "docs array<long>, sizes binary, words binary, counts binary, numbers binary")
+    found = docs.mapInArrow(run, "docs array<long>, sizes binary, words binary, counts binary, numbers binary, n_words long, n_tokens long")
     return found.select(F.monotonically_increasing_id().alias("chunk"), "*")
 
 
@@ -124,10 +128,17 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, limits), len(keys))
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk, holder, counts, tokens, types): for each chunk and range of hashes the corpus counts of its words;
-    tokens and types of the range's training words stand in one row a holder."""
-    parts = partitions(chunks.sparkSession)
+def holders_of(chunks: DataFrame) -> tuple[int, int]:
+    """How many holders of words and of pairs there are: one a partition at the least, and as many as keep each one's
+    share within WORDS and PAIRS."""
+    words, tokens = (int(x or 0) for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
+    least = partitions(chunks.sparkSession)
+    return max(least, -(-words // WORDS)), max(least, -(-tokens // PAIRS))
+
+
+def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, holder, counts, tokens, types): for each chunk and range of hashes, one of ``parts``, the corpus counts of
+    its words; tokens and types of the range's training words stand in one row a holder."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,10 +204,9 @@ class Chunk:
         return (home + (words[second] >> U(40)).astype(np.int64) % spread) % self.parts
 
 
-def pair_codes(joined: DataFrame, tokens: int, types: int) -> DataFrame:
+def pair_codes(joined: DataFrame, tokens: int, types: int, parts: int) -> DataFrame:
     """(chunk, holder, codes): the quantised log10 p of a chunk's distinct pairs in order, MISSING for a pair that
-    training texts lack. ``joined`` has chunks with all_counts."""
-    parts = partitions(joined.sparkSession)
+    training texts lack. ``joined`` has chunks with all_counts; ``parts`` holders answer."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +257,12 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every text under the counts, and under the model, of the texts that aren't held out."""
-    parts = partitions(docs.sparkSession)
     chunks = written(encoded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "chunks")
-    counts = written(word_counts(chunks), "words")
+    word_holders, parts = holders_of(chunks)
+    counts = written(word_counts(chunks, word_holders), "words")
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
     joined = chunks.drop("counts").join(_answers(counts, "counts"), "chunk")
-    codes = pair_codes(joined, tokens, types)
+    codes = pair_codes(joined, tokens, types, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

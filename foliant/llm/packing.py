@@ -56,7 +56,7 @@ class Words:
     remembered: words repeat, and new words are mostly known parts in new case or with new marks. Both memos are
     bounded, and outlive a task: Spark uses a Python worker again for the next one."""
 
-    def __init__(self, path: str, words: int = 500_000, parts: int = 400_000):
+    def __init__(self, path: str, words: int = 300_000, parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -17,9 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,9 @@ from .store import attach, partitions, written
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
 NODES, GRAMS = 2048, 1 << 20
+#: Bytes kept of a shingle's hash: in a pair of texts of 20,000 words, unlike shingles fall together with a chance of
+#: one in 700,000.
+WIDTH = 6
 _draw = np.random.default_rng(42)
 FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 OFFSETS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -66,7 +70,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                     h = np.array(neardup.shingle_hashes(text, shingle), np.uint64)
                     grams = np.unique(h)
                     fp = neardup.majority(h)
-                    for c, x in zip(columns, (set_hash(grams), fp, len(grams), band_keys(grams), grams.tobytes()), strict=True):
+                    for c, x in zip(columns, (set_hash(grams), fp, len(grams), band_keys(grams), np.unique(grams >> np.uint64(64 - 8 * WIDTH)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()), strict=True):
                         c.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
@@ -75,6 +79,35 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, TABLE)
 
 
+def wide(raw: pa.Buffer) -> np.ndarray:
+    """A set's hashes from their bytes."""
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
+def sieve(found: DataFrame, column: str, most: int = 1 << 28) -> Column:
+    """A condition that holds for every value of ``column`` in ``found`` and for few others: a bit for each of some 16
+    hashes a value. The bitmap is made by partial sums and has ``most`` bits at the most, 32 MB whatever the corpus;
+    beyond that it lets more pass, and the join after it decides."""
+    bits = 1 << 15
+    n = found.count()
+    while bits < min(16 * n, most):
+        bits *= 2
+    at = F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
+    made = found.select((at + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
+    whole = np.zeros((bits >> 15, 4096), np.uint8)
+    for b, m in made.toLocalIterator():
+        whole[b - 1] = np.frombuffer(m, np.uint8)
+    sent = found.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    def hit(h):
+        v = h.to_numpy()
+        return pd.Series((sent.value[v >> 3] >> (v & 7)) & 1 == 1)
+
+    return F.pandas_udf(hit, "boolean")(at)
+
+
 def forest(nodes: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between sets."""
     p, q = SIMILARITY
@@ -130,7 +163,9 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
     )
-    sets = table.select("row", "grams").join(held.select("row", "node", "root", cells.alias("cells")), "row")
+    # only the sets of candidates move: a sieve of their rows stands before the shuffle of sets
+    held = written(held.select("row", "node", "root", cells.alias("cells")), "cells")
+    sets = table.select("row", "grams").where(sieve(held, "row")).join(held, "row")
     dealt = sets.select("root", F.explode("cells").alias("cell"), "node", "grams")
     dealt = dealt.repartition(partitions(table.sparkSession), "root", "cell").sortWithinPartitions("root", "cell")
 
@@ -149,7 +184,7 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
                     nodes, grams = [], []
                 at = (r, c)
                 nodes.append(n)
-                grams.append(np.frombuffer(g.as_buffer(), np.uint64).copy())
+                grams.append(wide(g.as_buffer()))
         if nodes:
             yield edges()
 

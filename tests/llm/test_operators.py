@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -646,6 +647,55 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>"
 <form><input name=q><button>Go</button></form><footer>&copy; me</footer></body></html>"""
 
 
+def test_densities_choose_the_article(small, spark):
+    """The same texts where articles are mere div elements."""
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        assert pages.main_text(re.sub(r"(</?)article", r"\1div", r["html"])) == pages.main_text(r["html"])
+
+
+def test_densities_are_those_of_the_definition():
+    order = pages.measure(pages.tree(PAGE))
+    below = lambda x: [d for c in x.children for d in (c, *below(c))]
+    own = lambda x: sum(len(" ".join(b.split())) for b in x.bits if isinstance(b, str))
+    links = lambda x: [y for y in (x, *below(x)) if y.tag == "a"]
+    chars = lambda x: own(x) + sum(map(own, below(x)))
+    body = next(x for x in order if x.tag == "body")
+    share = sum(map(chars, links(body))) / chars(body)
+    for x in (body, *below(body)):
+        c, t, lc = chars(x), len(below(x)), sum(map(chars, links(x)))
+        lt = len([y for y in below(x) if y.tag == "a"])
+        if not c:
+            assert x.density == 0
+            continue
+        base = math.log(c / max(c - lc, 1) * max(lc, 1) + share * c + math.e) if lc else math.log(share * c + math.e)
+        want = c / max(t, 1) * max(math.log(c * max(t, 1) / (max(lc, 1) * max(lt, 1))), 0.0) / math.log(base)
+        assert math.isclose(x.density, want, rel_tol=1e-9), x.tag
+        assert math.isclose(x.total, sum(y.density for y in x.children))
+    best = max((body, *below(body)), key=lambda x: x.total)
+    assert best.tag == "div" and "On" in "".join(b for y in below(best) for b in y.bits if isinstance(b, str))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<body><div id="discussion-of-physics"><p>Some long text on physics.</p></div></body>', "Some long text on physics."),
+    ('<body><div class="post-share-text"><p>hello there</p></div></body>', "hello there"),
+    ('<body><div class="widget"><article><p>Inside of it.</p></article></div><div class="ad-box">Buy!</div></body>', "Inside of it."),
+    ('<article><p>Short.</p></article><div class="ad">A much longer advert, longer than the text itself.</div>', "Short."),
+    ('<article><p>The text itself.</p></article><div id="comments"><article class="comment-body"><p>I like the text itself very much.</p></article></div>', "The text itself."),
+    ('<p title="a>b', "b"),
+    ('<p title="a>b</p><p>next <a href="x">y</a> z</p>', "b next y z"),
+    ('<p title="a < b > c" class="d">ok</p>', "ok"),
+])
+def test_names_and_quotes(page, want):
+    assert pages.main_text(page) == want
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "x", "<p><b>" * 50_000 + "x", "<ul><li>" * 50_000 + "x", '<a title="' * 50_000 + "x"):
+        pages.main_text(page)
+    assert time.process_time() - began < 40
+
+
 def test_page_without_article_element():
     assert pages.main_text(PAGE) == "On trees Trees are tall plants & they grow for a hundred years or more, in forests. Some of them, oaks among them, live for a thousand years; others live for fifty or so. Third paragraph without an end, as is often seen."
 
@@ -659,3 +709,5 @@ def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>hello there</p>")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in pages.extract(df).collect()) == ["", "", "hello there"]
     assert pages.extract(df.limit(0)).count() == 0
+    odd = df.selectExpr("page_id", "url", "html", "'x' AS text", "1 AS n_chars")
+    assert pages.extract(odd).columns == ["page_id", "url", "text", "n_chars"] and pages.extract(odd).count() == 3
