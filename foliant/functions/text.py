@@ -36,7 +36,8 @@ def strip(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """NFC, plain quotes, dashes and spaces, runs of white space as one space, trimmed."""
-    composed = F.when(c.rlike(ASCII), c).otherwise(_nfc(c))
+    ascii = c.rlike(ASCII)
+    composed = F.when(ascii, c).otherwise(_nfc(F.when(~ascii, c)))
     plain = F.translate(composed, "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- ")
     return F.trim(F.regexp_replace(plain, SPACE, " "))
 
@@ -46,7 +47,8 @@ def source_hash(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.when(c.rlike(ASCII), F.lower(c)).otherwise(_casefold(c))
+    ascii = c.rlike(ASCII)
+    return F.when(ascii, F.lower(c)).otherwise(_casefold(F.when(~ascii, c)))
 
 
 def stable_key(chapter_ord: Column, block_index: Column, path: Column, part_index: Column, part_count: Column) -> Column:

@@ -16,6 +16,7 @@ GUIDANCE, GLOSSARY, HISTORY, SUMMARY = "【额外要求】", "【术语表（必
 SOURCE, TARGET = "原文：", "译文："
 NO_CONTEXT, CONTEXT, TASK = "（无额外上下文）", "【上下文，仅供理解，不要翻译或复述】", "【待译原文】"
 DEFAULT_MODEL, MOST_CONCURRENT = "gpt-5-mini", 8
+RUN = 10_000  # ordinals that one task counts
 
 
 def rolling_context(segments: DataFrame, n: int = 3) -> DataFrame:
@@ -25,9 +26,14 @@ def rolling_context(segments: DataFrame, n: int = 3) -> DataFrame:
     if not 0 <= n <= 12:
         raise ValueError("0 to 12 previous segments")
     ready = T.completed(F.col("status")) & F.col("target_text").isNotNull()
-    before = Window.partitionBy("project_id").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = segments.select("id", "project_id", "ord", "source_text", "target_text", ready.alias("ready"), F.coalesce(F.count_if(ready).over(before), F.lit(0)).alias("rank"))
-    done = ranked.where("ready").select("project_id", F.col("rank").alias("k"), F.col("ord").alias("o"), F.col("source_text").alias("s"), F.col("target_text").alias("t"))
+    slim = segments.select("id", "project_id", "ord", ready.alias("ready"), F.floor(F.col("ord") / RUN).alias("run"))
+    # running counts inside runs of ordinals, then over the few runs: no task has a whole project, and no text is sorted
+    over = Window.partitionBy("project_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = slim.groupBy("project_id", "run").agg(F.count_if("ready").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
+    before = Window.partitionBy("project_id", "run").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = slim.join(base, ["project_id", "run"]).withColumn("rank", F.col("_base") + F.coalesce(F.count_if("ready").over(before), F.lit(0))).drop("_base", "run")
+    texts = segments.where(ready).select("id", "source_text", "target_text")
+    done = ranked.where("ready").join(texts, "id").where("ready").select("project_id", F.col("rank").alias("k"), F.col("ord").alias("o"), F.col("source_text").alias("s"), F.col("target_text").alias("t"))
     first = F.greatest(F.col("rank") - n, F.lit(0))
     wanted = ranked.where((F.col("rank") > 0) & F.lit(n > 0)).select("id", "project_id", F.explode(F.sequence(first, F.col("rank") - 1)).alias("k"))
     pairs = wanted.join(done, ["project_id", "k"]).where(F.col("t") != "").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "s", "t"))).alias("previous"))
@@ -87,8 +93,10 @@ def chapter_summary_source(chapters: DataFrame, segments: DataFrame, candidates:
 
 def masked(frame: DataFrame, text: str = "source_text") -> DataFrame:
     """``masked`` by the segment's kind: markdown, EPUB with slots in one part, or plain."""
-    slots = (F.col("source_type") == "epub") & (F.col("part_count") == 1) & (F.size("inline_slots") > 0)
-    return frame.withColumn("masked", F.when(F.col("source_type") == "md", mask_markdown(F.col(text))).when(slots, mask_slots(F.col(text), F.col("inline_slots"))).otherwise(mask_plain(F.col(text))))
+    md, c = F.coalesce(F.col("source_type") == "md", F.lit(False)), F.col(text)
+    slots = F.coalesce((F.col("source_type") == "epub") & (F.col("part_count") == 1) & (F.size("inline_slots") > 0), F.lit(False))
+    made = F.when(md, mask_markdown(F.when(md, c))).when(slots, mask_slots(F.when(slots, c), F.when(slots, F.col("inline_slots")))).otherwise(mask_plain(F.when(~md & ~slots, c)))
+    return T.once(frame, "masked", made)
 
 
 def language_name(code: Column) -> Column:
@@ -97,13 +105,20 @@ def language_name(code: Column) -> Column:
 
 
 def render_prompt(template: Column, guidance: Column, source_lang: Column, target_lang: Column) -> Column:
-    """The four known names are filled in, others stay; a blank template is the built-in one. Filled-in values are
-    split off first, so that a brace in one of them is never taken for a name."""
+    """The four known names are filled in, others stay; a blank template is the built-in one. The template is cut into
+    names and what stands between, and joined once, so a brace in a value is never taken for a name."""
     body = F.when(T.is_blank(template), F.lit(PROMPT)).otherwise(template)
     values = {"{source_lang}": language_name(source_lang), "{target_lang}": language_name(target_lang), "{source_lang_code}": source_lang, "{target_lang_code}": target_lang}
-    out = body
-    for name, value in values.items():
-        out = F.replace(out, F.lit(name), value)
+    names = "|".join(n.replace("{", r"\{").replace("}", r"\}") for n in values)
+    parts = F.regexp_extract_all(body, F.lit(rf"{names}|[^{{]+|\{{"), F.lit(0))
+
+    def filled(part: Column) -> Column:
+        out = part
+        for name, value in values.items():
+            out = F.when(part == name, value).otherwise(out)
+        return out
+
+    out = F.array_join(F.transform(parts, filled), "")
     more = T.strip(F.coalesce(guidance, F.lit("")))
     return F.concat(T.strip(out), F.when(more != "", F.concat(F.lit(f"\n\n{GUIDANCE}\n"), more)).otherwise(""))
 
@@ -137,14 +152,18 @@ def user_message(context: Column, text: Column) -> Column:
 
 def build_requests(leaders: DataFrame, segments: DataFrame, chapters: DataFrame, terms: DataFrame, prompts: DataFrame, n: int = 3, most: int = 1200) -> DataFrame:
     """A request for each leader: prompt, context, masked text, message and its tokens. ``prompts`` has (id, prompt,
-    guidance) by project; leaders carry source_lang and target_lang."""
+    guidance) by project; leaders carry source_lang, target_lang and, for masking by kind, source_type, part_count and
+    inline_slots."""
     matches = G.glossary_matches(leaders.select("id", "project_id", "source_text"), terms)
     sorted_terms = F.array_sort(F.collect_list(F.struct("term_id", "source_term", "target_term", "note")))
     matches = matches.groupBy("id").agg(sorted_terms.alias("terms"))
     wide = leaders.join(matches, "id", "left").join(rolling_context(segments, n), "id", "left")
     wide = wide.join(chapters.select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
     wide = wide.join(prompts.select(F.col("id").alias("project_id"), "prompt", "guidance"), "project_id", "left")
-    wide = T.once(build_context(wide, most), "m", mask_markdown(F.col("source_text")))
+    for name, kind in (("source_type", "string"), ("part_count", "int"), ("inline_slots", "array<struct<start:int,end:int>>")):
+        if name not in wide.columns:
+            wide = wide.withColumn(name, F.lit(None).cast(kind))
+    wide = masked(build_context(wide, most)).withColumnRenamed("masked", "m")
     system = render_prompt(F.col("prompt"), F.col("guidance"), F.col("source_lang"), F.col("target_lang"))
     wide = T.once(wide, "system_prompt", system)
     out = wide.select("id", "project_id", "system_prompt", "context", F.col("m.text").alias("text"), F.col("m.replacements").alias("replacements"), user_message(F.col("context"), F.col("m.text")).alias("message"))

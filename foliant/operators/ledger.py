@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,11 @@ def recover_processing(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"error_msg": F.when(~stuck, F.col("error_msg")), "status": F.when(stuck, "pending").otherwise(F.col("status"))})
 
 
+def recover_projects(projects: DataFrame) -> DataFrame:
+    """Projects that a stopped run left translating are ready again."""
+    return projects.withColumn("status", F.when(F.col("status") == "translating", "ready").otherwise(F.col("status")))
+
+
 def select_candidates(segments: DataFrame, ids: DataFrame | None = None, chapter_id: int | None = None, retry_errors: bool = True, force: bool = False) -> DataFrame:
     """Eligible segments. No ``ids`` table means all, an empty one none; ids that repeat or are foreign do nothing."""
     states = ["pending"] + ["error"] * retry_errors + ["done", "reviewed"] * force
@@ -151,6 +158,19 @@ def purge_project(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("project_id").distinct(), "project_id", "left_anti")
 
 
+def purge_projects(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All ``tables`` that hang on projects without the rows of those that go, and (name, removed) of each. A table of
+    projects has their key as id; the translation memory is shared and isn't given here."""
+    ids = gone.select("project_id").distinct()
+    left, counts = {}, []
+    for name, table in tables.items():
+        key = "project_id" if "project_id" in table.columns else "id"
+        named = ids.withColumnRenamed("project_id", key)
+        left[name] = table.join(named, key, "left_anti")
+        counts.append(table.join(named, key, "left_semi").agg(F.lit(name).alias("name"), F.count("*").alias("removed")))
+    return left, reduce(DataFrame.unionByName, counts)
+
+
 def project_status(projects: DataFrame, segments: DataFrame, stopped: bool = False) -> DataFrame:
     """(project_id, status): ready while the run was stopped or work is open, else done."""
     open_ = segments.groupBy("project_id").agg(F.max(F.col("status").isin("pending", "processing", "error")).alias("_open"))

@@ -51,7 +51,7 @@ def struct_path() -> tuple[Column, Column]:
     """Segments carry source_type, file, xpath and token_index of their path."""
     kind = F.col("source_type")
     bad = kind.isNull() | ((kind == "epub") & (F.col("file").isNull() | F.col("xpath").isNull())) | ((kind == "md") & F.col("token_index").isNull())
-    return bad, _issue("struct_path_invalid", "error", F.coalesce(kind, F.lit("")))
+    return bad, _issue("invalid_structure_path", "error", F.coalesce(kind, F.lit("")))
 
 
 ROW_RULES = {"qa_missing": missing_translation, "qa_length_ratio": length_ratio, "qa_placeholders": placeholder_missing, "qa_english_residual": english_residual, "qa_struct_path": struct_path}

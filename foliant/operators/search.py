@@ -11,9 +11,11 @@ from ..functions import text as T
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page in order, with the total and the number of pages. The sort keeps ``size`` rows a task."""
-    total = rows.count()
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size).withColumns({"total": F.lit(total), "pages": F.lit(-(-total // size))})
+    """One page in order, with the total and the number of pages. The sort keeps a page's rows a task; nothing runs
+    before the result is asked for."""
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    cut = rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
+    return cut.withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def segment_page(segments: DataFrame, project_id: int | None = None, chapter_id: int | None = None, statuses: list[str] | None = None, search: str = "", page: int = 1, size: int = 50) -> DataFrame:

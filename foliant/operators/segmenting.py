@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.helpers import split_text
+from .render import restore_links
 
 BLOCK_KEYS = ("source_type", "file", "xpath", "token_index", "chapter_ord", "block_index")
 
 
+def ordinals(rows: DataFrame, order: list[str], project: str = "project_id", chapter: str = "chapter_ord") -> DataFrame:
+    """``ord``: each row's place in its project, by chapter and ``order``. Chapters' counts are summed first, so rows are
+    sorted by chapter and no task gets a whole project."""
+    over = Window.partitionBy(project).orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(project, chapter).agg(F.count("*").alias("_n"))
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(project, chapter).orderBy(*order)
+    return rows.join(base, [project, chapter]).withColumn("ord", F.col("_base") + F.row_number().over(inside) - 1).drop("_base")
+
+
 def assign_chapters(blocks: DataFrame, project: str = "project_id") -> DataFrame:
     """Markdown blocks (token_index, kind, level, text): a heading of level 1 or 2 opens a chapter with its text as
     title, blank ones "Untitled"; blocks before the first make a chapter without title. Ords count from 0."""
@@ -42,11 +53,11 @@ def split_parts(blocks: DataFrame, most: int = 1500, markdown: bool = False) ->
 
 def segment_documents(blocks: DataFrame, path: Column, most: int = 1500, markdown: bool = True, project: str = "project_id") -> DataFrame:
     """Pending segments of translatable blocks (chapter_ord, block_index, text): pieces in order, their hash and
-    their stable key from ``path``. One shuffle by project serves the order."""
+    their stable key from ``path``. One shuffle by project and chapter serves the order."""
     pieces = split_parts(blocks, most, markdown)
-    order = Window.partitionBy(project).orderBy("chapter_ord", "block_index", "part_index")
+    pieces = ordinals(pieces, ["block_index", "part_index"], project)
     key = T.stable_key(F.col("chapter_ord"), F.col("block_index"), path, F.col("part_index"), F.col("part_count"))
-    return pieces.withColumns({"src_hash": T.source_hash(F.col("text")), "stable_key": key, "ord": F.row_number().over(order) - 1, "status": F.lit("pending")})
+    return pieces.withColumns({"src_hash": T.source_hash(F.col("text")), "stable_key": key, "status": F.lit("pending")})
 
 
 def regroup_blocks(segments: DataFrame, text: Column, project: str = "project_id", keys: tuple[str, ...] = BLOCK_KEYS) -> DataFrame:
@@ -57,10 +68,12 @@ def regroup_blocks(segments: DataFrame, text: Column, project: str = "project_id
 
 
 def block_translation(segments: DataFrame, include_untranslated: bool, project: str = "project_id", keys: tuple[str, ...] = BLOCK_KEYS) -> DataFrame:
-    """Each block's translation: targets of completed parts, sources of others if asked for; null if none is
+    """Each block's translation: targets of completed parts with their sources' link targets, sources of others if asked for; null if none is
     translated and sources aren't asked for."""
     ready = T.completed(F.col("status")) & F.col("target_text").isNotNull()
-    text = F.when(ready, F.col("target_text")).otherwise(F.col("source_text") if include_untranslated else F.lit(""))
+    linked = ready & F.contains("target_text", F.lit("]("))  # only these go to Python
+    target = F.when(linked, restore_links(F.when(linked, F.col("source_text")), F.when(linked, F.col("target_text")))).otherwise(F.col("target_text"))
+    text = F.when(ready, target).otherwise(F.col("source_text") if include_untranslated else F.lit(""))
     grouped = regroup_blocks(segments, text, project, keys)
     if include_untranslated:
         return grouped

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import page_of
 
 KEYS = ["src_hash", "source_lang", "target_lang"]
 
@@ -27,9 +28,10 @@ def tm_lookup(segments: DataFrame, tm: DataFrame, force: bool = False) -> DataFr
 
 
 def tm_batch_dedup(candidates: DataFrame) -> DataFrame:
-    """``leader``: the one row of each key that is translated; the others take its result."""
-    order = Window.partitionBy(*KEYS).orderBy("project_id", "ord", "id")
-    return candidates.withColumn("leader", F.row_number().over(order) == 1)
+    """``leader``: the one row of each key that is translated; the others take its result. Leaders
+    come from partial minima and meet their rows by id, so a frequent text gathers nothing."""
+    first = candidates.groupBy(*KEYS).agg(F.min(F.struct("project_id", "ord", "id")).alias("m")).select(F.col("m.id").alias("id"), F.lit(True).alias("leader"))
+    return candidates.join(first, "id", "left").withColumn("leader", F.coalesce("leader", F.lit(False)))
 
 
 def tm_hit_counts(tm: DataFrame, hits: DataFrame, now: str) -> DataFrame:
@@ -72,6 +74,4 @@ def tm_page(tm: DataFrame, source_lang: str, target_lang: str, search: str = "",
     out = tm.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang))
     if search:
         out = out.where(T.contains_folded(F.col("source_text"), search) | T.contains_folded(F.col("target_text"), search))
-    total = out.count()
-    rows = out.orderBy(F.desc("hit_count"), F.desc("updated_at"), F.desc("src_hash")).offset((page - 1) * size).limit(size)
-    return rows.withColumns({"total": F.lit(total), "pages": F.lit(-(-total // size))})
+    return page_of(out, [F.desc("hit_count"), F.desc("updated_at"), F.desc("src_hash")], page, size)

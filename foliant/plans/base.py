@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import segmenting as SG
 from ..operators import tm as M
 
 NOW = "2026-06-01T00:00:00.000Z"
@@ -14,11 +18,23 @@ LANGS = ["en", "fr", "de", "es"]
 MODELS = ["gpt-5-mini", "x/gpt-4o-2026", "deepseek-v4-pro", "unknown-model", ""]
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder's path where the driver and all executors see it; a temporary one in local mode alone."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="foliant-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Base:
     """Derived tables of one scale; each is built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -28,8 +44,7 @@ class Base:
         return docs.select("doc_id", F.substring("source", 4, 10).cast("long").alias("project_id"), F.posexplode(F.split("text", "\n")).alias("line", "body")).where(~T.is_blank(F.col("body")))
 
     def segments(self) -> DataFrame:
-        order = Window.partitionBy("project_id").orderBy("doc_id", "line")
-        s = self.lines().withColumn("ord", F.row_number().over(order).cast("long") - 1)
+        s = SG.ordinals(self.lines(), ["line"], chapter="doc_id").withColumn("ord", F.col("ord").cast("long"))
         pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("ord") % n + 1).cast("int"))
         mark = F.when(F.col("ord") % 11 == 0, " {name}").when(F.col("ord") % 11 == 1, " %s").when(F.col("ord") % 11 == 2, " <b>").otherwise("")
         s = s.withColumns({"source_text": F.concat("body", mark), "status": pick(STATES, 7)})
@@ -73,7 +88,12 @@ class Base:
         return g.select("id", "project_id", "source_term", F.upper("source_term").alias("target_term"), F.when(F.col("id") % 5 == 0, "note").alias("note"), (F.col("id") % 3 == 0).alias("case_sensitive"), (F.col("id") % 4 != 0).alias("enabled"))
 
     def languages(self) -> DataFrame:
-        return M.with_languages(self.segments(), self.projects())
+        """Segments with their languages, written once: queries on the memory read them several times."""
+        if "languages" not in self.kept:
+            made, path = M.with_languages(self.segments(), self.projects()), shared(self.spark, "ledger")
+            made.write.parquet(path)
+            self.kept["languages"] = self.spark.read.schema(made.schema).parquet(path)
+        return self.kept["languages"]
 
     def memory(self) -> DataFrame:
         """Texts whose hash begins with an even digit."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -54,15 +55,16 @@ def _members(content: bytes) -> list[tuple[str, int, int]] | None:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """(path, name, size, packed) of every member; a file that is no archive has one row without a name."""
+    """(path, name, size, packed, is_archive) of every member; a file without members has one row without a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *m) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in (_members(c or b"") or [(None, None, None)])]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "name", "size", "packed"])
+            found = [(p, _members(c or b"")) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(p, *m, members is not None) for p, members in found for m in (members or [(None, None, None)])]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "name", "size", "packed", "is_archive"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, name string, size long, packed long")
+    return files.select("path", "content").mapInArrow(run, "path string, name string, size long, packed long, is_archive boolean")
 
 
 def screen_archives(members: DataFrame, most_members: int = MEMBERS, most_bytes: int = EXPANDED, most_ratio: float = RATIO) -> DataFrame:
@@ -70,7 +72,7 @@ def screen_archives(members: DataFrame, most_members: int = MEMBERS, most_bytes:
     name = F.replace("name", F.lit("\\"), F.lit("/"))
     unsafe = name.startswith("/") | F.array_contains(F.split(name, "/"), "..")
     bomb = (F.col("size") > LARGE) & (F.col("size") / F.greatest("packed", F.lit(1)) > most_ratio)
-    own = members.groupBy("path").agg(F.count("name").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max(F.coalesce(unsafe, F.lit(False))).alias("_u"), F.max(F.coalesce(bomb, F.lit(False))).alias("_b"), F.max(F.col("name").isNull()).alias("_z"))
+    own = members.groupBy("path").agg(F.count("name").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max(F.coalesce(unsafe, F.lit(False))).alias("_u"), F.max(F.coalesce(bomb, F.lit(False))).alias("_b"), F.max(~F.col("is_archive")).alias("_z"))
     verdict = F.when(F.col("_z"), "not an archive").when(F.col("members") > most_members, "too many members").when(F.col("_u"), "unsafe path").when(F.col("bytes") > most_bytes, "too large").when(F.col("_b"), "suspicious ratio").otherwise("ok")
     return own.select("path", "members", "bytes", verdict.alias("verdict"))
 
@@ -97,15 +99,20 @@ def spine(content: bytes) -> list[tuple[int, str, str]]:
 
 
 def read_epub(files: DataFrame) -> DataFrame:
-    """(path, spine_ord, file, html) of every EPUB; screen archives first."""
+    """(path, spine_ord, file, html, reason) of every EPUB; one that can't be read is a row with a reason alone. Screen
+    archives first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = spine(content)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["path", "spine_ord", "file", "html"])
+                try:
+                    rows = [(*r, None) for r in spine(content or b"")]
+                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, RuntimeError, NotImplementedError, TypeError, zlib.error) as e:
+                    rows = [(None, None, None, f"{type(e).__name__}: {e}")]
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["path", "spine_ord", "file", "html", "reason"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, spine_ord int, file string, html string")
+    return files.select("path", "content").mapInArrow(run, "path string, spine_ord int, file string, html string, reason string")
 
 
 def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -144,8 +151,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_manifest(projects: DataFrame, rendered: DataFrame, timestamp: str) -> DataFrame:
-    """(project_id, filename, media_type, size, sha256, status) for rendered books (project_id, text); projects have
-    title and source_type."""
+    """(project_id, part, filename, media_type, size, sha256, status) for rendered books in parts (project_id, part,
+    text), a chapter each, so that no value holds a whole book; projects have title and source_type."""
     stem = F.regexp_replace(F.regexp_replace("title", "(?U)[^\\w一-鿿.-]+", "-"), "^[-.]+|[-.]+$", "")
     stem = F.lower(F.coalesce(F.nullif(F.substring(stem, 1, 80), F.lit("")), F.lit("translation")))
     epub = F.col("source_type") == "epub"
@@ -153,13 +160,13 @@ def export_manifest(projects: DataFrame, rendered: DataFrame, timestamp: str) ->
     name = F.concat(stem, F.lit("-p"), F.col("project_id").cast("string"), F.lit(f"-{timestamp}."), F.when(epub, "epub").otherwise("md"))
     kind = F.when(epub, "application/epub+zip").otherwise("text/markdown")
     raw = F.encode("text", "UTF-8")
-    return out.select("project_id", name.alias("filename"), kind.alias("media_type"), F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("sha256"), F.lit("ready").alias("status"), "text")
+    return out.select("project_id", "part", name.alias("filename"), kind.alias("media_type"), F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("sha256"), F.lit("ready").alias("status"), "text")
 
 
 def export_sink(projects: DataFrame, rendered: DataFrame, path: str, timestamp: str) -> None:
-    """Books as text by project, and their manifest as Parquet."""
+    """Books as text by project, their parts in order of name, and their manifest as Parquet."""
     out = export_manifest(projects, rendered, timestamp)
-    out.select(F.col("text").alias("value"), "project_id").write.mode("overwrite").option("lineSep", "\n").partitionBy("project_id").text(f"{path}/books")
+    out.select(F.col("text").alias("value"), "project_id", "part").repartitionByRange("project_id", "part").sortWithinPartitions("project_id", "part").drop("part").write.mode("overwrite").option("lineSep", "\n").partitionBy("project_id").text(f"{path}/books")
     out.drop("text").write.mode("overwrite").parquet(f"{path}/manifest")
 
 

@@ -14,8 +14,10 @@ STATE = "text string, status string, last_id long"
 IDLE_MS = 86_400_000
 
 
-def stream_dedup(events: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each event id once. Ids repeat only for a while, so the watermark bounds what is remembered."""
+def stream_dedup(events: DataFrame, time: str = "ts", late: str = "1 hour", after: int | None = None) -> DataFrame:
+    """Each event id once, those at or below ``after``, the last one sent, not at all. Ids repeat only for a while, so the watermark bounds what is remembered."""
+    if after is not None:
+        events = events.where(F.col("id") > after)
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(["project_id", "id"])
 
 
