@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import neardup
 from .components import components
 from .ragged import blocks, texts_of
-from .store import attach, partitions, written
+from .store import attach, partitions, remove, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
@@ -194,12 +194,14 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, component_id) of every row, and (node, root, component_id) of every set of shingles."""
     table = written(described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle), "shingles")
-    roots = components(links(table, candidates(table)))
-    nodes = table.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    names = written(table.select("doc_id", "node"), "nodes")
+    roots = components(links(table, candidates(table)))  # its edges are written by now, and the sets are done with
+    remove(table, "shingles")
+    nodes = names.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = written(nodes.join(roots, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("k"))
     found = written(attach(rooted.drop("first"), least, "root", n="k").select("node", "root", "component_id", "n"), "classes")
-    return attach(table.select("doc_id", "node"), found, "node").select("doc_id", "component_id"), found.drop("n")
+    return attach(names, found, "node").select("doc_id", "component_id"), found.drop("n")
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:

@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(table: DataFrame, name: str) -> None:
+    """Deletes a table that ``written`` made under ``name``, when nothing will read it again."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if f"/{name}-" in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
