@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import attach, written
+from .store import attach, remove, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the least node of its component. Every round links
     the greater neighbours of a node, then the lesser ones, to the least node in sight; paths shorten to stars in
     about log(nodes) rounds. Each node's least neighbour comes from a partial sum, and reaches a hub's edges without
-    bringing them together."""
+    bringing them together. A round's tables are deleted when the next one's are written."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = written(large, "stars")
         down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         small = attach(large, down, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q"))
-        edges = written(small.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "edges")
+        old, edges = edges, written(small.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "edges")
+        remove(old, "edges"), remove(large, "stars")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -149,7 +149,9 @@ def candidates(table: DataFrame) -> DataFrame:
     named = lambda c: F.xxhash64(F.lit("fingerprint"), F.col(c))
     near = neardup.links(prints, neardup.plan(prints)).select(named("a").alias("a"), named("b").alias("b"))
     same = table.where("size > 0").select(F.col("node").alias("a"), named("fp").alias("b"))
-    return components(banded.union(same).union(near))
+    found = components(banded.union(same).union(near))  # its edges are written by now
+    remove(keys, "bands"), remove(prints, "prints")
+    return found
 
 
 def links(table: DataFrame, roots: DataFrame) -> DataFrame:
