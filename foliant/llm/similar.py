@@ -5,8 +5,9 @@ Candidates come from fingerprints: SimHash as in operator 4, and ``BANDS`` indep
 each. At a similarity of 0.8 the bands alone miss some 7 pairs of 10000, fewer above. What fingerprints join makes
 candidate groups, which only bound the work: inside a group every link is found by comparing whole shingle sets.
 
-Equal sets are one node before any of this. Groups over ``NODES`` nodes or ``GRAMS`` shingles are dealt out over
-pairs of blocks, and a cell yields a spanning forest of its links.
+Equal sets are one node before any of this. Groups over ``NODES`` nodes or ``GRAMS`` shingles are cut into rings around
+a pivot; what lies near it is linked to it at once, and only rings that can hold further links are dealt out over pairs
+of blocks. A cell yields a spanning forest of its links.
 
 Defined results: null, empty and blank texts have the empty set and link with each other; fewer words than a shingle
 are one shingle. A null doc_id is no candidate for the smallest one.
@@ -15,6 +16,8 @@ are one shingle. A null doc_id is no candidate for the smallest one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,8 @@ from .store import attach, partitions, remove, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
-NODES, GRAMS = 2048, 1 << 20
+NODES, GRAMS = 1024, 1 << 20
+PIVOTS = 8
 #: Bytes kept of a shingle's hash: in a pair of texts of 20,000 words, unlike shingles fall together with a chance of
 #: one in 700,000.
 WIDTH = 6
@@ -154,43 +158,125 @@ def candidates(table: DataFrame) -> DataFrame:
     return found
 
 
+def by_cell(dealt: DataFrame, make, schema: str, *order: str) -> DataFrame:
+    """What ``make`` yields for the rows (tuples that begin with root and cell) of each cell, in ``order``."""
+    dealt = dealt.repartition(partitions(dealt.sparkSession), "root", "cell").sortWithinPartitions("root", "cell", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns), strict=True))
+        for _, cell in groupby(rows, key=itemgetter(0, 1)):
+            yield from make(cell)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def rings(table: DataFrame, big: DataFrame) -> DataFrame:
+    """(root, node, row, size, pivot, ring, near) of the nodes of ``big``, groups over one block. Some nodes of a group
+    are drawn as pivots and meet every block; the one with the most near nodes counts. One minus the similarity is a
+    distance, so linked nodes lie in one ring around the pivot or in neighbouring ones, rings being as wide as a link
+    reaches."""
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(PIVOTS)]
+    drawn = big.groupBy("root").agg(F.array(*draws).alias("all")).select(F.explode(F.array_distinct("all")).alias("node"), F.lit(0).alias("late"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = F.when(F.col("late") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(own))
+    held = big.join(drawn, "node", "left").select("root", "node", "row", "size", own.alias("own"), F.coalesce("late", F.lit(1)).alias("late"), cells.alias("cells"))
+    held = written(held, "pivots")
+    sets = table.select("row", "grams").where(sieve(held, "row")).join(held, "row")
+    dealt = sets.select("root", F.explode("cells").alias("cell"), "late", "own", "node", "row", "size", "grams")
+    p, q = SIMILARITY
+    schema = "root long, node long, row long, size long, pivot long, ring int, near boolean"
+    kinds = (*[pa.int64()] * 5, pa.int32(), pa.bool_())
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def make(cell: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        pivots: list[tuple[int, np.ndarray]] = []
+        waiting: list[tuple] = []
+        out: list[tuple] = []
+
+        def place(root, node, row, size, grams):
+            for pivot, other in pivots:
+                common = len(np.intersect1d(grams, other, assume_unique=True))
+                union = len(grams) + len(other) - common
+                out.append((root, node, row, size, pivot, q * (union - common) // ((q - p) * union), common * q >= p * union))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for root, at, late, own, node, row, size, raw in cell:
+            grams = wide(raw.as_buffer())
+            if not late:
+                pivots.append((node, grams))
+                if own == at:
+                    waiting.append((root, node, row, size, grams))
+                continue
+            place(root, node, row, size, grams)
+            if len(out) >= 4096:
+                yield batch()
+                out.clear()
+        for x in waiting:
+            place(*x)
+        if out:
+            yield batch()
+
+    found = written(by_cell(dealt, make, schema, "late"), "rings")
+    votes = found.groupBy("root", "pivot").agg(F.count_if("near").alias("near"), F.count("*").alias("n"))
+    best = votes.groupBy("root").agg(F.max(F.struct("near", "pivot"))["pivot"].alias("best"), F.sum("n").alias("n"))
+    return attach(found, best, "root").where("pivot = best").drop("best")
+
+
+def blocks_of(n: Column, grams: Column) -> Column:
+    return F.ceil(F.greatest(n / NODES, grams / GRAMS)).cast("int")
+
+
+def ring_cells() -> Column:
+    """Cells of a node: its block meets the blocks of its own ring, but for the innermost, which the pivot joins, and
+    those of the rings beside it. A cell is named by a hash of its two blocks; cells of one name are compared as one."""
+    ring, own = F.col("ring"), F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("ring"))).cast("int")
+
+    def met(step: int) -> Column:
+        def name(j: Column) -> Column:
+            if step == 0:
+                return F.xxhash64(ring, F.least(own, j), ring, F.greatest(own, j))
+            ends = [ring, own, ring + 1, j] if step == 1 else [ring - 1, j, ring, own]
+            return F.xxhash64(*ends)
+
+        made = F.transform(F.sequence(F.lit(0), F.element_at("blocks", ring + step) - 1), name)
+        return F.coalesce(F.when((ring > 0) | F.lit(step != 0), made), F.array().cast("array<bigint>"))
+
+    return F.concat(met(-1), met(0), met(1))
+
+
 def links(table: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): links enough to join what any links join; each is a pair of nodes whose whole sets were compared."""
+    """(a, b): links enough to join what any links join; each is a pair of nodes whose whole sets were compared. A group
+    of one block is a cell. In a greater one all that is near the pivot is linked to it, and only rings with neighbours
+    are dealt out over pairs of blocks, so a dense group costs in proportion to its size."""
     leads = table.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"))
     held = written(roots.join(leads, "node"), "candidates")
-    n_blocks = F.ceil(F.greatest(F.count("*") / NODES, F.sum("size") / GRAMS)).cast("int")
-    groups = held.groupBy("root").agg(n_blocks.alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    groups = held.groupBy("root").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    groups = written(groups, "groups")
     held = attach(held, groups, "root")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
-    )
+    celled = held.where("blocks = 1").select("row", "node", "root", F.array(F.lit(0).cast("long")).alias("cells"))
+    starred = None
+    if not groups.where("blocks > 1").isEmpty():
+        ringed = written(rings(table, held.where("blocks > 1")), "ringed")
+        sizes = ringed.groupBy("root", "ring").agg(blocks_of(F.count("*"), F.sum("size")).alias("b"), F.count("*").alias("n"))
+        shapes = sizes.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("ring", "b"))).alias("blocks"), F.sum("n").alias("n"))
+        dealt = attach(ringed, shapes, "root").select("row", "node", "root", ring_cells().alias("cells"))
+        celled = celled.union(dealt.where(F.size("cells") > 0))
+        starred = ringed.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     # only the sets of candidates move: a sieve of their rows stands before the shuffle of sets
-    held = written(held.select("row", "node", "root", cells.alias("cells")), "cells")
+    held = written(celled, "cells")
     sets = table.select("row", "grams").where(sieve(held, "row")).join(held, "row")
     dealt = sets.select("root", F.explode("cells").alias("cell"), "node", "grams")
-    dealt = dealt.repartition(partitions(table.sparkSession), "root", "cell").sortWithinPartitions("root", "cell")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, grams = None, [], []
 
-        def edges() -> pa.RecordBatch:
-            a, b = forest(np.array(nodes, np.int64), grams) if len(nodes) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def make(cell: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list(cell)
+        if len(rows) > 1:
+            a, b = forest(np.array([row[2] for row in rows], np.int64), [wide(row[3].as_buffer()) for row in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            root, cell, node, sets = batch.columns
-            for r, c, n, g in zip(root.to_pylist(), cell.to_pylist(), node.to_pylist(), sets, strict=True):
-                if (r, c) != at and nodes:
-                    yield edges()
-                    nodes, grams = [], []
-                at = (r, c)
-                nodes.append(n)
-                grams.append(wide(g.as_buffer()))
-        if nodes:
-            yield edges()
-
-    return dealt.mapInArrow(run, "a long, b long")
+    found = by_cell(dealt, make, "a long, b long")
+    return found.union(starred) if starred is not None else found
 
 
 def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:

@@ -103,6 +103,35 @@ def test_dealt_groups(spark, monkeypatch):
     assert got == slow_similar(rows) and set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("nodes", [3, 25, 1000])
+def test_rings_lose_no_link(spark, monkeypatch, nodes):
+    """Two drifting chains, a dense group and texts far from all, put into one group by hand: every ring is filled."""
+    monkeypatch.setattr(similar, "NODES", nodes)
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words[2 * k : 2 * k + 60]) for k in range(60)] + [" ".join(words[300 + 5 * k : 360 + 5 * k]) for k in range(40)]
+    texts += [" ".join([*words[100:190], f"y{k}"]) for k in range(50)] + [f"z{k} z z z z{k}" for k in range(20)]
+    rows = list(enumerate(texts))
+    table = store.written(similar.described(spark.createDataFrame(rows, "doc_id long, text string"), 5), "shingles")
+    found = {r["a"]: set() for r in table.select(F.col("node").alias("a")).collect()}
+    ids = {r["node"]: r["doc_id"] for r in table.collect()}
+    for r in similar.links(table, table.select("node", F.lit(1).cast("long").alias("root")).distinct()).collect():
+        a, b = shingle_set(texts[ids[r["a"]]]), shingle_set(texts[ids[r["b"]]])
+        assert 9 * len(a & b) >= 4 * (len(a) + len(b))
+        found[r["a"]].add(r["b"])
+        found[r["b"]].add(r["a"])
+    for d, c in slow_similar(rows).items():
+        assert min(ids[n] for n in reached(found, next(n for n, x in ids.items() if x == d))) == c
+
+
+def reached(edges, start):
+    seen, queue = {start}, [start]
+    while queue:
+        for n in edges[queue.pop()] - seen:
+            seen.add(n)
+            queue.append(n)
+    return seen
+
+
 @pytest.mark.parametrize("keep", [neardup.keep_first, similar.keep_first])
 def test_rows_without_an_id_stay_apart(spark, keep):
     words = [f"w{k}" for k in range(200)]
