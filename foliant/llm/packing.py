@@ -115,12 +115,13 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         words = words_of(tokenizer)
         for batch in batches:
             texts = pc.fill_null(batch.column(2), "")
-            for a, b in blocks(pc.binary_length(texts).to_pylist(), 1 << 22):
+            for a, b in blocks(pc.binary_length(texts).to_pylist(), 1 << 20):
                 part = batch.slice(a, b - a)
                 ids, sizes = words.ids(texts[a:b])
                 ends = np.cumsum(sizes)
                 rows = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(rows, pa.binary())], ["doc_id", "source", "n", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     found = frame.mapInArrow(run, "doc_id long, source string, n long, ids binary")
     return found.select(F.monotonically_increasing_id().alias("row"), "*")

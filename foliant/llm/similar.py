@@ -34,7 +34,7 @@ from .store import attach, partitions, remove, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
-NODES, GRAMS = 1024, 1 << 20
+NODES, GRAMS = 1024, 1 << 19
 PIVOTS = 8
 #: Bytes kept of a shingle's hash: in a pair of texts of 20,000 words, unlike shingles fall together with a chance of
 #: one in 700,000.
@@ -166,6 +166,7 @@ def by_cell(dealt: DataFrame, make, schema: str, *order: str) -> DataFrame:
         rows = (row for batch in batches for row in zip(*(c if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns), strict=True))
         for _, cell in groupby(rows, key=itemgetter(0, 1)):
             yield from make(cell)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return dealt.mapInArrow(run, schema)
 
