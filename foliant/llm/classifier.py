@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import Memo, blocks, row_sums, texts_of
+from .ragged import Memo, blocks, give_back, row_sums, texts_of
 
 BUCKETS, RANK, SAMPLE = 1 << 15, 8, 8_000
 CUT = 0.3  # of the contract: predicted is 1 from this score on
@@ -179,6 +179,7 @@ def _scored(docs: DataFrame, machine: Machine, out: str) -> DataFrame:
                 got[a:b] = 1 / (1 + np.exp(-np.clip(m.margins(index, values, sizes, m.dense(stats))[0], -30, 30)))
                 memo.trim()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names)
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ragged import Memo, blocks, row_sums, spans
+from .ragged import Memo, blocks, give_back, row_sums, spans
 from .store import partitions, written
 
 WINDOW, CLOSING = 4096, 2
@@ -121,7 +121,7 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                 ends = np.cumsum(sizes)
                 rows = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(rows, pa.binary())], ["doc_id", "source", "n", "ids"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+            give_back()
 
     found = frame.mapInArrow(run, "doc_id long, source string, n long, ids binary")
     return found.select(F.monotonically_increasing_id().alias("row"), "*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +14,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands memory that Arrow and the C allocator hold but don't use back to the system: Spark keeps a Python worker
+    for the next task, and beside it the JVM needs the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of rows whose sizes add up to ``most`` at the most, or one longer row."""
     a, total = 0, 0

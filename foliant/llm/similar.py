@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import neardup
 from .components import components
-from .ragged import blocks, texts_of
+from .ragged import blocks, give_back, texts_of
 from .store import attach, partitions, remove, written
 
 SIMILARITY = (4, 5)  # as a fraction
@@ -79,6 +79,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *made], [x.split()[0] for x in TABLE.split(", ")])
+            give_back()
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, TABLE)
 
@@ -166,7 +167,7 @@ def by_cell(dealt: DataFrame, make, schema: str, *order: str) -> DataFrame:
         rows = (row for batch in batches for row in zip(*(c if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns), strict=True))
         for _, cell in groupby(rows, key=itemgetter(0, 1)):
             yield from make(cell)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 
