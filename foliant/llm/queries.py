@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, fingerprints, licenses, lm, neardup, packing, pages, pieces, rules
+from . import classifier, fingerprints, licenses, lm, manifest, neardup, packing, pages, pieces, rules, whitening, winnowing
 
 
 def tokenizer_file(name: str) -> str:
@@ -61,12 +61,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("steps")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict:
-    own = (op1_fingerprints, op2_quality_rules, op3_token_counts, op4_simhash, op5_pieces, op6_licenses, op7_packing, op8_lm_scores, op9_classifier, op10_html, pipeline)
+    own = (op1_fingerprints, op2_quality_rules, op3_token_counts, op4_simhash, op5_pieces, op6_licenses, op7_packing, op8_lm_scores, op9_classifier, op10_html, op11_manifest, op12_whitening, op13_winnowing, pipeline)
     return {f.__name__: f for f in own}
 
 
