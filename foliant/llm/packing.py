@@ -61,7 +61,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that stand in a text by their name, such as the closing one: a word with one is cut by the tokenizer.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.letters = byte_letters()
         self.words, self.parts = Memo(self._words, np.uint16, words), Memo(self._parts, np.uint16, parts)
 
@@ -71,7 +73,7 @@ class Words:
         return [[] if p == " " else [t.id for t in merge(p)] for p in spelled]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = {k: self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids for k, w in enumerate(words) if not PLAIN.fullmatch(w)}
+        whole = {k: self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids for k, w in enumerate(words) if not PLAIN.fullmatch(w) or self.added.search(w)}
         parts = PARTS.findall(" ".join(["" if k in whole else w for k, w in enumerate(words)]).lower())
         numbers = self.parts.numbers(parts)
         lengths = self.parts.lengths[numbers]

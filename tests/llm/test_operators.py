@@ -402,7 +402,6 @@ def test_packing(which, request):
 
     df, path = request.getfixturevalue(which), tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = Counter((d, tuple(tokenizer.encode(t, add_special_tokens=False).ids) + (2,)) for d, t in pairs_of(df))
     rows = [r.asDict() for r in packing.pack(df, path, with_ids=True).collect()]
     by_sequence, by_doc = {}, {}
@@ -433,8 +432,7 @@ def test_word_tokens_match_the_tokenizer(docs):
 
     path = tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = ["a \x01 b\x01c", "\x01\x01", "<|endoftext|> x", "Tab\there\x1cthere", "a\u00a0b  c\n\nd", "", "İstanbul ΣΑΣ don't 12 ½ é", "İ x İ", "e\u0301te\u0301 K Å"]
+    texts = ["a \x01 b\x01c", "\x01\x01", "<|endoftext|> x", "a <|endoftext|> b", "x<|startoftext|><|endoftext|>y <|ENDOFTEXT|>", "l\u2019<|endoftext|>\u0301e", "Tab\there\x1cthere", "a\u00a0b  c\n\nd", "", "İstanbul ΣΑΣ don't 12 ½ é", "İ x İ", "e\u0301te\u0301 K Å"]
     rng = random.Random(7)
     plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xC0, 0x17F))] + ["'s", "'RE", "n't", "''", "ß", "ŉ", "\n", " "] * 8
     texts += ["".join(rng.choices(plain, k=rng.randrange(1, 400))) for _ in range(300)]
