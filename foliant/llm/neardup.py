@@ -13,7 +13,7 @@ its pairs, which leaves components as they are and loses no link between differe
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
 shingle are one shingle. Repeated rows each get their row. A null doc_id is no candidate for the smallest one, and a
 class without any other has a null component_id.
-Other columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
+Other columns are ignored by ``near_duplicates`` and kept by ``keep_first``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .ragged import blocks, texts_of
-from .store import attach, partitions, written
+from .store import attach, free, partitions, written
 
 RADIUS, GROUP = 4, 4096
 SPACE = re.compile(rb"[ \t-\r]+")
@@ -92,7 +92,7 @@ def _bit_sums(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 5, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` with each row's fingerprint as a signed long."""
     keep = docs.columns if keep is None else keep
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(f"{out}_text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(f"{out}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +304,7 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, root, component_id) of every row, and (fp, root, component_id) of every fingerprint."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     table = written(fingerprinted(plain, shingle=shingle, keep=["doc_id"]), "simhash")
     prints = written(table.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     found = written(classes(prints.drop("n"), radius).join(prints.select("fp", "n"), "fp"), "classes")
@@ -312,7 +312,8 @@ def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row. Texts are read once and never shuffled."""
+    """(doc_id, fingerprint, component_id) for every row, doc_id of any type that has an order. Texts are read once and
+    never shuffled."""
     found, _ = _classed(docs, doc_id, text, shingle, radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -320,28 +321,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """One row of each class stays, with the columns of ``docs``; see ``keep_least`` for which."""
     rows, prints = _classed(docs, doc_id, text, shingle, radius)
+    (fp,) = free([*docs.columns, "fp", "root", "component_id"], "_fp")
 
-    def bare(frame: DataFrame) -> DataFrame:
-        return fingerprinted(frame, text, "_fp", shingle).join(prints.select(F.col("fp").alias("_fp"), F.col("root").alias("_class"), F.col("component_id").alias("_first")), "_fp").drop("_fp")
+    def bare(frame: DataFrame, group: str, first: str) -> DataFrame:
+        named = prints.select(F.col("fp").alias(fp), F.col("root").alias(group), F.col("component_id").alias(first))
+        return fingerprinted(frame, text, fp, shingle).join(named, fp).drop(fp)
 
     return keep_least(docs, rows, bare, doc_id, text)
 
 
 def keep_least(docs: DataFrame, found: DataFrame, bare, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each class's smallest doc_id, which is the component_id that ``found`` gives it. Rows that repeat a
-    doc_id are one document, and the copy with the least text stays. Rows without a doc_id are documents of their own:
-    they go where their class has a row with an id, else the one with the least text stays. ``bare`` adds _class and
-    _first, the class's component_id, to them."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept"))
-    rows = docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi")
-    row = F.struct(F.coalesce(F.col(text), F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    doc_id are one document, and the copy with the least text stays; of copies with one text, the first that is read.
+    Rows without a doc_id are documents of their own: they go where their class has a row with an id, else the one with
+    the least text stays. ``bare`` adds to them two columns of the names given: the class, and its component_id.
+    Columns may have any names and types, maps too: only doc_id and the text are compared."""
+    kept_name, group, first, number, best = free([*docs.columns, "fp", "root", "component_id", "node"], "_kept", "_class", "_first", "_number", "_best")
+    own, columns = F.col(f"`{doc_id}`"), [F.col(f"`{c}`") for c in docs.columns]
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_name)).distinct()
+    twice = docs.where(own.isNotNull()).groupBy(own.alias(kept_name)).agg(F.count("*").alias(number)).where(F.col(number) > 1).select(kept_name)
+    here = own == F.col(kept_name)
+    rows = docs.join(kept, here, "left_semi")
+
+    def least(frame: DataFrame, by: str) -> DataFrame:
+        """The row with the least text of each group."""
+        order = F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.col(number).alias("n"))
+        numbered = frame.withColumn(number, F.monotonically_increasing_id())
+        picked = numbered.groupBy(F.col(f"`{by}`")).agg(F.min_by(F.struct(*columns), order).alias(best))
+        return picked.select(*[F.col(f"`{best}`.`{c}`").alias(c) for c in docs.columns])
+
     if not twice.isEmpty():
-        again = rows.join(twice, rows[doc_id] == twice["_kept"], "left_semi")
-        rows = rows.join(twice, rows[doc_id] == twice["_kept"], "left_anti")
-        rows = rows.unionByName(again.groupBy(doc_id).agg(F.min(row).alias("m")).select("m.row.*"))
-    nameless = docs.where(F.col(doc_id).isNull())
-    if not nameless.select(doc_id).isEmpty():
-        alone = bare(nameless).where(F.col("_first").isNull())
-        rows = rows.unionByName(alone.groupBy("_class").agg(F.min(row).alias("m")).select("m.row.*"))
+        again = rows.join(twice, here, "left_semi")
+        rows = rows.join(twice, here, "left_anti").unionByName(least(again, doc_id))
+    nameless = docs.where(own.isNull())
+    if not nameless.select(own).isEmpty():
+        rows = rows.unionByName(least(bare(nameless, group, first).where(F.col(first).isNull()), group))
     return rows

@@ -10,7 +10,8 @@ a pivot; what lies near it is linked to it at once, and only rings that can hold
 of blocks. A cell yields a spanning forest of its links.
 
 Defined results: null, empty and blank texts have the empty set and link with each other; fewer words than a shingle
-are one shingle. A null doc_id is no candidate for the smallest one.
+are one shingle. A null doc_id is no candidate for the smallest one. doc_id may have any type that has an order. Other
+columns are ignored by ``similar`` and kept by ``keep_first``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from . import neardup
 from .components import components
 from .ragged import blocks, give_back, texts_of
-from .store import attach, partitions, remove, written
+from .store import attach, free, partitions, remove, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
@@ -59,11 +60,12 @@ def set_hash(grams: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(grams.tobytes(), neardup.SEED)], np.uint64).view(np.int64)[0])
 
 
-TABLE = "doc_id long, row long, node long, fp long, size long, bands array<long>, grams binary"
+TABLE = "row long, node long, fp long, size long, bands array<long>, grams binary"
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
     """Each row of (doc_id, text) with its shingle set, the set's hash as node, its SimHash and its band keys."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(TABLE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +80,10 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                         c.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *made], [x.split()[0] for x in TABLE.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *made], schema.names)
             give_back()
 
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, TABLE)
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, schema)
 
 
 def wide(raw: pa.Buffer) -> np.ndarray:
@@ -283,7 +285,7 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, component_id) of every row, and (node, root, component_id) of every set of shingles."""
-    table = written(described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle), "shingles")
+    table = written(described(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle), "shingles")
     names = written(table.select("doc_id", "node"), "nodes")
     roots = components(links(table, candidates(table)))  # its edges are written by now, and the sets are done with
     remove(table, "shingles")
@@ -302,16 +304,17 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each class stays, with the columns of ``docs``; see ``neardup.keep_least`` for which."""
     rows, nodes = _classed(docs, doc_id, text, shingle)
+    (node,) = free([*docs.columns, "node", "root", "component_id"], "_node")
 
-    def bare(frame: DataFrame) -> DataFrame:
-        names = [*frame.columns, "_node"]
+    def bare(frame: DataFrame, group: str, first: str) -> DataFrame:
+        names, at = [*frame.columns, node], frame.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [set_hash(np.unique(np.array(neardup.shingle_hashes(t, shingle), np.uint64))) for t in texts_of(batch, text)]
+                own = [set_hash(np.unique(np.array(neardup.shingle_hashes(t or "", shingle), np.uint64))) for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names)
 
-        found = frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("_node", T.LongType())]))
-        return found.join(nodes.select(F.col("node").alias("_node"), F.col("root").alias("_class"), F.col("component_id").alias("_first")), "_node").drop("_node")
+        found = frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(node, T.LongType())]))
+        return found.join(nodes.select(F.col("node").alias(node), F.col("root").alias(group), F.col("component_id").alias(first)), node).drop(node)
 
     return neardup.keep_least(docs, rows, bare, doc_id, text)

@@ -38,6 +38,18 @@ def remove(table: DataFrame, name: str) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Each name with underscores added until no column has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
