@@ -2,30 +2,105 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from ..functions import text as T
+from .spread import salted_join
+
+#: Characters of segments, and terms, that meet in one group: what a task holds at once, whatever a project's size.
+CHARS, TERMS = 2_000_000, 20_000
+TERM = ("term_id", "source_term", "target_term", "note", "case_sensitive")
+
+
+@lru_cache(maxsize=4)
+def automata(terms: tuple[tuple[str, bool], ...]) -> tuple:
+    """Two automata of the terms (text, case sensitive), one for texts as they are and one for folded texts. Each finds
+    every place where any term ends in one pass over a text; a place gives the numbers of the terms and their length."""
+    made = []
+    for sensitive in (True, False):
+        found: dict[str, list[int]] = {}
+        for k, (term, exact) in enumerate(terms):
+            if exact == sensitive:
+                found.setdefault(term if exact else term.casefold(), []).append(k)
+        machine = ahocorasick.Automaton()
+        for term, numbers in found.items():
+            machine.add_word(term, (len(term), numbers))
+        if found:
+            machine.make_automaton()
+        made.append(machine if found else None)
+    return tuple(made)
+
+
+def places(text: str, machines: tuple) -> dict[int, list[int]]:
+    """Where each term begins in ``text``, overlapping places included. Folding may make a text longer; the character
+    that gave a folded one is what counts."""
+    out: dict[int, list[int]] = {}
+    exact, folded = machines
+    if exact is not None:
+        for end, (size, numbers) in exact.iter(text):
+            for k in numbers:
+                out.setdefault(k, []).append(end - size + 1)
+    if folded is not None:
+        low = text.casefold()
+        home = None if len(low) == len(text) else np.repeat(np.arange(len(text)), [len(c.casefold()) for c in text])
+        for end, (size, numbers) in folded.iter(low):
+            at = end - size + 1
+            for k in numbers:
+                out.setdefault(k, []).append(at if home is None else int(home[at]))
+    return {k: sorted(set(v)) for k, v in out.items()}
+
+
+def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """Segments (id, project_id, source_text and more) with each enabled term of their project that their source holds
+    as a substring, and ``starts``, its places. A project's segments are dealt into groups of ``CHARS`` characters and
+    its terms into groups of ``TERMS``; where a group of each meets, one pass of an automaton over each text finds all
+    its terms. Time grows with the texts and what is found, not with texts times terms; texts of projects without terms
+    are not moved."""
+    live = terms.where(F.col("enabled") & (F.length("source_term") > 0))
+    live = live.select("project_id", F.col("id").alias("term_id"), "source_term", "target_term", "note", "case_sensitive")
+    shards = F.ceil(F.count("*") / TERMS).cast("int")
+    splits = F.ceil(F.sum(F.length("source_text")) / CHARS + F.lit(1e-9)).cast("int")
+    shape = live.groupBy("project_id").agg(shards.alias("_shards")).join(segments.groupBy("project_id").agg(splits.alias("_splits")), "project_id")
+    shape = shape.withColumn("_splits", F.coalesce("_splits", F.lit(1)))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = salted_join(segments.where("source_text IS NOT NULL"), shape, "project_id", "id")
+    left = left.withColumn("_split", F.pmod(F.xxhash64("id", "source_text"), F.col("_splits")).cast("int")).withColumn("_shard", upto("_shards")).drop("_splits", "_shards")
+    right = salted_join(live, shape, "project_id", "term_id")
+    right = right.withColumn("_shard", F.pmod(F.xxhash64("source_term", "term_id"), F.col("_shards")).cast("int")).withColumn("_split", upto("_splits")).drop("_splits", "_shards")
+    kinds = {f.name: f for f in live.schema.fields}
+    schema = ty.StructType([*segments.schema.fields, *(kinds[c] for c in TERM), ty.StructField("starts", ty.ArrayType(ty.IntegerType()))])
+    own = segments.columns
 
+    def meet(texts: pa.Table, glossary: pa.Table) -> pa.Table:
+        pairs: tuple[list[int], list[int], list[list[int]]] = ([], [], [])
+        if len(texts) and len(glossary):
+            machines = automata(tuple(zip(glossary.column("source_term").to_pylist(), glossary.column("case_sensitive").to_pylist(), strict=True)))
+            for n, text in enumerate(texts.column("source_text").to_pylist()):
+                for k, starts in places(text, machines).items():
+                    pairs[0].append(n), pairs[1].append(k), pairs[2].append(starts)
+        mine = texts.select(own).take(pa.array(pairs[0], pa.int64()))
+        found = glossary.select(list(TERM)).take(pa.array(pairs[1], pa.int64()))
+        return pa.table([*mine.columns, *found.columns, pa.array(pairs[2], pa.list_(pa.int32()))], names=[*own, *TERM, "starts"])
 
-def _match(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """Segments with each enabled term of their project that their source contains, as a substring. Texts and terms
-    are folded once, before the join; the join is on the project, Spark choosing how by the terms' size."""
-    t = terms.where("enabled").select("project_id", F.col("id").alias("term_id"), "source_term", "target_term", "note", "case_sensitive")
-    t = t.withColumn("_t", F.when(F.col("case_sensitive"), F.col("source_term")).otherwise(T.casefold(F.col("source_term"))))
-    s = segments.withColumn("_folded", T.casefold(F.col("source_text")))
-    text = F.when(F.col("case_sensitive"), F.col("source_text")).otherwise(F.col("_folded"))
-    return s.join(t, "project_id").where(F.contains(text, F.col("_t"))).drop("_t", "_folded")
+    keys = ("project_id", "_split", "_shard")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 def glossary_matches(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """A row for each segment and term; blank terms never match."""
-    return _match(segments, terms.where(~T.is_blank(F.col("source_term"))))
+    """A row for each segment and term, with the places of the term; blank terms never match."""
+    return term_places(segments, terms.where(~T.is_blank(F.col("source_term"))))
 
 
 def glossary_mismatches(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Terms in a source whose target term is missing in the target."""
-    wide = _match(segments, terms)
+    wide = term_places(segments, terms)
     there = F.when(F.col("case_sensitive"), F.contains("target_text", "target_term")).otherwise(F.contains(T.casefold(F.col("target_text")), T.casefold(F.col("target_term"))))
     return wide.where(~F.coalesce(there, F.lit(False)))
 

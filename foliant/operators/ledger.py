@@ -12,11 +12,14 @@ from ..functions.helpers import restore_markers
 
 PROVIDER_ERROR = "Translation provider request failed"
 CLEARED = ("target_text", "error_msg", "token_in", "token_out", "provider")
+#: What a row counts by; changes carry it as it was, in ``old``.
+COUNTED = ("chapter_id", "status", "token_in", "token_out")
 
 
 def ledger_merge(stored: DataFrame, drafts: DataFrame, now: str) -> DataFrame:
     """Drafts against the stored ledger on (project_id, stable_key), with an ``action``: insert, keep (the same hash:
-    place refreshed, work kept), reset (another hash: work dropped) or delete (no longer in the drafts)."""
+    place refreshed, work kept), reset (another hash: work dropped) or delete (no longer in the drafts). ``old`` is what
+    the stored row counted as, null for a new one."""
     s, d = stored.alias("s"), drafts.alias("d")
     both = s.join(d, (F.col("s.project_id") == F.col("d.project_id")) & (F.col("s.stable_key") == F.col("d.stable_key")), "full_outer")
     action = (
@@ -37,6 +40,7 @@ def ledger_merge(stored: DataFrame, drafts: DataFrame, now: str) -> DataFrame:
         *[work(c) for c in CLEARED],
         F.when(new, "pending").otherwise(F.col("s.status")).alias("status"),
         F.when(new, F.lit(now)).otherwise(F.col("s.updated_at")).alias("updated_at"),
+        F.when(F.col("s.stable_key").isNotNull(), F.struct(*[F.col(f"s.{c}") for c in COUNTED])).alias("old"),
     )
 
 
@@ -96,7 +100,7 @@ def selectable_ids(segments: DataFrame, most: int = 10_000, chapter_id: int | No
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """Reviewers' edits (segment_id, new_text, new_status, has_text) as (segment columns, rejected, to_tm)."""
+    """Reviewers' edits (segment_id, new_text, new_status, has_text) as (segment columns, rejected, to_tm, old)."""
     wide = segments.join(edits, segments["id"] == edits["segment_id"])
     text = F.when(F.col("has_text"), F.col("new_text")).otherwise(F.col("target_text"))
     state = F.coalesce("new_status", F.when(F.col("has_text"), F.when(T.is_blank(text), "pending").otherwise("done")).otherwise(F.col("status")))
@@ -107,6 +111,7 @@ def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
     to_tm = ok & F.col("_changed") & T.completed(F.col("_state"))
     clear = ok & F.col("_state").isin("done", "reviewed", "pending")
     return wide.withColumns({
+        "old": F.struct(*COUNTED),
         "to_tm": to_tm,
         "target_text": F.when(ok, F.col("_text")).otherwise(F.col("target_text")),
         "error_msg": F.when(~clear, F.col("error_msg")),
@@ -116,8 +121,8 @@ def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
 
 def bulk_action(segments: DataFrame, action: str, ids: DataFrame | None = None, chapter_id: int | None = None, statuses: list[str] | None = None) -> DataFrame:
     """Rows in scope with ``updated``: mark_reviewed touches completed rows with a text, set_pending and retranslate
-    clear the work of all rows."""
-    out = segments
+    clear the work of all rows. ``old`` is what a row counted as."""
+    out = segments.withColumn("old", F.struct(*COUNTED))
     if ids is not None:
         out = out.join(ids.select("id"), "id", "left_semi")
     if chapter_id is not None:
@@ -144,6 +149,7 @@ def apply_results(segments: DataFrame, responses: DataFrame) -> DataFrame:
     wide = wide.withColumn("outcome", outcome)
     done, failed = F.col("outcome") == "done", F.col("outcome") == "error"
     return wide.withColumns({
+        "old": F.struct(*COUNTED),
         "target_text": F.when(done, F.col("_r.text")).otherwise(F.col("target_text")),
         "error_msg": F.when(failed, PROVIDER_ERROR).when(~done, F.col("error_msg")),
         "token_in": F.when(done, F.col("in_tokens")).otherwise(F.col("token_in")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,7 +28,10 @@ def project_progress(projects: DataFrame, segments: DataFrame) -> DataFrame:
         F.sum("token_in").alias("token_in"),
         F.sum("token_out").alias("token_out"),
     )
-    out = projects.select(F.col("id").alias("project_id")).join(own, "project_id", "left").na.fill(0)
+    return _with_percent(projects.select(F.col("id").alias("project_id")).join(own, "project_id", "left").na.fill(0))
+
+
+def _with_percent(out: DataFrame) -> DataFrame:
     done = F.col("done") + F.col("reviewed")
     percent = F.when(F.col("total") > 0, F.bround(100.0 * done / F.col("total"), 2)).otherwise(0.0)
     return out.withColumns({"completed": done, "percent": percent})
@@ -40,6 +43,56 @@ def chapter_progress(chapters: DataFrame, segments: DataFrame) -> DataFrame:
     return out.select("id", "project_id", "ord", "title", F.coalesce("n", F.lit(0)).alias("segment_count"), F.coalesce("c", F.lit(0)).alias("completed_count")).orderBy("ord", "id")
 
 
+COUNTS = ("n", "token_in", "token_out")
+
+
+def status_counts(segments: DataFrame) -> DataFrame:
+    """(project_id, chapter_id, status, n, token_in, token_out): what progress is made of, to be kept and changed."""
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
+    return segments.groupBy("project_id", "chapter_id", "status").agg(F.count("*").alias("n"), zero("token_in").alias("token_in"), zero("token_out").alias("token_out"))
+
+
+def count_changes(changed: DataFrame) -> DataFrame:
+    """What changed rows add to and take from ``status_counts``: each takes away what it counted as (``old``, null for a
+    new row) and adds what it counts as now, but for rows with the action delete. Rows that count as before cancel out
+    in the partial sums."""
+    stays = F.col("action") != "delete" if "action" in changed.columns else F.lit(True)
+
+    def counted(sign: int, value) -> Column:
+        token = lambda c: (F.coalesce(value(c), F.lit(0)) * sign).cast("long").alias(c)
+        return F.struct(value("chapter_id").alias("chapter_id"), value("status").alias("status"), F.lit(sign).cast("long").alias("n"), token("token_in"), token("token_out"))
+
+    both = F.array(F.when(F.col("old").isNotNull(), counted(-1, lambda c: F.col(f"old.{c}"))), F.when(stays, counted(1, F.col)))
+    rows = changed.select("project_id", F.explode(F.array_compact(both)).alias("d"))
+    return summed(rows.select("project_id", "d.*"))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    own = counts.groupBy("project_id", "chapter_id", "status").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return own.where(" OR ".join(f"{c} <> 0" for c in COUNTS))
+
+
+def apply_changes(counts: DataFrame, *changes: DataFrame) -> DataFrame:
+    """``status_counts`` after ``count_changes``, without a look at the ledger."""
+    every = counts
+    for c in changes:
+        every = every.unionByName(c)
+    return summed(every)
+
+
+def progress_of_counts(projects: DataFrame, counts: DataFrame) -> DataFrame:
+    """``project_progress`` from kept counts."""
+    own = counts.groupBy("project_id").agg(*[F.sum(F.when(F.col("status") == s, F.col("n"))).alias(s) for s in STATES], F.sum("n").alias("total"), F.sum("token_in").alias("token_in"), F.sum("token_out").alias("token_out"))
+    return _with_percent(projects.select(F.col("id").alias("project_id")).join(own, "project_id", "left").na.fill(0))
+
+
+def chapter_progress_of_counts(chapters: DataFrame, counts: DataFrame) -> DataFrame:
+    """``chapter_progress`` from kept counts."""
+    own = counts.groupBy("chapter_id").agg(F.sum("n").alias("n"), F.sum(F.when(T.completed(F.col("status")), F.col("n"))).alias("c"))
+    out = chapters.join(own, chapters["id"] == own["chapter_id"], "left")
+    return out.select("id", "project_id", "ord", "title", F.coalesce("n", F.lit(0)).alias("segment_count"), F.coalesce("c", F.lit(0)).alias("completed_count")).orderBy("ord", "id")
+
+
 def run_stats(results: DataFrame, hits: DataFrame) -> DataFrame:
     """One row for each project of a run: outcomes of ``apply_results``, and of memory hits."""
     own = results.groupBy("project_id").agg(

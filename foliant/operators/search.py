@@ -4,20 +4,116 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import shared, written
 
 
-def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page in order, with the total and the number of pages. The sort keeps a page's rows a task; nothing runs
-    before the result is asked for."""
+#: Rows up to which a page is the end of a running top list; further pages look for their range of the order.
+SHALLOW = 10_000
+#: Blocks of this many rows are what an indexed search opens.
+BLOCK = 65_536
+GRAM = 3
+
+
+def page_of(rows: DataFrame, order: list[Column], page: int, size: int, shallow: int | None = None) -> DataFrame:
+    """One page in order, with the total and the number of pages. The sort of an early page keeps a page's rows a task,
+    and nothing runs before the result is asked for. A page beyond ``shallow`` rows is looked up by ranges."""
+    if page * size > (SHALLOW if shallow is None else shallow):
+        path = shared(rows.sparkSession, "ranges")
+        write_ranges(rows, order, path)
+        return range_page(rows.sparkSession, path, order, page, size)
     total = rows.agg(F.count("*").alias("total"))  # one row
     cut = rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
     return cut.withColumn("pages", F.ceil(F.col("total") / size))
 
 
+def write_ranges(rows: DataFrame, order: list[Column], path: str, ranges: int | None = None) -> None:
+    """Rows in folders by ranges of ``order``, unsorted, and how many each has. Written once, it serves every page."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    made = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+    made.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def range_page(spark: SparkSession, path: str, order: list[Column], page: int, size: int) -> DataFrame:
+    """A page of what ``write_ranges`` wrote: the ranges' counts say where it lies, and only the one or few ranges that
+    hold it are opened and sorted. The total is the counts' sum."""
+    counts = sorted((r["_range"], r["n"]) for r in spark.read.parquet(f"{path}/counts").collect())  # a row a range
+    first, total = (page - 1) * size, sum(n for _, n in counts)
+    before, wanted, skip = 0, [], 0
+    for k, n in counts:
+        if before < first + size and before + n > first:
+            skip = skip if wanted else first - before
+            wanted.append(k)
+        before += n
+    schema = spark.read.parquet(f"{path}/rows").schema
+    found = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("_range").isin(wanted))
+    cut = found.orderBy(*order).offset(max(skip, 0)).limit(size).drop("_range")
+    return cut.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(-(-total // size)).cast("long")})
+
+
+# --- an index of letters ------------------------------------------------------------------------------------------
+
+
+def _grams(c: Column) -> Column:
+    """The different runs of ``GRAM`` characters of a text in lower case: a look ahead at every place."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def write_gram_index(rows: DataFrame, path: str, columns: list[str], key: str = "id", block: int = BLOCK, buckets: int = 64) -> None:
+    """``rows`` in folders of some ``block`` rows by ranges of ``key``, and beside them postings: for each three-letter
+    gram of ``columns`` and block, the keys that hold it. Postings are sorted by gram inside buckets of grams, so a
+    search opens few of their row groups; a frequent gram is a row for each block, never one long list."""
+    spark = rows.sparkSession
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_block", F.spark_partition_id())
+    dealt.write.mode("overwrite").partitionBy("_block").parquet(f"{path}/rows")
+    kept = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+    grams = F.array_distinct(F.concat(*[_grams(F.col(c)) for c in columns]))
+    posted = kept.select("_block", F.col(key).alias("key"), F.explode(grams).alias("gram")).groupBy("gram", "_block").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    posted = posted.withColumn("_bucket", _bucket(F.col("gram"), buckets)).repartition("_bucket").sortWithinPartitions("_bucket", "gram", "_block")
+    posted.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/postings")
+    shape = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(key).alias("key"), F.array(*map(F.lit, columns)).alias("columns"))
+    shape.coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
+def gram_candidates(spark: SparkSession, path: str, low: list[str], buckets: int) -> DataFrame:
+    """(_block, key) of the rows that hold every gram of ``low``: what is still to be verified."""
+    places = spark.createDataFrame([(g,) for g in low], "gram string").select("gram", _bucket(F.col("gram"), buckets).alias("b"))
+    opened = sorted({r["b"] for r in places.collect()})  # as many as the needle has letters, at the most
+    posted = spark.read.parquet(f"{path}/postings").where(F.col("_bucket").isin(opened) & F.col("gram").isin(low))
+    # blocks that lack a gram drop out before any list is unfolded
+    whole = posted.groupBy("_block").agg(F.collect_list("keys").alias("lists"), F.count("*").alias("n")).where(F.col("n") == len(low))
+    common = F.aggregate(F.slice("lists", 2, len(low)), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+    return whole.select("_block", F.explode(common).alias("key"))
+
+
+def indexed_search(spark: SparkSession, path: str, needle: str) -> DataFrame:
+    """The rows that hold ``needle`` in any of the indexed columns, in any case of letters, as a scan finds them. Rows
+    come from the blocks that have candidates alone, and are verified. A needle of fewer than three letters has no
+    gram: it scans."""
+    shape = spark.read.parquet(f"{path}/shape").first()
+    rows, key = spark.read.parquet(f"{path}/rows"), shape["key"]
+    hit = F.lit(False)
+    for c in shape["columns"]:
+        hit = hit | F.coalesce(T.contains_folded(F.col(c), needle), F.lit(False))
+    low = spark.range(1).select(_grams(F.lit(needle)).alias("g")).first()["g"]
+    if low:
+        found = written(gram_candidates(spark, path, low, shape["buckets"]), "candidates")
+        blocks = [r["_block"] for r in found.select("_block").distinct().collect()]  # one number for each BLOCK rows
+        rows = rows.where(F.col("_block").isin(blocks)).join(found.select("_block", F.col("key").alias(key)), ["_block", key], "left_semi")
+    return rows.where(hit).drop("_block")
+
+
 def segment_page(segments: DataFrame, project_id: int | None = None, chapter_id: int | None = None, statuses: list[str] | None = None, search: str = "", page: int = 1, size: int = 50) -> DataFrame:
     out = segments
     if project_id is not None:

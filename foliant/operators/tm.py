@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
+from .ledger import apply_results
 from .search import page_of
+from .spread import hot_join
 
 KEYS = ["src_hash", "source_lang", "target_lang"]
+WORD = 1 << 15  # bits of one row of a filter
 
 
 def with_languages(segments: DataFrame, projects: DataFrame) -> DataFrame:
@@ -19,7 +25,11 @@ def tm_lookup(segments: DataFrame, tm: DataFrame, force: bool = False) -> DataFr
     """Segments (with languages) and ``hit``; a hit is done with the memory's text. The memory holds a key once, so
     rows never multiply."""
     found = tm.select(*KEYS, F.col("target_text").alias("_tm"))
-    wide = segments.join(found, KEYS, "left").withColumn("hit", F.col("_tm").isNotNull() & F.lit(not force))
+    return _taken(segments.join(found, KEYS, "left"), force)
+
+
+def _taken(wide: DataFrame, force: bool) -> DataFrame:
+    wide = wide.withColumn("hit", F.col("_tm").isNotNull() & F.lit(not force))
     return wide.withColumns({
         "target_text": F.when(F.col("hit"), F.col("_tm")).otherwise(F.col("target_text")),
         "error_msg": F.when(~F.col("hit"), F.col("error_msg")),
@@ -34,6 +44,96 @@ def tm_batch_dedup(candidates: DataFrame) -> DataFrame:
     return candidates.join(first, "id", "left").withColumn("leader", F.coalesce("leader", F.lit(False)))
 
 
+def translate_waves(candidates: DataFrame, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All ``candidates`` (segments with languages) with ``outcome`` and ``wave``. Of each key one row is translated; if
+    that fails it is an error and the next one by project and ord is tried in the next wave, until one succeeds or none is
+    left. Rows that were not tried then are hits: they take the text, without tokens or provider. ``translate`` gives the
+    responses that ``apply_results`` takes; a row without one has failed. There are as many waves as a key has failures
+    and one; what is open is written between them and shrinks to the keys that failed. Each wave's first rows come from
+    partial minima, and a frequent text's rows are met by broadcast."""
+    open_ = written(candidates.select(*KEYS, "project_id", "ord", "id"), "open")
+    tried: DataFrame | None = None
+    wave = 0
+    while True:
+        wave += 1
+        first = open_.groupBy(*KEYS).agg(F.min(F.struct("project_id", "ord", "id")).alias("m"), F.count("*").alias("n"))
+        leads = candidates.join(first.select(F.col("m.id").alias("id")), "id", "left_semi").withColumn("status", F.lit("processing"))
+        leads = written(leads, "leads")
+        answers = leads.select(F.col("id").alias("segment_id")).join(translate(leads), "segment_id", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(-1)))
+        got = written(apply_results(leads, answers).drop("old").withColumn("wave", F.lit(wave)), "wave")
+        tried = got if tried is None else tried.unionByName(got)
+        failed = got.where("outcome = 'error'").select(*KEYS).join(first.where("n > 1").select(*KEYS, "n"), KEYS)
+        if failed.isEmpty():
+            break
+        left = hot_join(open_, failed, KEYS, how="inner")
+        open_ = written(left.join(got.select("id"), "id", "left_anti").select(*KEYS, "project_id", "ord", "id"), "open")
+    rest = candidates.join(tried.select("id"), "id", "left_anti")
+    known = tried.where("outcome = 'done'").select(*KEYS, F.col("target_text").alias("_text"))
+    known = known.join(rest.groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS)
+    hits = hot_join(rest, known, KEYS, how="inner").withColumns({"target_text": F.col("_text"), "error_msg": F.lit(None).cast("string"), "status": F.lit("done"), "outcome": F.lit("hit"), "wave": F.lit(None).cast("int")}).drop("_text")
+    return tried.unionByName(hits.select(*tried.columns))
+
+
+# --- a stored memory with a filter of its keys ------------------------------------------------------------------
+
+
+def _prefix(digits: int):
+    """Where a key's entry is; the letter keeps folders from being read as numbers."""
+    return F.concat(F.lit("h"), F.substring("src_hash", 1, digits))
+
+
+def _slot(bits: int):
+    """A key's place among a prefix' ``bits`` bits."""
+    return F.pmod(F.xxhash64(*KEYS), F.lit(bits).cast("long"))
+
+
+def write_memory(tm: DataFrame, path: str, digits: int = 2, per_key: int = 16) -> None:
+    """The memory by the first ``digits`` hex digits of its hash, sorted by hash, and beside it a filter: ``per_key`` bits
+    a key, in rows of ``WORD`` bits named by prefix and number. Hashes are even, so prefixes are."""
+    made = tm.withColumn("prefix", _prefix(digits))
+    made.repartition("prefix").sortWithinPartitions("prefix", "src_hash").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/entries")
+    spark, parts = tm.sparkSession, 16**digits
+    kept = spark.read.schema(made.schema).parquet(f"{path}/entries")
+    n = kept.count()
+    words = max(1, -(-n * per_key // (parts * WORD)))
+    keys = kept.select(_prefix(digits).alias("prefix"), (_slot(words * WORD) + 1).alias("h"))
+    bits = keys.groupBy("prefix", F.bitmap_bucket_number("h").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits.withColumns({"words": F.lit(words), "digits": F.lit(digits)}).write.mode("overwrite").parquet(f"{path}/filter")
+
+
+def memory_hits(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(KEYS, target_text, n) of those ``keys`` (KEYS, n) that the stored memory holds. Keys meet the filter's rows first,
+    two bytes of filter for each entry; only prefixes with keys that may be there are read of the memory itself."""
+    bits = spark.read.parquet(f"{path}/filter")
+    shape = bits.select("words", "digits").first()
+    if shape is None:
+        return keys.select(*KEYS, F.lit(None).cast("string").alias("target_text"), "n").limit(0)
+    words, digits = shape
+    at = keys.withColumns({"prefix": _prefix(digits), "h": _slot(words * WORD)}).withColumn("word", F.bitmap_bucket_number(F.col("h") + 1))
+    met = at.join(bits.select("prefix", "word", "bits"), ["prefix", "word"])
+    place = F.bitmap_bit_position(F.col("h") + 1)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.expr("shiftright(byte, CAST(place % 8 AS INT)) & 1 = 1")
+    left = written(met.withColumns({"byte": byte, "place": place}).where(may).select("prefix", *KEYS, "n"), "asked")
+    prefixes = [r["prefix"] for r in left.select("prefix").distinct().collect()]  # 16**digits at the most
+    entries = memory_entries(spark, path, prefixes)
+    return entries.select(*KEYS, "target_text").join(left.drop("prefix"), KEYS)
+
+
+def memory_entries(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
+    """The stored entries under ``prefixes``; other folders are not opened."""
+    return spark.read.parquet(f"{path}/entries").where(F.col("prefix").isin(prefixes))
+
+
+def tm_lookup_stored(segments: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """``tm_lookup`` against a stored memory. A batch asks for each of its keys once, and rows of a frequent text stay
+    where they are."""
+    keys = segments.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    found = memory_hits(segments.sparkSession, path, keys)
+    wide = hot_join(segments, written(found.withColumnRenamed("target_text", "_tm"), "hits"), KEYS)
+    return _taken(wide, force)
+
+
 def tm_hit_counts(tm: DataFrame, hits: DataFrame, now: str) -> DataFrame:
     """Hits are counted before the join, so a frequent key is one row there."""
     n = hits.groupBy(*KEYS).agg(F.count("*").alias("_n"))
@@ -54,13 +154,18 @@ def tm_stats(projects: DataFrame, segments: DataFrame, tm: DataFrame) -> DataFra
     """Per project: entries in all and of its languages, their hits, its segments, those that the memory knows, open
     ones that it knows, completed ones without a provider."""
     pairs = tm.groupBy("source_lang", "target_lang").agg(F.count("*").alias("pair_entries"), F.sum("hit_count").alias("pair_hits"))
-    known = segments.join(tm.select(*KEYS, F.lit(True).alias("_known")), KEYS, "left")
-    is_known = F.col("_known").isNotNull()
+    # a project's equal texts are one row before they meet the memory
+    texts = segments.groupBy("project_id", *KEYS).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status").isin("pending", "error")).alias("open"),
+        F.count_if(T.completed(F.col("status")) & F.col("provider").isNull()).alias("bare"),
+    )
+    known = texts.join(tm.select(*KEYS, F.lit(True).alias("_known")), KEYS, "left")
     own = known.groupBy("project_id").agg(
-        F.count("*").alias("segments"),
-        F.count_if(is_known).alias("matches"),
-        F.count_if(is_known & F.col("status").isin("pending", "error")).alias("reusable"),
-        F.count_if(T.completed(F.col("status")) & F.col("provider").isNull()).alias("without_provider"),
+        F.sum("n").alias("segments"),
+        F.sum(F.when(F.col("_known"), F.col("n"))).alias("matches"),
+        F.sum(F.when(F.col("_known"), F.col("open"))).alias("reusable"),
+        F.sum("bare").alias("without_provider"),
     )
     total = tm.agg(F.count("*").alias("global_entries"))
     base = projects.select(F.col("id").alias("project_id"), "source_lang", "target_lang")

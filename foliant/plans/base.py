@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import segmenting as SG
 from ..operators import tm as M
+from ..sources.scratch import shared
 
 NOW = "2026-06-01T00:00:00.000Z"
 STATES = ["pending", "processing", "done", "done", "error", "reviewed", "done"]
@@ -18,17 +16,6 @@ LANGS = ["en", "fr", "de", "es"]
 MODELS = ["gpt-5-mini", "x/gpt-4o-2026", "deepseek-v4-pro", "unknown-model", ""]
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder's path where the driver and all executors see it; a temporary one in local mode alone."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foliant-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 class Base:
     """Derived tables of one scale; each is built on demand."""
 
@@ -82,8 +69,8 @@ class Base:
         return d.select(F.col("doc_id").alias("id"), "project_id", (F.row_number().over(order).cast("long") - 1).alias("ord"), "title", F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("href"), summary.alias("summary"))
 
     def glossary(self) -> DataFrame:
-        b = self.table("benchmark").select("item_id", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("pos", "word")).where(F.length("word") >= 2)
-        g = b.select((F.col("item_id") * 10 + F.col("pos")).cast("long").alias("id"), (F.col("item_id") % 20).cast("long").alias("project_id"), F.col("word").alias("source_term"))
+        b = self.table("benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where(F.length("word") >= 2)
+        g = b.select((F.col("item_id") * 1000 + F.col("pos")).cast("long").alias("id"), (F.col("item_id") % 20).cast("long").alias("project_id"), F.col("word").alias("source_term"))
         g = g.groupBy("project_id", "source_term").agg(F.min("id").alias("id"))
         return g.select("id", "project_id", "source_term", F.upper("source_term").alias("target_term"), F.when(F.col("id") % 5 == 0, "note").alias("note"), (F.col("id") % 3 == 0).alias("case_sensitive"), (F.col("id") % 4 != 0).alias("enabled"))
 
@@ -147,8 +134,8 @@ TABLES = {
   CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN 'S' || doc_id END AS summary
   FROM (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS project_id, substr(text, 1, 20) AS title FROM documents WHERE text IS NOT NULL))""",
     "glossary": """glossary AS (SELECT id, project_id, source_term, replace(upper(source_term), chr(7838), 'SS') AS target_term, CASE WHEN id % 5 = 0 THEN 'note' END AS note, id % 3 = 0 AS case_sensitive, id % 4 <> 0 AS enabled
-  FROM (SELECT project_id, source_term, min(id) AS id FROM (SELECT item_id * 10 + i AS id, item_id % 20 AS project_id, parts[i + 1] AS source_term
-  FROM (SELECT item_id, parts, unnest(range(least(6, len(parts)))) AS i FROM (SELECT item_id, string_split(text, ' ') AS parts FROM benchmark)) WHERE length(parts[i + 1]) >= 2) GROUP BY ALL))""",
+  FROM (SELECT project_id, source_term, min(id) AS id FROM (SELECT item_id * 1000 + i AS id, item_id % 20 AS project_id, parts[i + 1] AS source_term
+  FROM (SELECT item_id, parts, unnest(range(len(parts))) AS i FROM (SELECT item_id, string_split(text, ' ') AS parts FROM benchmark)) WHERE length(parts[i + 1]) >= 2) GROUP BY ALL))""",
     "lang": "lang AS (SELECT s.*, p.source_lang, p.target_lang FROM segment s JOIN project p ON s.project_id = p.id)",
     "tm": """tm AS (SELECT src_hash, source_lang, target_lang, source_text, 'TM:' || source_text AS target_text, length(source_text) % 5 AS hit_count, '2026-01-01T00:00:00.000Z' AS updated_at
   FROM (SELECT src_hash, source_lang, target_lang, min(source_text) AS source_text FROM lang WHERE substr(src_hash, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') GROUP BY ALL))""",

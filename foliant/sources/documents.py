@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .books import EPUB, spine_of, write_books
+
 MARKDOWN = ("md", "markdown", "mdown")
 MEMBERS, EXPANDED, RATIO, LARGE = 20_000, 1 << 30, 200.0, 1 << 20
 TRUE, FALSE = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
@@ -79,23 +79,8 @@ def screen_archives(members: DataFrame, most_members: int = MEMBERS, most_bytes:
 
 def spine(content: bytes) -> list[tuple[int, str, str]]:
     """(position, file, xhtml) of an EPUB's reading order, without navigation and repeats."""
-    local = lambda e: e.tag.rpartition("}")[2]
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        box = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        opf = next(e.get("full-path") for e in box.iter() if local(e) == "rootfile")
-        package = ElementTree.fromstring(z.read(opf))
-        items = {e.get("id"): e for e in package.iter() if local(e) == "item"}
-        out: list[tuple[int, str, str]] = []
-        seen: set[str] = set()
-        for ref in (e.get("idref") for e in package.iter() if local(e) == "itemref"):
-            item = items.get(ref)
-            if item is None or "nav" in (item.get("properties") or "").split():
-                continue
-            file = posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(item.get("href"))))
-            if file not in seen and file in z.namelist():
-                seen.add(file)
-                out.append((len(out), file, z.read(file).decode("utf-8", "replace")))
-        return out
+    with zipfile.ZipFile(io.BytesIO(content)) as box:
+        return [(k, name, box.read(name).decode("utf-8", "replace")) for k, name in enumerate(spine_of(box))]
 
 
 def read_epub(files: DataFrame) -> DataFrame:
@@ -140,33 +125,39 @@ def glossary_rows(raw: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
-def write_ledger(table: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet by buckets of project_id; only the buckets that ``table`` has are overwritten."""
-    wide = table.withColumn("project_bucket", F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int"))
-    wide.repartition("project_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_bucket").parquet(path)
-
-
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("project_bucket")
-
-
-def export_manifest(projects: DataFrame, rendered: DataFrame, timestamp: str) -> DataFrame:
-    """(project_id, part, filename, media_type, size, sha256, status) for rendered books in parts (project_id, part,
-    text), a chapter each, so that no value holds a whole book; projects have title and source_type."""
+def book_rows(projects: DataFrame, rendered: DataFrame, timestamp: str) -> DataFrame:
+    """Rows of the book sink for rendered books in parts, so that no value holds a whole book. Projects have title and
+    source_type; parts (project_id, part, and text, or member and content) are chapters of a Markdown book or members
+    of an EPUB."""
     stem = F.regexp_replace(F.regexp_replace("title", "(?U)[^\\w一-鿿.-]+", "-"), "^[-.]+|[-.]+$", "")
     stem = F.lower(F.coalesce(F.nullif(F.substring(stem, 1, 80), F.lit("")), F.lit("translation")))
     epub = F.col("source_type") == "epub"
-    out = projects.join(rendered, projects["id"] == rendered["project_id"])
+    own = projects.select(F.col("id").alias("project_id"), "title", "source_type")
+    for c, kind in (("text", "string"), ("member", "string"), ("content", "binary")):
+        if c not in rendered.columns:
+            rendered = rendered.withColumn(c, F.lit(None).cast(kind))
+    out = rendered.join(own, "project_id")
     name = F.concat(stem, F.lit("-p"), F.col("project_id").cast("string"), F.lit(f"-{timestamp}."), F.when(epub, "epub").otherwise("md"))
-    kind = F.when(epub, "application/epub+zip").otherwise("text/markdown")
-    raw = F.encode("text", "UTF-8")
-    return out.select("project_id", "part", name.alias("filename"), kind.alias("media_type"), F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("sha256"), F.lit("ready").alias("status"), "text")
-
-
-def export_sink(projects: DataFrame, rendered: DataFrame, path: str, timestamp: str) -> None:
-    """Books as text by project, their parts in order of name, and their manifest as Parquet."""
-    out = export_manifest(projects, rendered, timestamp)
-    out.select(F.col("text").alias("value"), "project_id", "part").repartitionByRange("project_id", "part").sortWithinPartitions("project_id", "part").drop("part").write.mode("overwrite").option("lineSep", "\n").partitionBy("project_id").text(f"{path}/books")
-    out.drop("text").write.mode("overwrite").parquet(f"{path}/manifest")
-
-
+    kind = F.when(epub, EPUB).otherwise("text/markdown")
+    return out.select("project_id", name.alias("filename"), kind.alias("media_type"), "part", "member", F.coalesce("content", F.encode("text", "UTF-8")).alias("content"))
+
+
+def export_sink(projects: DataFrame, rendered: DataFrame, path: str, timestamp: str) -> DataFrame:
+    """A file for each book under its own name, and the manifest of what was written."""
+    return write_books(book_rows(projects, rendered, timestamp), path)
+
+
+def package_members(documents: DataFrame, folder: str = "OEBPS") -> DataFrame:
+    """Members of an EPUB for each project from its documents (project_id, ord, file, html) in reading order: the
+    container, the package and the documents, as rows of ``export_sink``."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    files = F.array_sort(F.collect_list(F.struct("ord", "file")))
+    items = F.array_join(F.transform("f", lambda x: F.format_string('<item id="i%d" href="%s" media-type="application/xhtml+xml"/>', x["ord"], esc(x["file"]))), "")
+    refs = F.array_join(F.transform("f", lambda x: F.format_string('<itemref idref="i%d"/>', x["ord"])), "")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><manifest>'
+    package = F.concat(F.lit(head), items, F.lit("</manifest><spine>"), refs, F.lit("</spine></package>"))
+    box = f'<?xml version="1.0" encoding="UTF-8"?>\n<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="{folder}/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    made = documents.groupBy("project_id").agg(files.alias("f"))
+    heads = F.array(F.struct(F.lit(-2).cast("long").alias("part"), F.lit("META-INF/container.xml").alias("member"), F.lit(box).alias("text")), F.struct(F.lit(-1).cast("long").alias("part"), F.lit(f"{folder}/package.opf").alias("member"), package.alias("text")))
+    pages = documents.select("project_id", F.col("ord").cast("long").alias("part"), F.concat(F.lit(f"{folder}/"), "file").alias("member"), F.coalesce("html", F.lit("")).alias("text"))
+    return made.select("project_id", F.inline(heads)).unionByName(pages)

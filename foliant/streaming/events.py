@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FOLDED = "project_id long, segment_id long, text string, status string, last_id long"
-STATE = "text string, status string, last_id long"
 IDLE_MS = 86_400_000
 
 
@@ -26,42 +25,91 @@ def stream_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("project_id").agg(F.count_if(F.col("type") == "segment_done").alias("done"), F.count_if(F.col("type") == "segment_error").alias("errors"), F.count("*").alias("total"))
 
 
-def fold(text: str, status: str, last: int, rows: pd.DataFrame) -> tuple[str, str, int]:
-    """Events in the order of ids: deltas add to the text, a whole text or a reset replaces it."""
-    for r in rows.sort_values("id").itertuples():
-        if r.id <= last:
-            continue
-        last = r.id
-        given = None if pd.isna(r.target_text) else r.target_text
-        if r.type == "segment_delta":
-            text = given if given is not None else text + ("" if pd.isna(r.delta) else r.delta)
-        elif r.type == "segment_reset":
-            text = ""
-        elif r.type in ("segment_done", "segment_updated"):
-            text = given if given is not None else text
-            status = status if pd.isna(r.status) else r.status
-    return text, status, last
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    text, status, last = state.get if state.exists else ("", "pending", -1)
-    rows = pd.concat(list(frames))
-    text, status, last = fold(text, status, last, rows)
-    if (rows["type"] == "project_deleted").any():
-        if state.exists:
-            state.remove()
+WHOLE = ("segment_done", "segment_updated")
+
+
+def fold(text: str, status: str, rows: pd.DataFrame) -> tuple[str, str]:
+    """Events in the order of ids: deltas add to the text, a whole text or a reset replaces it. What stands before the
+    last replacement doesn't matter, so only the deltas after it are joined."""
+    rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
+    delta, whole = rows["type"] == "segment_delta", rows["type"].isin(WHOLE)
+    given = rows["target_text"].notna() & (delta | whole)
+    anew = given | (rows["type"] == "segment_reset")
+    if anew.any():
+        at = anew.to_numpy().nonzero()[0][-1]
+        text = rows["target_text"][at] if given[at] else ""
+        added = rows["delta"][at + 1 :][delta[at + 1 :]]
     else:
-        state.update((text, status, int(last)))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
-    yield pd.DataFrame({"project_id": [key[0]], "segment_id": [key[1]], "text": [text], "status": [status], "last_id": [int(last)]})
+        added = rows["delta"][delta]
+    said = rows["status"][whole & rows["status"].notna()]
+    return text + "".join(added.dropna()), said.iloc[-1] if len(said) else status
+
+
+WAITING = "ts long, type string, delta string, target_text string, status string"
+FIELDS = [c.split()[0] for c in WAITING.split(", ")]
+
+
+class SegmentTexts(StatefulProcessor):
+    """A segment's text from events in any order. Events wait in a map by id until the watermark has passed them and all
+    before them; then they are folded into the settled text and leave the state, which so holds no more than the
+    watermark's span. What comes after its place was settled is too late. A timer ends idle segments."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "text string, status string, last_id long")
+        self.waiting = handle.getMapState("waiting", "id long", WAITING)
+
+    def forget(self) -> None:
+        self.settled.clear()
+        self.waiting.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        text, status, last = self.settled.get() if self.settled.exists() else ("", "pending", -1)
+        came = pd.concat(list(rows))
+        came = came[came["id"] > last].drop_duplicates("id", keep="last")
+        deleted = bool((came["type"] == "project_deleted").any())
+        held = pd.DataFrame([(k[0], *v) for k, v in self.waiting.iterator()], columns=["id", *FIELDS])
+        came = pd.DataFrame({"id": came["id"], "ts": came["ts"].astype("datetime64[ms]").astype("int64"), **{c: came[c] for c in FIELDS[1:]}})
+        every = came if held.empty else pd.concat([held, came[~came["id"].isin(held["id"])]])
+        every = every.sort_values("id", kind="stable").reset_index(drop=True)
+        now, so_far = fold(text, status, every)
+        newest = int(every["id"].max()) if len(every) else last
+        if deleted:
+            self.forget()
+        else:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            passed = (every["ts"] <= watermark).to_numpy()
+            n = len(passed) if passed.all() else int(passed.argmin())  # up to the first that may still be overtaken
+            if n:
+                text, status = fold(text, status, every[:n])
+                last = int(every["id"][n - 1])
+            self.settled.update((text, status, last))
+            for k in held["id"]:
+                if k <= last:
+                    self.waiting.removeKey((int(k),))
+            for r in every[n:].to_dict("records"):
+                self.waiting.updateValue((int(r["id"]),), tuple(None if pd.isna(r[c]) else int(r[c]) if c == "ts" else r[c] for c in FIELDS))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max(int(every["ts"].max()) if len(every) else 0, watermark) + IDLE_MS)
+        yield pd.DataFrame({"project_id": [key[0]], "segment_id": [key[1]], "text": [now], "status": [so_far], "last_id": [newest]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_segment_text(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each segment's text so far; state goes, by event time, a day after a segment's last event, or with its project.
-    A timeout by the clock would keep a stream that ends with its data from ending."""
+    """Each segment's text so far, whatever order events come in while the watermark waits for them; state goes, by event
+    time, a day after a segment's last event, or with its project. The session's state store must be the one that
+    ``state_store`` names. A timeout by the clock would keep a stream that ends with its data from ending."""
     timed = events.withWatermark("ts", late)
-    return timed.groupBy("project_id", "segment_id").applyInPandasWithState(_step, FOLDED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("project_id", "segment_id").transformWithStateInPandas(SegmentTexts(), FOLDED, "update", "eventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """The store that keeps maps and timers, for streams that begin after this."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -281,16 +281,3 @@ def test_glossary_csv(spark, tmp_path):
     rows = D.read_glossary_csv(spark, str(file)).collect()
     assert (rows[0]["note"], rows[0]["case_sensitive"], rows[0]["enabled"], rows[0]["reason"]) == ("two\nlines", True, True, None)
     assert [r["reason"] for r in rows[1:]] == ["source_term", "case_sensitive"]
-
-
-def test_ledger_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "project_id long, x string")
-    D.write_ledger(df, str(tmp_path / "l"))
-    D.write_ledger(df.where("project_id = 1").withColumn("x", F.lit("new")), str(tmp_path / "l"))
-    assert {tuple(r) for r in D.read_ledger(spark, str(tmp_path / "l")).select("project_id", "x").collect()} >= {(1, "new"), (2, "b")}
-
-
-def test_fold():
-    rows = pd.DataFrame([(2, "segment_delta", "b", None, None), (1, "segment_delta", "a", None, None), (3, "segment_reset", None, None, None), (4, "segment_done", None, "T", "done"), (4, "segment_delta", "late", None, None)], columns=["id", "type", "delta", "target_text", "status"])
-    assert ST.fold("", "pending", -1, rows[:2]) == ("ab", "pending", 2)
-    assert ST.fold("", "pending", -1, rows) == ("T", "done", 4)
