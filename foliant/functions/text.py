@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .helpers import casefold as _casefold
 from .helpers import nfc as _nfc
@@ -51,9 +52,36 @@ def casefold(c: Column) -> Column:
     return F.when(ascii, F.lower(c)).otherwise(_casefold(F.when(~ascii, c)))
 
 
-def stable_key(chapter_ord: Column, block_index: Column, path: Column, part_index: Column, part_count: Column) -> Column:
-    """Place and a hash of the canonical JSON of ``path``, a struct with its fields in the order of their names."""
-    digest = F.substring(F.sha1(F.to_json(path, {"ignoreNullFields": "false"}).cast("binary")), 1, 8)
+# Fields of a path that change with a document's text and don't name a place.
+VOLATILE = ("raw_block", "inline_source", "inline_offset", "block_text", "char_start", "char_end", "line_start", "line_end", "part_index", "part_count")
+
+
+def stable_path(path: Column, kind: StructType) -> Column:
+    """The canonical JSON of a path of type ``kind``: of Markdown its token, of an EPUB its file and place, of any other
+    source all fields but the ``VOLATILE`` ones; fields in the order of their names at every depth."""
+    names = set(kind.names)
+
+    def sorted_struct(c: Column, t: StructType, keep) -> Column:
+        fields = sorted((f for f in t.fields if keep(f.name)), key=lambda f: f.name)
+        return F.struct(*[(sorted_struct(c[f.name], f.dataType, lambda _: True) if isinstance(f.dataType, StructType) else c[f.name]).alias(f.name) for f in fields])
+
+    def text(keep) -> Column:
+        return F.to_json(sorted_struct(path, kind, keep), {"ignoreNullFields": "false"})
+
+    out = text(lambda n: n not in VOLATILE)
+    if "source_type" not in names:
+        return out
+    for source, own in (("epub", {"file", "source_type", "xpath"}), ("md", {"source_type", "token_index"})):
+        if own <= names:
+            out = F.when(path["source_type"] == source, text(own.__contains__)).otherwise(out)
+    return out
+
+
+def stable_key(chapter_ord: Column, block_index: Column, path: Column, part_index: Column, part_count: Column, kind: StructType | None = None) -> Column:
+    """Place and a hash of the canonical JSON of ``path``: a struct with its fields in the order of their names, or, with
+    its ``kind``, any path, of which ``stable_path`` takes what is stable."""
+    text = F.to_json(path, {"ignoreNullFields": "false"}) if kind is None else stable_path(path, kind)
+    digest = F.substring(F.sha1(text.cast("binary")), 1, 8)
     key = F.format_string("%04d:%05d:%s", chapter_ord, block_index, digest)
     return F.when(part_count > 1, F.concat(key, F.lit("#"), part_index.cast("string"))).otherwise(key)
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.helpers import vectorized
+from ..sources.blocks import plain, scan
 from .glossary import glossary_mismatches
 
-ISSUE = ["project_id", "segment_id", "stable_key", "code", "severity", "detail"]
+ISSUE = ["project_id", "segment_id", "stable_key", "code", "severity", "detail", "details"]
 LOW, HIGH, LEAST, RESIDUAL = 0.3, 3.0, 4, 0.35
 
 
@@ -22,36 +23,41 @@ def missing(segments: DataFrame) -> DataFrame:
     return segments.withColumn("missing", ~T.completed(F.col("status")) | T.is_blank(F.col("target_text")))
 
 
-def _issue(code: str, severity: str, detail: Column) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+def _details(**values: Column) -> Column:
+    """Names and values of an issue, all as text."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+
+
+def _issue(code: str, severity: str, detail: Column, **details: Column) -> Column:
+    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"), _details(**details).alias("details"))
 
 
 def missing_translation() -> tuple[Column, Column]:
-    return F.col("missing"), _issue("missing_translation", "error", F.col("status"))
+    return F.col("missing"), _issue("missing_translation", "error", F.col("status"), status=F.col("status"))
 
 
 def length_ratio() -> tuple[Column, Column]:
     a, b = T.compact_length(F.col("source_text")), T.compact_length(F.col("target_text"))
     ratio = b / a
-    return ~F.col("missing") & (a >= LEAST) & ((ratio < LOW) | (ratio > HIGH)), _issue("length_ratio", "warn", F.format_string("%.4f", F.bround(ratio, 4)))
+    return ~F.col("missing") & (a >= LEAST) & ((ratio < LOW) | (ratio > HIGH)), _issue("length_ratio", "warn", F.format_string("%.4f", F.bround(ratio, 4)), ratio=F.format_string("%.4f", F.bround(ratio, 4)), minimum=F.lit(LOW), maximum=F.lit(HIGH), source_length=a, target_length=b)
 
 
 def placeholder_missing() -> tuple[Column, Column]:
     lost = T.multiset_minus(T.placeholders(F.col("source_text")), T.placeholders(F.col("target_text")))
-    return ~F.col("missing") & (F.size(lost) > 0), _issue("placeholder_missing", "warn", F.array_join(lost, "|"))
+    return ~F.col("missing") & (F.size(lost) > 0), _issue("placeholder_missing", "warn", F.array_join(lost, "|"), missing=F.to_json(lost))
 
 
 def english_residual() -> tuple[Column, Column]:
     runs = T.english_runs(F.col("target_text"))
     letters = F.length(F.regexp_replace(F.col("target_text"), "[^A-Za-z]", ""))
-    return ~F.col("missing") & (F.size(runs) > 0) & (letters / F.greatest(T.compact_length(F.col("target_text")), F.lit(1)) >= RESIDUAL), _issue("english_residual", "warn", F.array_join(F.slice(runs, 1, 3), "|"))
+    return ~F.col("missing") & (F.size(runs) > 0) & (letters / F.greatest(T.compact_length(F.col("target_text")), F.lit(1)) >= RESIDUAL), _issue("english_residual", "warn", F.array_join(F.slice(runs, 1, 3), "|"), runs=F.to_json(F.slice(runs, 1, 3)))
 
 
 def struct_path() -> tuple[Column, Column]:
     """Segments carry source_type, file, xpath and token_index of their path."""
     kind = F.col("source_type")
     bad = kind.isNull() | ((kind == "epub") & (F.col("file").isNull() | F.col("xpath").isNull())) | ((kind == "md") & F.col("token_index").isNull())
-    return bad, _issue("invalid_structure_path", "error", F.coalesce(kind, F.lit("")))
+    return bad, _issue("invalid_structure_path", "error", F.coalesce(kind, F.lit("")), source_type=F.coalesce(kind, F.lit("")))
 
 
 ROW_RULES = {"qa_missing": missing_translation, "qa_length_ratio": length_ratio, "qa_placeholders": placeholder_missing, "qa_english_residual": english_residual, "qa_struct_path": struct_path}
@@ -61,12 +67,12 @@ def row_issues(segments: DataFrame, rules: list[str] | None = None) -> DataFrame
     """Issues of all row rules from one projection; nothing is shuffled."""
     found = [F.when(bad, issue) for bad, issue in (ROW_RULES[r]() for r in rules or ROW_RULES)]
     wide = missing(segments).withColumn("_i", F.explode(F.array_compact(F.array(*found))))
-    return wide.select("project_id", F.col("id").alias("segment_id"), "stable_key", "_i.code", "_i.severity", "_i.detail")
+    return wide.select("project_id", F.col("id").alias("segment_id"), "stable_key", "_i.code", "_i.severity", "_i.detail", "_i.details")
 
 
 def glossary_issues(segments: DataFrame, terms: DataFrame) -> DataFrame:
     wide = glossary_mismatches(missing(segments).where("not missing").drop("missing"), terms)
-    return wide.select("project_id", F.col("id").alias("segment_id"), "stable_key", F.lit("glossary_mismatch").alias("code"), F.lit("warn").alias("severity"), F.col("source_term").alias("detail"))
+    return wide.select("project_id", F.col("id").alias("segment_id"), "stable_key", F.lit("glossary_mismatch").alias("code"), F.lit("warn").alias("severity"), F.col("source_term").alias("detail"), _details(glossary_term_id=F.col("term_id"), source_term=F.col("source_term"), target_term=F.col("target_term")).alias("details"))
 
 
 def qa_report(*issues: DataFrame) -> DataFrame:
@@ -81,39 +87,21 @@ INLINE = re.compile(r"(?P<code>(?P<t>`+)(?P<c>.*?)(?P=t))|!\[[^\]]*\]\((?P<img>[
 
 
 def signature_of(text: str) -> list[str]:
-    """Structure alone: kinds of lines with their depth, and targets of links, images and code; words don't count."""
-    out, fence, last = [], "", ""
-    for line in (text or "").replace("\r\n", "\n").split("\n"):
-        body = line.strip()
-        if fence:
-            out.append(f"fence:{body}" if not body.startswith(fence) else "fence-end")
-            fence = "" if body.startswith(fence) else fence
-            continue
-        depth = 0
-        while m := re.match(r"\s*>\s?", body):
-            depth, body = depth + 1, body[m.end() :]
-        if m := re.match(r"(`{3,}|~{3,})(.*)", body):
-            fence = m[1]
-            kind = f"fence-start:{m[2].strip()}"
-        elif m := re.match(r"(#{1,6})(?:\s|$)", body):
-            kind = f"h{len(m[1])}"
-        elif re.fullmatch(r"(?:\s*[-*_]){3,}", body):
-            kind = "rule"
-        elif re.match(r"(?:[-*+]|\d+[.)])\s", body):
-            kind = f"item:{len(line) - len(line.lstrip())}"
-        elif re.fullmatch(r"\|?(?:\s*:?-+:?\s*\|)+\s*:?-*:?\s*", body):
-            kind = "table"
-        elif "|" in re.sub(r"\\\|", "", body):
-            kind = f"row:{len(re.sub(chr(92) * 2 + '[|]', '', body).strip('|').split('|'))}"
-        elif body:
-            kind = "text"
-        else:
-            kind = ""
-        kind = f"{depth}>{kind}" if depth else kind
-        if kind and kind != last:
-            out.append(kind)
-        last = kind if kind.endswith("text") else ""
-        out += [f"code:{m['c']}" if m["code"] else f"image:{m['img']}" if m["img"] is not None else f"link:{m['href'] if m['href'] is not None else m['auto']}" for m in INLINE.finditer(body)]
+    """Structure alone: containers as they open and close, kinds of blocks in them, and targets of links, images and code;
+    words don't count."""
+    out: list[str] = []
+
+    def emit(kind: str, a: int, b: int, words: str, within, tag: str = "p", info: str = "", wide: int = 0, **_) -> None:
+        if kind in ("open", "close"):
+            out.append(f"{kind}:{words}")
+            return
+        if kind in ("code", "raw"):
+            out.append(f"{kind}:{info}:{words}")
+            return
+        out.append("rule" if kind == "rule" else f"{tag}:{wide}" if kind == "row" else tag)
+        out.extend(f"code:{m['c']}" if m["code"] else f"image:{m['img']}" if m["img"] is not None else f"link:{m['href'] if m['href'] is not None else m['auto']}" for m in INLINE.finditer(words))
+
+    scan([(k, plain(line)) for k, line in enumerate((text or "").splitlines())], emit)
     return out
 
 
@@ -127,7 +115,7 @@ def markdown_structure(rendered: DataFrame, source: str = "source", target: str
     wide = rendered.withColumns({"_a": signature(F.col(source)), "_b": signature(F.col(target))})
     pairs = F.arrays_zip(F.col("_a").alias("a"), F.col("_b").alias("b"))
     first = F.array_position(F.transform(pairs, lambda p: ~p["a"].eqNullSafe(p["b"])), True) - 1
-    wide = wide.withColumns({"first_difference": first, "source_length": F.size("_a"), "target_length": F.size("_b")})
+    wide = wide.withColumns({"first_difference": first, "source_length": F.size("_a"), "target_length": F.size("_b"), "source_token": F.get("_a", first.cast("int")), "target_token": F.get("_b", first.cast("int"))})
     return wide.where("first_difference >= 0").drop("_a", "_b")
 
 
@@ -151,3 +139,19 @@ def xhtml_structure(projects: DataFrame, rendered: DataFrame) -> DataFrame:
     own = rendered.withColumn("_e", xml_error(F.col("xhtml"))).groupBy("project_id").agg(F.count("*").alias("documents"), F.count("_e").alias("damaged"))
     out = projects.select(F.col("id").alias("project_id")).join(own, "project_id", "left").na.fill(0)
     return out.withColumn("error", (F.col("documents") == 0) | (F.col("damaged") > 0))
+
+
+def structure_issues(markdown: DataFrame | None = None, xhtml: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """Issues of whole projects, for the union of ``qa_report``: rows of ``markdown_structure`` (project_id and more),
+    rows of ``xhtml_structure`` that are errors, and projects (project_id) whose source can't be read."""
+    found = []
+    if markdown is not None:
+        found.append(markdown.select("project_id", F.lit("tokens differ").alias("detail"), _details(source_token_count=F.col("source_length"), rendered_token_count=F.col("target_length"), first_mismatch=F.col("first_difference"), source_token=F.col("source_token"), rendered_token=F.col("target_token")).alias("details")))
+    if xhtml is not None:
+        found.append(xhtml.where("error").select("project_id", F.when(F.col("documents") == 0, "no documents").otherwise("not well-formed").alias("detail"), _details(documents=F.col("documents"), damaged=F.col("damaged")).alias("details")))
+    if unreadable is not None:
+        found.append(unreadable.select("project_id", F.lit("source not found").alias("detail"), _details(reason=F.lit("source_not_found")).alias("details")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.select("project_id", F.lit(None).cast("long").alias("segment_id"), F.lit(None).cast("string").alias("stable_key"), F.lit("structure_damage").alias("code"), F.lit("error").alias("severity"), "detail", "details")

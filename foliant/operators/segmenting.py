@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.helpers import split_text
+from ..sources.scratch import written
 from .render import restore_links
 
 BLOCK_KEYS = ("source_type", "file", "xpath", "token_index", "chapter_ord", "block_index")
@@ -35,6 +36,23 @@ def assign_chapters(blocks: DataFrame, project: str = "project_id") -> DataFrame
     return wide.withColumns({"chapter_title": title, "chapter_href": href, "chapter_ord": ord_}).drop("_top", "_run")
 
 
+def assign_epub_chapters(blocks: DataFrame, project: str = "project_id") -> DataFrame:
+    """Blocks of EPUBs (spine_ord, file, token_index, kind, text): each document with a block is a chapter, named by its
+    first heading that says something. Documents are counted first, so no task sorts a book's blocks."""
+    said = F.when((F.col("kind") == "heading") & ~T.is_blank(F.col("text")), F.struct("token_index", F.col("text").alias("t")))
+    own = blocks.groupBy(project, "spine_ord").agg(F.min(said).alias("_h"))
+    order = Window.partitionBy(project).orderBy("spine_ord")
+    own = own.select(project, "spine_ord", F.col("_h.t").alias("chapter_title"), (F.row_number().over(order) - 1).alias("chapter_ord"))
+    return blocks.join(own, [project, "spine_ord"]).withColumn("chapter_href", F.col("file"))
+
+
+def chapter_table(sources: DataFrame, blocks: DataFrame, project: str = "project_id") -> DataFrame:
+    """(project, chapter_ord, chapter_title, chapter_href) of each of ``sources``: the chapters of its ``blocks``, or, of a
+    source without any, one that is empty and has no title."""
+    own = blocks.groupBy(project, "chapter_ord").agg(F.first("chapter_title").alias("chapter_title"), F.first("chapter_href").alias("chapter_href"))
+    return sources.select(project).distinct().join(own, project, "left").withColumn("chapter_ord", F.coalesce("chapter_ord", F.lit(0)))
+
+
 def translatable_blocks(blocks: DataFrame, project: str = "project_id") -> DataFrame:
     """Blocks with text to translate; block_index counts all of a chapter's blocks."""
     order = Window.partitionBy(project, "chapter_ord").orderBy("token_index")
@@ -53,8 +71,9 @@ def split_parts(blocks: DataFrame, most: int = 1500, markdown: bool = False) ->
 
 def segment_documents(blocks: DataFrame, path: Column, most: int = 1500, markdown: bool = True, project: str = "project_id") -> DataFrame:
     """Pending segments of translatable blocks (chapter_ord, block_index, text): pieces in order, their hash and
-    their stable key from ``path``. One shuffle by project and chapter serves the order."""
-    pieces = split_parts(blocks, most, markdown)
+    their stable key from ``path``. Texts are split once: the pieces are written, and counted and numbered from there.
+    One shuffle by project and chapter serves the order."""
+    pieces = written(split_parts(blocks, most, markdown), "pieces")
     pieces = ordinals(pieces, ["block_index", "part_index"], project)
     key = T.stable_key(F.col("chapter_ord"), F.col("block_index"), path, F.col("part_index"), F.col("part_count"))
     return pieces.withColumns({"src_hash": T.source_hash(F.col("text")), "stable_key": key, "status": F.lit("pending")})

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import segmenting as SG
 from ..operators import tm as M
 from ..sources.scratch import shared
 
@@ -27,11 +26,20 @@ class Base:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def lines(self) -> DataFrame:
+        """Lines with a word, with their place among all lines and among those."""
         docs = self.table("documents").where("text is not null")
-        return docs.select("doc_id", F.substring("source", 4, 10).cast("long").alias("project_id"), F.posexplode(F.split("text", "\n")).alias("line", "body")).where(~T.is_blank(F.col("body")))
+        every = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("body")))
+        seen = F.filter(every, lambda x: ~T.is_blank(x["body"]))
+        rows = docs.select("doc_id", F.substring("source", 4, 10).cast("long").alias("project_id"), F.posexplode(seen).alias("rank", "x"))
+        return rows.select("doc_id", "project_id", "x.line", "x.body", "rank")
 
     def segments(self) -> DataFrame:
-        s = SG.ordinals(self.lines(), ["line"], chapter="doc_id").withColumn("ord", F.col("ord").cast("long"))
+        """A chapter is a document here, so a line's place in its project is its place in the document after the lines of
+        the documents before it: only counts are shuffled."""
+        over = Window.partitionBy("project_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = self.lines().groupBy("doc_id", "project_id").agg(F.count("*").alias("n"))
+        base = sizes.select("doc_id", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+        s = self.lines().join(base, "doc_id").withColumn("ord", F.col("base") + F.col("rank").cast("long")).drop("base", "rank")
         pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("ord") % n + 1).cast("int"))
         mark = F.when(F.col("ord") % 11 == 0, " {name}").when(F.col("ord") % 11 == 1, " %s").when(F.col("ord") % 11 == 2, " <b>").otherwise("")
         s = s.withColumns({"source_text": F.concat("body", mark), "status": pick(STATES, 7)})

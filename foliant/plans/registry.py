@@ -24,7 +24,7 @@ from ..sources import books as K
 from ..sources import documents as D
 from ..sources import ledger as LD
 from ..streaming import events as ST
-from ..sources.scratch import shared
+from ..sources.scratch import shared, written
 from .base import NON_WS, NOW, WS, Base, normal_sql, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,17 @@ def stable_key(b):
     return s.select("id", F.when(F.col("source_type") == "md", of(md)).otherwise(of(epub)).alias("stable_key"))
 
 
+@query("segment", """SELECT id, printf('%04d:%05d:', chapter_id, ord) || substr(sha1(CASE ord % 3 WHEN 0 THEN '{"source_type":"md","token_index":' || ord || '}' WHEN 1 THEN '{"file":"f","source_type":"epub","xpath":"/p"}'
+  ELSE '{"file":"f","page":{"a":null,"b":' || ord || '},"source_type":"pdf","token_index":' || ord || ',"xpath":"/p"}' END), 1, 8) AS stable_key FROM segment""")
+def stable_path(b):
+    """Keys of whole paths of three kinds of sources."""
+    s = b.segments().drop("stable_key")
+    kind = F.element_at(F.array(*map(F.lit, ["md", "epub", "pdf"])), (F.col("ord") % 3 + 1).cast("int"))
+    path = F.struct(F.lit("/p").alias("xpath"), F.col("source_text").alias("raw_block"), kind.alias("source_type"), F.struct(F.col("ord").alias("b"), F.lit(None).cast("string").alias("a")).alias("page"), F.col("ord").alias("token_index"), F.lit("f").alias("file"), F.col("ord").alias("char_start"))
+    s = s.withColumn("path", path)
+    return s.select("id", T.stable_key(F.col("chapter_id"), F.col("ord"), F.col("path"), F.lit(0), F.lit(1), s.schema["path"].dataType).alias("stable_key"))
+
+
 CJK, OTHER = "[^\\x{3400}-\\x{9fff}]", "[\\x{3400}-\\x{9fff}]"
 TOKENS = f"CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(regexp_replace(text, '{CJK}', '', 'g')) + CAST(ceil(length(regexp_replace(text, '{OTHER}', '', 'g')) / 4.0) AS BIGINT)) END"
 
@@ -133,10 +144,12 @@ def assign_chapters(b):
     return blocks.groupBy("project_id", F.col("chapter_ord").cast("long").alias("chapter_ord")).agg(F.first("chapter_title").alias("chapter_title"))
 
 
-@query("line", "SELECT project_id, count(*) AS kept FROM line GROUP BY 1")
+@query("", f"""SELECT project_id, chapter_ord, CAST(i AS INT) AS token_index, body AS text, CAST(i AS INT) AS block_index FROM (SELECT doc_id AS chapter_ord, CAST(substr(source, 4) AS BIGINT) AS project_id, i, parts[i + 1] AS body
+  FROM (SELECT doc_id, source, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))) WHERE i % 5 <> 4 AND NOT {blank('body')}""")
 def translatable_blocks(b):
-    d = b.table("documents").where("text is not null").select(F.substring("source", 4, 10).cast("long").alias("project_id"), F.col("doc_id").alias("chapter_ord"), F.posexplode(F.split("text", "\n")).alias("token_index", "text")).withColumn("translatable", F.lit(True))
-    return SG.translatable_blocks(d).groupBy("project_id").agg(F.count("*").alias("kept"))
+    """All lines of all documents as blocks; every fifth isn't to be translated, and blank ones have nothing to say."""
+    d = b.table("documents").where("text is not null").select(F.substring("source", 4, 10).cast("long").alias("project_id"), F.col("doc_id").alias("chapter_ord"), F.posexplode(F.split("text", "\n")).alias("token_index", "text")).withColumn("translatable", F.col("token_index") % 5 != 4)
+    return SG.translatable_blocks(d).select("project_id", "chapter_ord", "token_index", "text", "block_index")
 
 
 @query("", "SELECT doc_id, length(text) AS total, sha1(text) AS joined, true AS bounded FROM documents WHERE text IS NOT NULL")
@@ -145,10 +158,17 @@ def split_long_text(b):
     return d.select("doc_id", F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("total"), F.sha1(F.array_join("p", "").cast("binary")).alias("joined"), F.forall("p", lambda x: F.length(x) <= 1500).alias("bounded"))
 
 
-@query("", "SELECT doc_id, sha1(text) AS joined FROM documents WHERE text IS NOT NULL")
+ATOMS = "replace(replace(text, '`', chr(39)), chr(10), ' `code ' || doc_id || ' and more of it` ')"
+
+
+@query("", f"SELECT doc_id, sha1({ATOMS}) AS joined, true AS whole, length({ATOMS}) > 700 AS cut FROM documents WHERE text IS NOT NULL")
 def split_markdown_text(b):
-    d = b.table("documents").where("text is not null").withColumn("p", split_text(700, True)(F.col("text")))
-    return d.select("doc_id", F.sha1(F.array_join("p", "").cast("binary")).alias("joined"))
+    """Documents with a code span for each line end: no piece ends inside a span."""
+    span = F.concat(F.lit(" `code "), F.col("doc_id").cast("string"), F.lit(" and more of it` "))
+    made = F.replace(F.replace(F.col("text"), F.lit("`"), F.lit("'")), F.lit("\n"), span)
+    d = b.table("documents").where("text is not null").withColumn("p", split_text(700, True)(made))
+    marks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("`"), F.lit("")))
+    return d.select("doc_id", F.sha1(F.array_join("p", "").cast("binary")).alias("joined"), F.forall("p", lambda x: marks(x) % 2 == 0).alias("whole"), (F.size("p") > 1).alias("cut"))
 
 
 def _segmented(b):
@@ -449,9 +469,20 @@ def _contexts(b):
     return C.build_context(frame)
 
 
-@query("segment", "SELECT id, true AS fits FROM segment")
+WHOLE = f"""d AS (SELECT project_id, ord, source_text, target_text, row_number() OVER (PARTITION BY project_id ORDER BY ord) - 1 AS k FROM segment WHERE {DONE} AND target_text IS NOT NULL),
+  n AS (SELECT id, project_id, chapter_id, ord, coalesce(count(*) FILTER ({DONE} AND target_text IS NOT NULL) OVER (PARTITION BY project_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM segment),
+  h AS (SELECT n.id, '{C.HISTORY}' || chr(10) || string_agg('{C.SOURCE}' || d.source_text || chr(10) || '{C.TARGET}' || d.target_text, chr(10) ORDER BY d.ord) AS history FROM n JOIN d ON d.project_id = n.project_id AND d.k BETWEEN n.r - 3 AND n.r - 1 WHERE d.target_text <> '' GROUP BY 1),
+  m AS (SELECT s.id, '{C.GLOSSARY}' || chr(10) || string_agg('- ' || g.source_term || ' → ' || g.target_term || CASE WHEN g.note IS NULL THEN '' ELSE '（' || g.note || '）' END, chr(10) ORDER BY g.id) AS terms FROM segment s JOIN glossary g ON {MATCH} GROUP BY 1),
+  w AS (SELECT n.id, array_to_string(list_filter([coalesce(terms, ''), CASE WHEN coalesce(c.summary, '') = '' THEN '' ELSE '{C.SUMMARY}' || chr(10) || c.summary END, coalesce(history, '')], lambda x: x <> ''), chr(10) || chr(10)) AS text
+    FROM n LEFT JOIN chapter c ON c.id = n.chapter_id LEFT JOIN h ON h.id = n.id LEFT JOIN m ON m.id = n.id)"""
+
+
+@query("segment glossary chapter", f", {WHOLE} SELECT id, CASE WHEN {TOKENS} <= 1200 THEN text END AS context, true AS fits FROM w")
 def build_context(b):
-    return _contexts(b).select("id", (T.estimate_tokens(F.col("context")) <= 1200).alias("fits"))
+    """The whole context where all of it fits; beyond that it is cut to what does."""
+    made = _contexts(b)
+    whole = F.array_join(F.filter(F.array(F.coalesce(C.glossary_section(F.col("terms")), F.lit("")), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(C.SUMMARY + "\n"), "summary")).otherwise(""), F.coalesce(C.history_section(F.col("previous")), F.lit(""))), lambda x: x != ""), "\n\n")
+    return made.select("id", F.when(T.estimate_tokens(whole) <= 1200, F.col("context")).alias("context"), (T.estimate_tokens(F.col("context")) <= 1200).alias("fits"))
 
 
 @query("segment chapter", f"""SELECT chapter_id, text FROM (SELECT s.chapter_id, substr(string_agg(s.source_text, chr(10) || chr(10) ORDER BY s.ord, s.id), 1, 8000) AS text FROM segment s JOIN chapter c ON c.id = s.chapter_id WHERE {blank('c.summary')} AND s.chapter_id IN (SELECT chapter_id FROM segment WHERE status IN ('pending', 'error')) GROUP BY 1)""")
@@ -460,10 +491,12 @@ def chapter_summary_source(b):
     return C.chapter_summary_source(b.chapters(), s, L.select_candidates(s))
 
 
-@query("segment", "SELECT id, source_text AS restored FROM segment")
+@query("segment", """SELECT id, source_text AS restored, CASE WHEN NOT regexp_matches(regexp_replace(source_text, ' (\\{name\\}|%s|<b>)$', ''), '[*_`\\[\\]<{}%~$\\\\⟦]|(?i)https?:') THEN regexp_replace(source_text, ' (\\{name\\}|%s|<b>)$', ' ⟦MDP0000⟧') END AS masked FROM segment""")
 def mask_markdown_query(b):
+    """Every text comes back whole; masked texts are compared where a text has no marks but the one at its end."""
     s = b.segments().withColumn("m", mask_markdown(F.col("source_text"))).withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(-1)))
-    return s.select("id", F.col("r.text").alias("restored"))
+    body = F.regexp_replace("source_text", r" (\{name\}|%s|<b>)$", "")
+    return s.select("id", F.col("r.text").alias("restored"), F.when(~body.rlike(r"[*_`\[\]<{}%~$\\⟦]|(?i)https?:"), F.col("m.text")).alias("masked"))
 
 
 @query("segment", "SELECT id, source_text AS restored, CAST(ord % 11 < 2 AS INT) AS markers FROM segment")
@@ -472,12 +505,14 @@ def mask_plain_query(b):
     return s.select("id", F.col("r.text").alias("restored"), F.size("m.replacements").alias("markers"))
 
 
-@query("segment", "SELECT id, source_text AS restored, length(source_text) >= 10 AS has_slots, CASE WHEN ord % 3 = 0 THEN 'error' END AS damaged FROM segment WHERE length(source_text) >= 10")
+@query("segment", "SELECT id, source_text AS restored, length(source_text) >= 4 AS has_slots, CASE WHEN ord % 3 = 0 AND (length(source_text) >= 4 OR ord % 11 < 2) THEN 'error' END AS damaged FROM segment")
 def restore_markers_query(b):
+    """Two slots a text, at its fourth character; every third text comes back without its first marker."""
     slots = F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end")), F.struct(F.lit(4).alias("start"), F.length("source_text").alias("end")))
-    s = b.segments().where(F.length("source_text") >= 10).withColumn("m", mask_slots(F.col("source_text"), slots))
-    s = s.withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(2))).withColumn("bad", restore_markers(F.when(F.col("ord") % 3 == 0, F.substring("m.text", 14, 100000)).otherwise(F.col("m.text")), F.col("m.replacements"), F.lit(2)))
-    return s.select("id", F.col("r.text").alias("restored"), (F.size("r.target_slots") == 2).alias("has_slots"), F.when(F.col("bad.error").isNotNull(), "error").alias("damaged"))
+    s = b.segments().withColumn("m", mask_slots(F.col("source_text"), slots))
+    lost = F.regexp_replace("m.text", "⟦VAR0000⟧", "")
+    s = s.withColumn("r", restore_markers(F.col("m.text"), F.col("m.replacements"), F.lit(2))).withColumn("bad", restore_markers(F.when(F.col("ord") % 3 == 0, lost).otherwise(F.col("m.text")), F.col("m.replacements"), F.lit(2)))
+    return s.select("id", F.col("r.text").alias("restored"), F.coalesce(F.size("r.target_slots") == 2, F.lit(False)).alias("has_slots"), F.when(F.col("bad.error").isNotNull(), "error").alias("damaged"))
 
 
 def _templates(b):
@@ -601,9 +636,17 @@ def _with_paths(b):
     return b.segments().withColumns({"source_type": F.when(F.col("ord") % 13 > 0, "md"), "file": F.lit(None).cast("string"), "xpath": F.lit(None).cast("string"), "token_index": F.when(F.col("ord") % 17 > 0, F.col("ord"))})
 
 
+DETAILED = ("qa_missing", "qa_length_ratio", "qa_struct_path")
+
+
+def _named(c: str):
+    """A map as names and values in order."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+
+
 def _rule(name: str):
     def run(b):
-        return Q.row_issues(_with_paths(b), [name]).select(F.col("segment_id").alias("id"), "code", "severity", "detail")
+        return Q.row_issues(_with_paths(b), [name]).select(F.col("segment_id").alias("id"), "code", "severity", "detail", *([_named("details").alias("details")] if name in DETAILED else []))
 
     run.__name__ = name
     return run
@@ -615,8 +658,8 @@ ENGLISH = f"(NOT {MISSING} AND regexp_matches(target_text, '{RUN}') AND length(r
 BAD_PATH = "(ord % 13 = 0 OR ord % 17 = 0)"
 
 
-query("segment", f"SELECT id, 'missing_translation' AS code, 'error' AS severity, status AS detail FROM segment WHERE {MISSING}")(_rule("qa_missing"))
-query("segment", f", q AS (SELECT *, {compact('source_text')} AS a, {compact('target_text')} AS z FROM segment WHERE NOT {MISSING}) SELECT id, 'length_ratio' AS code, 'warn' AS severity, printf('%.4f', round_even(z / a, 4)) AS detail FROM q WHERE a >= 4 AND (z / a < 0.3 OR z / a > 3)")(_rule("qa_length_ratio"))
+query("segment", f"SELECT id, 'missing_translation' AS code, 'error' AS severity, status AS detail, 'status=' || status AS details FROM segment WHERE {MISSING}")(_rule("qa_missing"))
+query("segment", f", q AS (SELECT *, {compact('source_text')} AS a, {compact('target_text')} AS z FROM segment WHERE NOT {MISSING}) SELECT id, 'length_ratio' AS code, 'warn' AS severity, printf('%.4f', round_even(z / a, 4)) AS detail, printf('maximum=3.0;minimum=0.3;ratio=%.4f;source_length=%d;target_length=%d', round_even(z / a, 4), a, z) AS details FROM q WHERE a >= 4 AND (z / a < 0.3 OR z / a > 3)")(_rule("qa_length_ratio"))
 query("segment", f""", q AS (SELECT id, regexp_extract_all(source_text, '{PLACE}') AS a, regexp_extract_all(target_text, '{PLACE}') AS z FROM segment WHERE NOT {MISSING}),
   u AS (SELECT id, p, len(list_filter(a, lambda x: x = p)) - len(list_filter(z, lambda x: x = p)) AS n, list_position(a, p) AS place FROM (SELECT id, a, z, unnest(list_distinct(a)) AS p FROM q))
   SELECT id, 'placeholder_missing' AS code, 'warn' AS severity, string_agg(rtrim(repeat(p || '|', n), '|'), '|' ORDER BY place) AS detail FROM u WHERE n > 0 GROUP BY 1""")(_rule("qa_placeholders"))
@@ -628,7 +671,7 @@ def qa_english_residual(b):
     return _rule("qa_english_residual")(b).select("id", "code", "severity", (F.length("detail") > 8).alias("has_runs"))
 
 
-query("segment", "SELECT id, 'invalid_structure_path' AS code, 'error' AS severity, CASE WHEN ord % 13 > 0 THEN 'md' ELSE '' END AS detail FROM segment WHERE " + BAD_PATH)(_rule("qa_struct_path"))
+query("segment", "SELECT id, 'invalid_structure_path' AS code, 'error' AS severity, CASE WHEN ord % 13 > 0 THEN 'md' ELSE '' END AS detail, 'source_type=' || CASE WHEN ord % 13 > 0 THEN 'md' ELSE '' END AS details FROM segment WHERE " + BAD_PATH)(_rule("qa_struct_path"))
 
 MISMATCH = f"NOT CASE WHEN g.case_sensitive THEN contains(s.target_text, g.target_term) ELSE contains({FOLD('s.target_text')}, {FOLD('g.target_term')}) END"
 
@@ -638,22 +681,31 @@ def qa_glossary(b):
     return Q.glossary_issues(b.segments(), b.glossary()).select(F.col("segment_id").alias("id"), "detail")
 
 
-@query("segment glossary", f""", u AS (SELECT id, list_filter(list_distinct(a), lambda p: len(list_filter(a, lambda x: x = p)) > len(list_filter(z, lambda x: x = p))) AS lost FROM (SELECT id, regexp_extract_all(source_text, '{PLACE}') AS a, regexp_extract_all(target_text, '{PLACE}') AS z FROM segment WHERE NOT {MISSING})),
+@query("segment glossary project", f""", u AS (SELECT id, list_filter(list_distinct(a), lambda p: len(list_filter(a, lambda x: x = p)) > len(list_filter(z, lambda x: x = p))) AS lost FROM (SELECT id, regexp_extract_all(source_text, '{PLACE}') AS a, regexp_extract_all(target_text, '{PLACE}') AS z FROM segment WHERE NOT {MISSING})),
   i AS (SELECT project_id, 'error' AS severity FROM segment WHERE {MISSING} UNION ALL SELECT s.project_id, 'warn' FROM (FROM segment WHERE NOT {MISSING}) s JOIN glossary g ON {MATCH} AND {MISMATCH}
   UNION ALL SELECT project_id, 'warn' FROM (SELECT *, {compact('source_text')} AS a, {compact('target_text')} AS z FROM segment WHERE NOT {MISSING}) WHERE a >= 4 AND (z / a < 0.3 OR z / a > 3)
-  UNION ALL SELECT project_id, 'warn' FROM segment WHERE {ENGLISH} UNION ALL SELECT project_id, 'error' FROM segment WHERE {BAD_PATH} UNION ALL SELECT s.project_id, 'warn' FROM segment s JOIN u ON u.id = s.id WHERE len(lost) > 0)
+  UNION ALL SELECT project_id, 'warn' FROM segment WHERE {ENGLISH} UNION ALL SELECT project_id, 'error' FROM segment WHERE {BAD_PATH} UNION ALL SELECT s.project_id, 'warn' FROM segment s JOIN u ON u.id = s.id WHERE len(lost) > 0
+  UNION ALL SELECT id, 'error' FROM project WHERE id % 3 = 0 UNION ALL SELECT id, 'error' FROM project WHERE id % 5 = 1 UNION ALL SELECT id, 'error' FROM project WHERE id % 7 = 0)
   SELECT project_id, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, CAST(0 AS BIGINT) AS info, count(*) AS total FROM i GROUP BY 1""")
 def qa_report(b):
-    """All row rules and the glossary's."""
-    return Q.qa_report(Q.row_issues(_with_paths(b)), Q.glossary_issues(b.segments(), b.glossary()))
+    """All row rules, the glossary's, and the structure's: some projects' headings are lost, some have no documents, some no
+    source."""
+    p = b.projects().select(F.col("id").alias("project_id"), "title")
+    files = p.select("project_id", F.concat(F.lit("# "), "title").alias("source"), F.when(F.col("project_id") % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("# "), "title")).alias("target"))
+    pages = p.where("project_id % 5 <> 1").select("project_id", F.concat(F.lit("<p>"), "title", F.lit("</p>")).alias("xhtml"))
+    damage = Q.structure_issues(Q.markdown_structure(files), Q.xhtml_structure(b.projects(), pages), p.where("project_id % 7 = 0"))
+    return Q.qa_report(Q.row_issues(_with_paths(b)), Q.glossary_issues(b.segments(), b.glossary()), damage)
 
 
-@query("", "SELECT doc_id AS project_id, true AS at_end, 1 AS more FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0")
+@query("", """SELECT doc_id AS project_id, CASE WHEN doc_id % 3 = 0 THEN 'end' ELSE 'start' END AS place, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS more, CASE WHEN doc_id % 3 = 1 THEN 'h1' END AS source_token, CASE WHEN doc_id % 3 = 0 THEN 'h1' ELSE 'h2' END AS target_token
+  FROM documents WHERE text IS NOT NULL AND doc_id % 3 < 2""")
 def qa_markdown_structure(b):
-    """Every third file has gained a heading at its end."""
+    """Of three files one has gained a heading at its end, and one's first heading has sunk."""
     f = _markdown_files(b).withColumnRenamed("text", "source")
-    f = f.withColumn("target", F.when(F.col("project_id") % 3 == 0, F.concat("source", F.lit("\n\n# extra"))).otherwise(F.col("source")))
-    return Q.markdown_structure(f).select("project_id", (F.col("first_difference") == F.col("source_length")).alias("at_end"), (F.col("target_length") - F.col("source_length")).alias("more"))
+    k = F.col("project_id") % 3
+    f = f.withColumn("target", F.when(k == 0, F.concat("source", F.lit("\n\n# extra"))).when(k == 1, F.concat(F.lit("#"), "source")).otherwise(F.col("source")))
+    place = F.when(F.col("first_difference") == F.col("source_length"), "end").when(F.col("first_difference") == 0, "start")
+    return Q.markdown_structure(f).select("project_id", place.alias("place"), (F.col("target_length") - F.col("source_length")).alias("more"), "source_token", "target_token")
 
 
 @query()
@@ -703,9 +755,15 @@ def merge_log_pages(b):
 # --- rendering and export -----------------------------------------------------------------------------------------------------
 
 
-@query("segment", "SELECT id, 'see [x](u' || ord || ')' AS fixed FROM segment")
+BRACKETS = "translate(source_text, '[]()', '{}{}')"
+
+
+@query("segment", f"SELECT id, 'T [x](' || CASE WHEN ord % 3 = 0 THEN 'broken' ELSE 'u' || ord END || ') ' || {BRACKETS} || ' [y](' || CASE WHEN ord % 3 = 0 THEN 'lost' ELSE 'v ' || id END || ')' AS fixed FROM segment")
 def restore_links(b):
-    return b.segments().select("id", R.restore_links(F.concat(F.lit("see [a](u"), F.col("ord").cast("string"), F.lit(")")), F.lit("see [x](broken)")).alias("fixed"))
+    """Segments between two links each; of every third one a link is missing in the source, so the target stays."""
+    text = F.translate("source_text", "[]()", "{}{}")
+    source = F.concat(F.lit("[a](u"), F.col("ord").cast("string"), F.lit(") "), text, F.when(F.col("ord") % 3 != 0, F.concat(F.lit(" [b](v "), F.col("id").cast("string"), F.lit(")"))).otherwise(""))
+    return b.segments().select("id", R.restore_links(source, F.concat(F.lit("T [x](broken) "), text, F.lit(" [y](lost)"))).alias("fixed"))
 
 
 def _translated_blocks(b):
@@ -735,6 +793,73 @@ def render_markdown(b):
     return R.render_markdown(_markdown_files(b), _translated_blocks(b), "project_id").select("project_id", "rendered")
 
 
+def _bare_cell(token: str, own: str) -> str:
+    return f"CASE WHEN ({token}) % 2 = 0 THEN 'T' || ({token}) ELSE {own} END"
+
+
+@query("", PIECES + f""", e AS (SELECT project_id, i, CASE WHEN n = 4 THEN '| ' || {_bare_cell('t', "'a'")} || ' | ' || {_bare_cell('t + 1', "'b'")} || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {_bare_cell('t + 2', 'cell')} || ' | ' || {_bare_cell('t + 3', "'[l](http://x.y/' || link")} || ' |'
+    WHEN n = 1 AND kind <> 'code' AND t % 2 = 0 THEN CASE kind WHEN 'h1' THEN '# ' WHEN 'h2' THEN '## ' WHEN 'list_item' THEN '- ' WHEN 'blockquote' THEN '> ' ELSE '' END || 'T' || t ELSE piece END AS piece FROM r)
+  SELECT project_id, string_agg(piece, chr(10) || chr(10) ORDER BY i) AS rendered FROM e GROUP BY 1""")
+def render_markdown_target(b):
+    """Books in the target language alone: what isn't translated keeps its source."""
+    blocks = _translated_blocks(b).withColumn("target", F.coalesce("target", "inline"))
+    return R.render_markdown(_markdown_files(b), blocks, "project_id", "target_only").select("project_id", "rendered")
+
+
+def _xhtml_files(b, code: bool = True):
+    """Each document as an XHTML page, a line an element: headings, items, quotes, code and paragraphs by turns."""
+    wrap = lambda a, x, z: F.concat(F.lit(a), x, F.lit(z))
+
+    def element(x, i):
+        esc = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        kinds = [(i == 0, "<h1>", "</h1>"), (i % 7 == 1, "<ul><li>", "</li></ul>"), (i % 7 == 2, "<blockquote><p>", "</p></blockquote>"), (i % 7 == 3, "<pre><code>", "</code></pre>"), (i % 7 == 4, "<h2>", "</h2>"), (i % 7 == 5, "<p>a <code>x &lt; y</code> " if code else "<p>", "</p>")]
+        out = wrap("<p>", esc, "</p>")
+        for when, a, z in reversed(kinds):
+            out = F.when(when, wrap(a, esc, z)).otherwise(out)
+        return out
+
+    body = F.array_join(F.transform(F.split("text", "\n"), element), "\n")
+    return b.table("documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.substring("source", 4, 10).cast("long").alias("project_id"), wrap("<html><head><title>t</title></head><body>", body, "</body></html>").alias("html"))
+
+
+#: The pages' elements: place, kind, trimmed text.
+ELEMENTS = f"""WITH x AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS project_id, i, regexp_replace(parts[i + 1], '^{WS}+|{WS}+$', '', 'g') AS t, parts[i + 1] AS raw, CASE WHEN i = 0 THEN 0 WHEN i % 7 BETWEEN 1 AND 5 THEN i % 7 ELSE 6 END AS k
+  FROM (SELECT doc_id, source, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)))"""
+
+
+@query("", ELEMENTS + """ SELECT doc_id AS page_id, CAST(i AS INT) AS token_index, ['heading', 'list_item', 'blockquote', 'code', 'heading', 'para', 'para'][k + 1] AS kind, CASE k WHEN 3 THEN '⟦EPUBCODE0000⟧' WHEN 5 THEN rtrim('a ⟦EPUBCODE0000⟧ ' || t) ELSE t END AS text, k = 5 OR k <> 3 AND t <> '' AS translatable FROM x""")
+def xhtml_documents(b):
+    """The blocks of pages made from documents."""
+    return B.xhtml_blocks(_xhtml_files(b), ["page_id"]).select("page_id", "token_index", "kind", "text", "translatable")
+
+
+@query("", ELEMENTS + """, h AS (SELECT project_id, doc_id, first(t ORDER BY i) FILTER (k IN (0, 4) AND t <> '') AS chapter_title FROM x GROUP BY 1, 2), p AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS project_id FROM documents UNION ALL SELECT 1000)
+  SELECT p.project_id, CASE WHEN doc_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY p.project_id ORDER BY doc_id) - 1 END AS chapter_ord, chapter_title, doc_id || '.xhtml' AS chapter_href FROM p LEFT JOIN h ON h.project_id = p.project_id""")
+def epub_chapters(b):
+    """A chapter for each document of a book, and an empty one for a book without any."""
+    pages = _xhtml_files(b).withColumn("file", F.concat(F.col("page_id").cast("string"), F.lit(".xhtml"))).withColumnRenamed("page_id", "spine_ord")
+    blocks = SG.assign_epub_chapters(B.xhtml_blocks(pages, ["project_id", "spine_ord", "file"]))
+    books = b.projects().select(F.col("id").alias("project_id")).union(b.spark.range(1000, 1001))
+    return SG.chapter_table(books, blocks).withColumn("chapter_ord", F.col("chapter_ord").cast("long"))
+
+
+def _clone_sql(a: str, z: str, attrs: str, again: str = "") -> str:
+    return f"'<{a}>' || e || '</{z}>' || CASE WHEN t <> '' THEN '<{again or a}{attrs}>' || u || '</{z}>' ELSE '' END"
+
+
+CLONED = ' class="translation" lang="zh-CN"'
+
+
+@query("", ELEMENTS + f""", y AS (SELECT *, replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e, replace(replace(replace(replace(upper(t), chr(7838), 'SS'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS u FROM x)
+  SELECT doc_id AS page_id, '<html><head><title>t</title><style type="text/css" data-foliant="true">{R.STYLE}</style></head><body>' || string_agg(CASE k WHEN 0 THEN {_clone_sql('h1', 'h1', CLONED)} WHEN 1 THEN '<ul>' || {_clone_sql('li', 'li', CLONED)} || '</ul>'
+    WHEN 2 THEN '<blockquote><p>' || e || '</p></blockquote>' || CASE WHEN t <> '' THEN '<blockquote{CLONED}><p>' || u || '</p></blockquote>' ELSE '' END WHEN 3 THEN '<pre><code>' || e || '</code></pre>' WHEN 4 THEN {_clone_sql('h2', 'h2', CLONED)} ELSE {_clone_sql('p', 'p', CLONED)} END, chr(10) ORDER BY i) || '</body></html>' AS xhtml FROM y GROUP BY 1""")
+def render_xhtml_documents(b):
+    """Pages made from documents with each translatable element's clone in capitals after it."""
+    pages = _xhtml_files(b, code=False)
+    blocks = B.xhtml_blocks(pages, ["page_id"]).select("page_id", "token_index", "tag", F.when(F.col("translatable"), F.upper("text")).alias("target"), F.lit(None).cast("array<string>").alias("slots"))
+    return R.render_xhtml(pages, blocks, "page_id").select("page_id", "xhtml")
+
+
 @query()
 def render_xhtml(b):
     """Upper-cased blocks beside their sources; what goes where is held against expected pages in the tests."""
@@ -936,11 +1061,15 @@ def stream_segment_text(b):
 
 
 def translation_plan(b) -> DataFrame:
-    """Documents to segments, memory hits and leaders, summed up by project."""
+    """Documents to segments, memory hits and leaders, summed up by project: one lookup, whose equal texts of a project are
+    one row from there on."""
     found = M.tm_lookup(L.select_candidates(b.languages()), b.memory())
-    leaders = M.tm_batch_dedup(found.where("not hit")).groupBy("project_id").agg(F.count("*").alias("missed"), F.count_if("leader").alias("leaders"))
-    hits = found.groupBy("project_id").agg(F.count("*").alias("candidates"), F.count_if("hit").alias("hits"))
-    return hits.join(leaders, "project_id", "left").na.fill(0)
+    texts = written(found.groupBy("project_id", *M.KEYS, "hit").agg(F.count("*").alias("n"), F.min("ord").alias("ord")), "plan")
+    leads = texts.where("NOT hit").groupBy(*M.KEYS).agg(F.min(F.struct("project_id", "ord"))["project_id"].alias("project_id"))
+    leads = leads.groupBy("project_id").agg(F.count("*").alias("leaders"))
+    counted = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    own = texts.groupBy("project_id").agg(F.sum("n").cast("long").alias("candidates"), counted(F.col("hit")).alias("hits"), counted(~F.col("hit")).alias("missed"))
+    return own.join(leads, "project_id", "left").na.fill(0)
 
 
 query("lang tm", """, c AS (SELECT l.*, t.src_hash IS NOT NULL AS hit FROM lang l LEFT JOIN tm t USING (src_hash, source_lang, target_lang) WHERE status IN ('pending', 'error')), m AS (SELECT *, row_number() OVER (PARTITION BY source_lang, target_lang, src_hash ORDER BY project_id, ord, id) = 1 AS leader FROM c WHERE NOT hit)
