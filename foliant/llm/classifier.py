@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import Memo, blocks, give_back, row_sums, texts_of
+from .store import small_batches
 
 BUCKETS, RANK, SAMPLE = 1 << 15, 8, 8_000
 CUT = 0.3  # of the contract: predicted is 1 from this score on
@@ -139,7 +140,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     memo = words_to_buckets()
     for batch in batches:
         texts = texts_of(batch, "text")
-        for a, b in blocks([len(t) for t in texts], 1 << 21):
+        for a, b in blocks([len(t) for t in texts], 1 << 20):
             index, values, sizes, stats = features(texts[a:b], memo)
             ends = np.cumsum(sizes).tolist()
             cut = lambda x: pa.array([x[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most ``sample`` labelled rows that aren't held out. Their features are made by tasks; the driver gets
     the sparse rows, some kilobytes each, and no texts. The join moves ids of the sample, not texts: they are few
     enough to be sent to every reader of texts."""
+    small_batches(docs.sparkSession)
     marked = labels.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     known = docs.select(F.col(doc_id).alias("id")).where(F.col("id").isNotNull()).distinct()
     marked = marked.groupBy("id").agg(F.min("y").alias("y")).join(known, "id", "left_semi")
@@ -166,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _scored(docs: DataFrame, machine: Machine, out: str) -> DataFrame:
     """``docs`` with the score in a further column; its own column "text" is what is scored."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # 1.2 MB whatever the corpus
     names = [*docs.columns, out]
 
@@ -174,7 +177,7 @@ def _scored(docs: DataFrame, machine: Machine, out: str) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             got = np.zeros(len(texts))
-            for a, b in blocks([len(t) for t in texts], 1 << 21):
+            for a, b in blocks([len(t) for t in texts], 1 << 20):
                 index, values, sizes, stats = features(texts[a:b], memo)
                 got[a:b] = 1 / (1 + np.exp(-np.clip(m.margins(index, values, sizes, m.dense(stats))[0], -30, 30)))
                 memo.trim()

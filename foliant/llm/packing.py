@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ragged import Memo, blocks, give_back, row_sums, spans
-from .store import partitions, written
+from .store import partitions, small_batches, written
 
 WINDOW, CLOSING = 4096, 2
 #: Words that can be cut up here as the tokenizer does: no character of theirs is changed by NFC, and lower case is one
@@ -187,6 +187,7 @@ RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW, shares: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
     """Every piece with its place; ``with_ids`` adds the ids themselves. Tokens are worked out once and written;
     the layout reads their counts alone, and the ids are shuffled once, to meet their document's pieces."""
+    small_batches(docs.sparkSession)
     table = written(tokenized(docs, tokenizer, doc_id, text, source), "tokens")
     pieces = layout(table.select("row", "source", "n"), window, shares)
     pieces = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import neardup
 from .components import components
 from .ragged import blocks, give_back, texts_of
-from .store import attach, free, partitions, remove, written
+from .store import attach, free, partitions, remove, small_batches, written
 
 SIMILARITY = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 6
@@ -285,6 +285,7 @@ def links(table: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, component_id) of every row, and (node, root, component_id) of every set of shingles."""
+    small_batches(docs.sparkSession)
     table = written(described(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle), "shingles")
     names = written(table.select("doc_id", "node"), "nodes")
     roots = components(links(table, candidates(table)))  # its edges are written by now, and the sets are done with

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,6 +56,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, most: int = 4) -> None:
+    """Arrow batches of at most ``most`` MB from here on, where the session allows larger ones: rows that carry whole texts or
+    sets fill 64 MB else, which a task holds several times over, in the JVM and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    size = int(re.sub(r"\D", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(re.sub(r"[\d\sb]", "", now.lower())[:1], 1)
+    if size <= 0 or size > most << 20:
+        spark.conf.set(key, f"{most}m")
+
+
 #: A key is hot when it holds more than 1/HOT of all rows, and LEAST rows at the least.
 HOT, LEAST = 10_000, 1000
 
