@@ -42,7 +42,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "whole")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
