@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from ..functions import text as T
+from .search import indexed_search
 from .spread import salted_join
 
 #: Characters of segments, and terms, that meet in one group: what a task holds at once, whatever a project's size.
@@ -114,11 +115,13 @@ def glossary_import(terms: DataFrame, batch: DataFrame, overwrite: bool = False)
     return wide.withColumn("action", action).drop("_n", "_old")
 
 
-def glossary_search(terms: DataFrame, project_id: int | None = None, search: str = "", enabled_only: bool = False, notes: bool = False) -> DataFrame:
-    out = terms if project_id is None else terms.where(F.col("project_id") == project_id)
+def glossary_search(terms: DataFrame, project_id: int | None = None, search: str = "", enabled_only: bool = False, notes: bool = False, index: str | None = None) -> DataFrame:
+    """Terms by id; a search in terms (and notes) may use an ``index`` of their grams."""
+    out = indexed_search(terms.sparkSession, index, search) if search and index else terms
+    out = out if project_id is None else out.where(F.col("project_id") == project_id)
     if enabled_only:
         out = out.where("enabled")
-    if search:
+    if search and not index:
         hit: Column = T.contains_folded(F.col("source_term"), search) | T.contains_folded(F.col("target_term"), search)
         if notes:
             hit = hit | F.coalesce(T.contains_folded(F.col("note"), search), F.lit(False))

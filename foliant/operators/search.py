@@ -114,15 +114,16 @@ def indexed_search(spark: SparkSession, path: str, needle: str) -> DataFrame:
     return rows.where(hit).drop("_block")
 
 
-def segment_page(segments: DataFrame, project_id: int | None = None, chapter_id: int | None = None, statuses: list[str] | None = None, search: str = "", page: int = 1, size: int = 50) -> DataFrame:
-    out = segments
+def segment_page(segments: DataFrame, project_id: int | None = None, chapter_id: int | None = None, statuses: list[str] | None = None, search: str = "", page: int = 1, size: int = 50, index: str | None = None) -> DataFrame:
+    """A page of segments by ord; with ``index``, written by ``write_gram_index``, a search reads what it finds there."""
+    out = indexed_search(segments.sparkSession, index, search) if search and index else segments
     if project_id is not None:
         out = out.where(F.col("project_id") == project_id)
     if chapter_id is not None:
         out = out.where(F.col("chapter_id") == chapter_id)
     if statuses is not None:
         out = out.where(F.col("status").isin(statuses))
-    if search:
+    if search and not index:
         out = out.where(T.contains_folded(F.col("source_text"), search) | F.coalesce(T.contains_folded(F.col("target_text"), search), F.lit(False)))
     return page_of(out, [F.col("ord"), F.col("id")], page, size)
 

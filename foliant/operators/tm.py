@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.scratch import written
 from .ledger import apply_results
-from .search import page_of
+from .search import indexed_search, page_of
 from .spread import hot_join
 
 KEYS = ["src_hash", "source_lang", "target_lang"]
@@ -174,9 +174,10 @@ def tm_stats(projects: DataFrame, segments: DataFrame, tm: DataFrame) -> DataFra
     return out.select("project_id", "global_entries", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
 
-def tm_page(tm: DataFrame, source_lang: str, target_lang: str, search: str = "", page: int = 1, size: int = 50) -> DataFrame:
-    """One page by hits, time and text, with the number of entries and pages."""
-    out = tm.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang))
-    if search:
+def tm_page(tm: DataFrame, source_lang: str, target_lang: str, search: str = "", page: int = 1, size: int = 50, index: str | None = None) -> DataFrame:
+    """One page by hits, time and text, with the number of entries and pages; a search may use an ``index`` of grams."""
+    out = indexed_search(tm.sparkSession, index, search) if search and index else tm
+    out = out.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang))
+    if search and not index:
         out = out.where(T.contains_folded(F.col("source_text"), search) | T.contains_folded(F.col("target_text"), search))
     return page_of(out, [F.desc("hit_count"), F.desc("updated_at"), F.desc("src_hash")], page, size)

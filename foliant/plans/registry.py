@@ -733,6 +733,30 @@ def segment_range_page(b):
     return S.page_of(b.segments(), [F.desc("ord"), F.col("id")], 11, 100, shallow=0).select("id", "project_id", "ord", "total", "pages")
 
 
+@query("segment", ", f AS (SELECT * FROM segment WHERE project_id = 3 AND (contains(lower(source_text), 'the ') OR coalesce(contains(lower(target_text), 'the '), false))) SELECT id, ord, (SELECT count(*) FROM f) AS total FROM f ORDER BY ord, id LIMIT 20")
+def segment_page_indexed(b):
+    """A page of what an index finds."""
+    path = shared(b.spark, "grams")
+    S.write_gram_index(b.segments(), path, ["source_text", "target_text"], block=1000)
+    return S.segment_page(b.segments(), 3, search="THE ", size=20, index=path).select("id", "ord", F.col("total").cast("long").alias("total"))
+
+
+@query("tm", """, f AS (SELECT * FROM tm WHERE source_lang = 'en' AND (contains(lower(source_text), 'ther') OR contains(lower(target_text), 'ther')))
+  SELECT src_hash, hit_count, (SELECT count(*) FROM f) AS total FROM f ORDER BY hit_count DESC, updated_at DESC, src_hash DESC LIMIT 50""")
+def tm_page_indexed(b):
+    """A page of the memory's entries that an index finds."""
+    path = shared(b.spark, "grams")
+    S.write_gram_index(b.memory(), path, ["source_text", "target_text"], key="src_hash", block=1000)
+    return M.tm_page(b.memory(), "en", "zh-CN", "Ther", index=path).select("src_hash", "hit_count", F.col("total").cast("long").alias("total"))
+
+
+@query("glossary", "SELECT id, source_term FROM glossary WHERE enabled AND (contains(lower(source_term), 'ion') OR contains(lower(target_term), 'ion'))")
+def glossary_search_indexed(b):
+    path = shared(b.spark, "grams")
+    S.write_gram_index(b.glossary(), path, ["source_term", "target_term"], block=200)
+    return G.glossary_search(b.glossary(), search="Ion", enabled_only=True, index=path).select("id", "source_term")
+
+
 @query("segment", "SELECT id, source_text FROM segment WHERE contains(lower(source_text), 'then') OR coalesce(contains(lower(target_text), 'then'), false)")
 def indexed_search(b):
     """All segments through an index of three-letter grams that is written here."""
