@@ -56,6 +56,7 @@ def cells(row: str) -> list[tuple[int, int]]:
     return [trim(a, b) for a, b in spans]
 
 
+DEEP = 50  # containers in each other; what lies deeper is a paragraph
 Line = tuple[int, str]  # number, and what is left of the line inside its containers
 
 
@@ -148,7 +149,7 @@ def scan(lines: list[Line], emit, within: tuple[str, ...] = ()) -> None:
         elif RULE.match(text):
             emit("rule", number, number + 1, "", within)
             k = end
-        elif QUOTE.match(text):
+        elif len(within) < DEEP and QUOTE.match(text):
             inner: list[Line] = []
             while k < n:
                 number, text = lines[k]
@@ -162,7 +163,7 @@ def scan(lines: list[Line], emit, within: tuple[str, ...] = ()) -> None:
             emit("open", inner[0][0], 0, "quote", within)
             scan(inner, emit, (*within, "quote"))
             emit("close", inner[-1][0], 0, "quote", within)
-        elif m := ITEM.match(text):
+        elif len(within) < DEEP and (m := ITEM.match(text)):
             gap = len(m[3] or " ")
             width = len(m[1]) + len(m[2]) + (gap if gap <= 4 and m[4] else 1)
             inner = [(number, plain(text[width:]))]

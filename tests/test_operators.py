@@ -101,6 +101,68 @@ def test_markdown_blocks():
     assert not B.markdown_rows("`only code`")[0][4]
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("- a\n  - b\n    - c\n\n      second\n", [("list_item", "a"), ("list_item", "b"), ("list_item", "c"), ("list_item", "second")]),
+        ("[ref]: http://x\n[b]: <y> 'T'\ntext [ref]\n", [("para", "text [ref]")]),
+        ("[only]: http://x\n", []),
+        ("> # head\n> body\nlazy\n", [("heading", "head"), ("blockquote", "body\nlazy")]),
+        ("> - q1\n>   more\n> - q2\n", [("list_item", "q1\nmore"), ("list_item", "q2")]),
+        ("- item\n\n  ```py\n  code\n    x\n  ```\n- next\n", [("list_item", "item"), ("code", "code\n  x\n"), ("list_item", "next")]),
+        ("<!-- a\n\nb -->\nafter\n", [("raw", "<!-- a\n\nb -->\n"), ("para", "after")]),
+        ("1. one\n\n   two\n\ntext\n2. no list\n", [("list_item", "one"), ("list_item", "two"), ("para", "text\n2. no list")]),
+        ("a\n---\n\n---\n- - -\nb\n===\n", [("heading", "a"), ("heading", "b")]),
+        ("> ```\n> code\nout\n", [("code", "code\n"), ("para", "out")]),
+        ("| a | b |\n|---|---|\n| x |\n\n- | c |\n  |---|\n", [("table_cell", "a"), ("table_cell", "b"), ("table_cell", "x"), ("table_cell", ""), ("table_cell", "c")]),
+        ("<div>\n*x*\n\n*y*\n<b>z</b> w\n", [("raw", "<div>\n*x*\n"), ("para", "*y*\n<b>z</b> w")]),
+        ("\tcode\n\n-\n\n  not inside\n", [("code", "code\n"), ("para", "not inside")]),
+    ],
+)
+def test_nested_markdown(source, want):
+    rows = B.markdown_rows(source)
+    assert [(r[1], r[3]) for r in rows] == want
+    for r in rows:
+        if r[9] >= 0 and r[4]:
+            assert source[r[7] + r[9] : r[7] + r[9] + len(r[3])] == r[3]
+
+
+def test_deep_and_long_markdown():
+    assert B.markdown_rows(">" * 3000 + " x")[-1][3].endswith("x")
+    assert len(B.markdown_rows("- " * 3000 + "x")) == 1
+    assert len(B.markdown_rows("> a\n" + "lazy\n" * 3000)) == 1
+    assert Q.signature_of("> - a\n> - b") == ["open:quote", "open:item-", "p", "close:item-", "open:item-", "p", "close:item-", "close:quote"]
+
+
+def test_epub_chapters(spark):
+    rows = [(1, 0, "a", 0, "para", "x"), (1, 2, "c", 0, "heading", " "), (1, 2, "c", 1, "heading", "Two"), (1, 2, "c", 2, "heading", "No"), (2, 5, "z", 0, "heading", "Z")]
+    blocks = SG.assign_epub_chapters(spark.createDataFrame(rows, "project_id long, spine_ord int, file string, token_index int, kind string, text string"))
+    table = SG.chapter_table(spark.createDataFrame([(1,), (2,), (3,)], "project_id long"), blocks)
+    assert sorted(map(tuple, table.collect())) == [(1, 0, None, "a"), (1, 1, "Two", "c"), (2, 0, "Z", "z"), (3, 0, None, None)]
+
+
+def test_structure_issues_are_counted(spark):
+    files = spark.createDataFrame([(1, "# a\n\nb", "# x\n\ny"), (2, "# a\n\nb", "a\n\nb")], "project_id long, source string, target string")
+    projects, pages = spark.range(1, 5), spark.createDataFrame([(1, "<p>"), (2, "<p/>"), (3, "<p/>")], "project_id long, xhtml string")
+    issues = Q.structure_issues(Q.markdown_structure(files), Q.xhtml_structure(projects, pages), spark.createDataFrame([(9,)], "project_id long"))
+    got = {(r["project_id"], r["detail"]): r["details"] for r in issues.collect()}
+    assert set(got) == {(2, "tokens differ"), (1, "not well-formed"), (4, "no documents"), (9, "source not found")}
+    assert got[2, "tokens differ"] == {"source_token_count": "2", "rendered_token_count": "2", "first_mismatch": "0", "source_token": "h1", "rendered_token": "p"}
+    assert {r["project_id"]: r["error"] for r in Q.qa_report(issues).collect()} == {1: 1, 2: 1, 4: 1, 9: 1}
+
+
+def test_stable_paths(spark):
+    df = spark.createDataFrame([({"source_type": "pdf", "page": 3, "raw_block": "x", "char_end": 5, "area": {"y": 1, "x": None}},)], "p struct<source_type:string,page:int,raw_block:string,char_end:int,area:struct<y:int,x:int>>")
+    assert df.select(T.stable_path(F.col("p"), df.schema["p"].dataType).alias("j")).first()["j"] == '{"area":{"x":null,"y":1},"page":3,"source_type":"pdf"}'
+
+
+def test_container_lines():
+    assert R.container_text("- a\n- b\n", "x\ny\nz", "list_item") == "- x\n- y\n  z\n"
+    assert R.container_text("> a\r\nb", "x\ny", "blockquote") == "> x\r\n> y"
+    assert R.container_text("> 1. a", "x\ny", "list_item") == "> 1. x\n>    y"
+    assert R.container_text("", "x\ny", "list_item") == "x\ny"
+
+
 def test_assign_chapters(spark):
     df = spark.createDataFrame([(1, SAMPLE), (2, "no heading\n"), (3, "intro\n\n# \n\ntext")], "project_id long, text string")
     rows = SG.assign_chapters(B.markdown_blocks(df, ["project_id"])).select("project_id", "chapter_ord", "chapter_title").distinct().collect()
