@@ -13,7 +13,7 @@ from ..functions.helpers import restore_markers
 PROVIDER_ERROR = "Translation provider request failed"
 CLEARED = ("target_text", "error_msg", "token_in", "token_out", "provider")
 #: What a row counts by; changes carry it as it was, in ``old``.
-COUNTED = ("chapter_id", "status", "token_in", "token_out")
+COUNTED = ("chapter_id", "status", "token_in", "token_out", "src_hash", "provider")
 
 
 def ledger_merge(stored: DataFrame, drafts: DataFrame, now: str) -> DataFrame:

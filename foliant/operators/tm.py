@@ -150,17 +150,57 @@ def tm_store(tm: DataFrame, new: DataFrame) -> DataFrame:
     return out.select(*KEYS, "m.source_text", "m.target_text", "hit_count", "m.updated_at")
 
 
+OPEN = ("pending", "error")
+TEXT_COUNTS = ("n", "open", "bare")
+
+
+def text_counts(segments: DataFrame) -> DataFrame:
+    """(project_id, KEYS, n, open, bare) of segments with languages: a project's equal texts, how many of them are open, and
+    how many are completed without a provider. To be kept and changed."""
+    return segments.groupBy("project_id", *KEYS).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status").isin(*OPEN)).alias("open"),
+        F.count_if(T.completed(F.col("status")) & F.col("provider").isNull()).alias("bare"),
+    )
+
+
+def text_changes(changed: DataFrame, projects: DataFrame) -> DataFrame:
+    """What changed rows (see ``progress.count_changes``) add to and take from ``text_counts``."""
+    stays = F.col("action") != "delete" if "action" in changed.columns else F.lit(True)
+
+    def counted(sign: int, value):
+        one = F.lit(sign).cast("long")
+        none = F.lit(0).cast("long")
+        bare = T.completed(value("status")) & value("provider").isNull()
+        return F.struct(value("src_hash").alias("src_hash"), one.alias("n"), F.when(value("status").isin(*OPEN), one).otherwise(none).alias("open"), F.when(bare, one).otherwise(none).alias("bare"))
+
+    both = F.array(F.when(F.col("old").isNotNull(), counted(-1, lambda c: F.col(f"old.{c}"))), F.when(stays, counted(1, F.col)))
+    rows = changed.select("project_id", F.explode(F.array_compact(both)).alias("d")).select("project_id", "d.*")
+    # summed before they meet their projects' languages: rows that count as before are gone by then
+    own = rows.groupBy("project_id", "src_hash").agg(*[F.sum(c).alias(c) for c in TEXT_COUNTS]).where(_some)
+    return with_languages(own, projects).select("project_id", *KEYS, *TEXT_COUNTS)
+
+
+_some = " OR ".join(f"{c} <> 0" for c in TEXT_COUNTS)
+
+
+def apply_text_changes(counts: DataFrame, *changes: DataFrame) -> DataFrame:
+    every = counts.select("project_id", *KEYS, *TEXT_COUNTS)
+    for c in changes:
+        every = every.unionByName(c)
+    return every.groupBy("project_id", *KEYS).agg(*[F.sum(c).alias(c) for c in TEXT_COUNTS]).where(_some)
+
+
 def tm_stats(projects: DataFrame, segments: DataFrame, tm: DataFrame) -> DataFrame:
     """Per project: entries in all and of its languages, their hits, its segments, those that the memory knows, open
     ones that it knows, completed ones without a provider."""
+    return tm_stats_of_counts(projects, text_counts(segments), tm)
+
+
+def tm_stats_of_counts(projects: DataFrame, counts: DataFrame, tm: DataFrame) -> DataFrame:
+    """``tm_stats`` from ``text_counts``: a project's equal texts are one row before they meet the memory."""
     pairs = tm.groupBy("source_lang", "target_lang").agg(F.count("*").alias("pair_entries"), F.sum("hit_count").alias("pair_hits"))
-    # a project's equal texts are one row before they meet the memory
-    texts = segments.groupBy("project_id", *KEYS).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("status").isin("pending", "error")).alias("open"),
-        F.count_if(T.completed(F.col("status")) & F.col("provider").isNull()).alias("bare"),
-    )
-    known = texts.join(tm.select(*KEYS, F.lit(True).alias("_known")), KEYS, "left")
+    known = counts.join(tm.select(*KEYS, F.lit(True).alias("_known")), KEYS, "left")
     own = known.groupBy("project_id").agg(
         F.sum("n").alias("segments"),
         F.sum(F.when(F.col("_known"), F.col("n"))).alias("matches"),
@@ -170,8 +210,8 @@ def tm_stats(projects: DataFrame, segments: DataFrame, tm: DataFrame) -> DataFra
     total = tm.agg(F.count("*").alias("global_entries"))
     base = projects.select(F.col("id").alias("project_id"), "source_lang", "target_lang")
     out = base.join(pairs, ["source_lang", "target_lang"], "left").join(own, "project_id", "left").crossJoin(F.broadcast(total))  # one row
-    counts = ["pair_entries", "pair_hits", "segments", "matches", "reusable", "without_provider"]
-    return out.select("project_id", "global_entries", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+    names = ["pair_entries", "pair_hits", "segments", "matches", "reusable", "without_provider"]
+    return out.select("project_id", "global_entries", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
 
 
 def tm_page(tm: DataFrame, source_lang: str, target_lang: str, search: str = "", page: int = 1, size: int = 50, index: str | None = None) -> DataFrame:

@@ -390,6 +390,18 @@ def tm_stats(b):
     return M.tm_stats(b.projects(), b.languages(), b.memory())
 
 
+@query("lang tm", f""", {DRAFTS}, m AS (SELECT d.project_id, p.source_lang, p.target_lang, d.src_hash, CASE WHEN s.src_hash = d.src_hash THEN s.status ELSE 'pending' END AS status, CASE WHEN s.src_hash = d.src_hash THEN s.provider END AS provider
+    FROM draft d JOIN project p ON p.id = d.project_id LEFT JOIN segment s ON s.project_id = d.project_id AND s.stable_key = d.stable_key)
+  SELECT p.id AS project_id, (SELECT count(*) FROM tm) AS global_entries, coalesce(t.n, 0) AS pair_entries, CAST(coalesce(t.h, 0) AS BIGINT) AS pair_hits, coalesce(s.n, 0) AS segments, coalesce(s.m, 0) AS matches, coalesce(s.r, 0) AS reusable, coalesce(s.w, 0) AS without_provider
+  FROM project p LEFT JOIN (SELECT source_lang, target_lang, count(*) AS n, sum(hit_count) AS h FROM tm GROUP BY ALL) t USING (source_lang, target_lang)
+  LEFT JOIN (SELECT l.project_id, count(*) AS n, count(t.src_hash) AS m, count(t.src_hash) FILTER (status IN ('pending', 'error')) AS r, count(*) FILTER ({DONE} AND provider IS NULL) AS w FROM m l LEFT JOIN tm t USING (src_hash, source_lang, target_lang) GROUP BY 1) s ON s.project_id = p.id""")
+def kept_tm_stats(b):
+    """The memory's statistics after a second import, from counts kept from before it."""
+    counts = M.text_counts(b.languages())
+    now = M.apply_text_changes(counts, M.text_changes(L.ledger_merge(b.segments(), _drafts(b), NOW), b.projects()))
+    return M.tm_stats_of_counts(b.projects(), now, b.memory())
+
+
 @query("tm", """, f AS (SELECT * FROM tm WHERE source_lang = 'en' AND (contains(lower(source_text), 'the') OR contains(lower(target_text), 'the')))
   SELECT src_hash, hit_count, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 50.0) AS BIGINT) AS pages FROM f ORDER BY hit_count DESC, updated_at DESC, src_hash DESC LIMIT 50 OFFSET 50""")
 def tm_page(b):

@@ -311,6 +311,8 @@ def test_kept_counts_equal_a_recount(spark, tmp_path):
     draw = random.Random(9)
     rows = ledger_rows(spark, 60, 4).withColumn("chapter_id", F.col("id") % 5)
     counts, projects = P.status_counts(rows), spark.range(5)
+    languages = projects.select("id", F.lit("en").alias("source_lang"), F.lit("de").alias("target_lang"))
+    texts = M.text_counts(M.with_languages(rows, languages))
     for step in range(5):
         kind = draw.randrange(3)
         if kind == 0:
@@ -330,7 +332,9 @@ def test_kept_counts_equal_a_recount(spark, tmp_path):
         path = str(tmp_path / f"s{step}")
         after.select(columns).write.parquet(path)
         counts.write.parquet(path + "-counts")
-        rows, counts = spark.read.parquet(path), spark.read.parquet(path + "-counts")
+        M.apply_text_changes(texts, M.text_changes(changed, languages)).write.parquet(path + "-texts")
+        rows, counts, texts = spark.read.parquet(path), spark.read.parquet(path + "-counts"), spark.read.parquet(path + "-texts")
+        assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, M.text_counts(M.with_languages(rows, languages)).select(texts.columns).collect()))
         assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, P.status_counts(rows).select(counts.columns).collect()))
     assert sorted(map(tuple, P.progress_of_counts(projects, counts).collect())) == sorted(map(tuple, P.project_progress(projects, rows).select(P.progress_of_counts(projects, counts).columns).collect()))
 
