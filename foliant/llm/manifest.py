@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import partitions, written
+from .store import attach, partitions, written
 
 FANOUT = 16
 WIDTH = 64  # characters of a digest
@@ -131,15 +131,15 @@ def manifest(docs: DataFrame, every: int = 5) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row, and ``steps``, its proof: the
     siblings before and after it, level by level."""
     none = F.array().cast(f"array<{STEP}>")
-    rows = leaves(docs, every).withColumn("first", F.col("source").isNotNull())
-    placed = ranked(rows, "first", "source", "doc_id", "leaf", "tie")
-    groups = placed.groupBy("source").agg(F.min("rank").alias("key"), F.count("*").alias("size"))
+    rows = leaves(docs, every).withColumns({"named": F.col("source").isNotNull(), "source": F.coalesce("source", F.lit(""))})
+    placed = ranked(rows, "named", "source", "doc_id", "leaf", "tie")
+    groups = placed.groupBy("named", "source").agg(F.min("rank").alias("key"), F.count("*").alias("size"), F.count("*").alias("n"))
     groups = written(groups, "sources")  # a row a source
     most, n = groups.agg(F.max("size"), F.count("*")).first()
     if not n:
         return placed.select("doc_id", "leaf", F.lit("").alias("subroot"), F.lit("").alias("root"), F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"), F.lit(True).alias("verified"), none.alias("steps"))
-    keyed = placed.alias("r").join(groups.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-    item = F.struct(F.col("r.doc_id").alias("doc_id"), F.col("r.tampered").alias("tampered"))
+    keyed = attach(placed, groups, "named", "source")  # a source with most rows is met by broadcast
+    item = F.struct("doc_id", "tampered")
     items = keyed.select("key", (F.col("rank") - F.col("key")).alias("pos"), "size", F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), F.col("leaf").alias("digest"), item.alias("item"))
     below = build(items, most)
     # sources in their order make the tree above, each covering the ranks of its leaves

@@ -216,25 +216,25 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) of every document: its hit words as
     spans (start, length), and the items that occur in it."""
     spark = docs.sparkSession
-    own = written(item_windows(items, item_id, item_text), "windows")
+    own = written(item_windows(items, item_id, item_text).distinct(), "windows")
     lengths = sorted(r["length"] for r in own.select("length").distinct().collect())  # WINDOW at the most
     sent = spark.sparkContext.broadcast(bitmap(own.select("fp").distinct()))
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = written(candidates(frame, lengths, sent).select(F.monotonically_increasing_id().alias("row"), "*"), "marked")
-    # items that share windows are named together: a set of items is met once, however many windows it shares
-    windows = own.groupBy("length", "fp", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    windows = written(windows.withColumn("group", F.sha2(F.to_json("items").cast("binary"), 256)), "held")
+    # windows with the same items are one group, known by sums over the items: a document meets a group's items once,
+    # however many of its windows it holds, and no window's items are gathered
+    keys = ("length", "fp", "window")
+    sums = [F.sum(F.xxhash64(F.lit(k), "item").cast("decimal(38,0)")) for k in range(2)]
+    grouped = own.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*"), *sums).cast("binary"), 256).alias("group"))
+    grouped = written(grouped, "held")
+    members = attach(own, grouped, *keys).select("group", "item").distinct()
     found = table.select("row", F.explode(F.arrays_zip("starts", "lengths", "fps", "windows")).alias("w"))
     found = found.select("row", F.col("w.starts").alias("start"), F.col("w.lengths").alias("length"), F.col("w.fps").alias("fp"), F.col("w.windows").alias("window"))
-    keys = ("length", "fp", "window")
     counts = found.groupBy(*keys).agg(F.count("*").alias("n"))
-    met = written(attach(found, windows.select(*keys, "group").join(counts, list(keys)), *keys).select("row", "start", "length", "group"), "hits")
+    met = written(attach(found, grouped.drop("n").join(counts, list(keys)), *keys).select("row", "start", "length", "group"), "hits")
     marked = met.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
-    groups = windows.groupBy("group").agg(F.first("items").alias("items"))
-    named = met.select("row", "group").distinct()
-    sizes = named.groupBy("group").agg(F.count("*").alias("n"))
-    pairs = attach(named, groups.join(sizes, "group"), "group")
-    per = pairs.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    pairs = met.select("row", "group").distinct().join(members, "group")
+    per = pairs.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = table.select("row", "doc_id", "n_words").join(marked, "row", "left").join(per, "row", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     spans_ = F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))
