@@ -206,8 +206,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Paths]:
         store, root = opened(self.path)
+        where = self.path.rstrip("/").removesuffix(root.rstrip("/"))  # names the store, where it isn't the local one
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(self.suffix))
+        files = sorted((where + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(self.suffix))
         return [Paths(files[k : k + PER_PARTITION]) for k in range(0, len(files), PER_PARTITION)] or [Paths([])]
 
     def read(self, partition: Paths) -> Iterator[pa.RecordBatch]:

@@ -297,6 +297,7 @@ def test_archives_are_read_from_their_end(spark, tmp_path):
     members = K.list_archives(spark, str(tmp_path))
     verdicts = {os.path.basename(r["path"]): (r["members"], r["verdict"]) for r in D.screen_archives(members).collect()}
     assert verdicts == {"large.epub": (4, "ok"), "small.EPUB": (4, "ok"), "bad.epub": (0, "not an archive"), "cut.epub": (0, "not an archive"), "none.epub": (0, "not an archive")}
+    assert sorted(r["path"] for r in K.list_archives(spark, f"file://{tmp_path}").select("path").distinct().collect()) == sorted(f"file://{tmp_path}/{n}" for n in verdicts)
     read = {os.path.basename(r["path"]): (r["bytes_read"], r["file_size"]) for r in members.collect()}
     assert read["large.epub"][1] > 2_300_000_000 and read["large.epub"][0] < 1000 and read["small.EPUB"][0] < 1000
     docs = K.read_epubs(spark, str(tmp_path)).collect()
