@@ -161,6 +161,7 @@ def test_container_lines():
     assert R.container_text("> a\r\nb", "x\ny", "blockquote") == "> x\r\n> y"
     assert R.container_text("> 1. a", "x\ny", "list_item") == "> 1. x\n>    y"
     assert R.container_text("", "x\ny", "list_item") == "x\ny"
+    assert R.container_text("> *em* x\n> y", "1\n2", "blockquote") == "> 1\n> 2"
 
 
 def test_assign_chapters(spark):
