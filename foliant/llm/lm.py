@@ -1,15 +1,21 @@
-"""Operator 8: scores of a word-pair language model kept in Elias-Fano tries.
+"""Operator 8: scores of a language model of word triples kept in Elias-Fano tries.
 
 The corpus is encoded once, in chunks of documents: a chunk's dictionary of word hashes and its texts as numbers
 in it. A chunk then asks for what it needs and nothing is ever gathered whole: the holders of a range of word
 hashes add up every chunk's training counts and answer with the sums; the holders of a range of contexts merge
 every chunk's training pairs into a trie of quantised smoothed probabilities, memory-map it and answer the pairs
-that chunks ask for by search among the context's successors. A pair is asked for once a chunk, however often it
-occurs. Contexts so frequent that they would fill a holder are dealt out by their successors.
+that chunks ask for by search among the context's successors; then other holders do the same with triples, whose
+contexts are pairs. A gram is asked for once a chunk, however often it occurs. Contexts so frequent that they would
+fill a holder are dealt out by their successors.
 
-The probability of a word after another is Dirichlet-smoothed, (c(vw) + mu p(w)) / (c(v) + mu), p(w) being
-(c(w) + 0.1) / (N + 0.1 (V + 1)); both sum to 1 with the unknown word. Training counts of a pair's first word are
-those of the word, since every word is followed by one token. Quantisation keeps log10 p to 1/50.
+Answers say whether another chunk has asked for the same word or pair. Where only one chunk has a gram's context, or
+its ending (the gram without its first word), no other has the gram: that chunk keeps it in a trie of its own and
+asks nobody. This leaves out no gram and changes no count; it is what keeps the exchange of triples small.
+
+The probability of a word after two others is Dirichlet-smoothed, (c(uvw) + mu p(w|v)) / (c(uv) + mu), p(w|v) being
+(c(vw) + mu p(w)) / (c(v) + mu) and p(w) being (c(w) + 0.1) / (N + 0.1 (V + 1)); each sums to 1 with the unknown
+word. A text's first word is scored after its start alone. Training counts of a context are those of the same words,
+since every word is followed by one token. Quantisation keeps log10 p to 1/50 at each level.
 
 Defined results: null and empty texts are the end token alone. A null doc_id is not held out. Repeated rows each
 count and each get their row. Other columns are ignored. Without training rows N = V = 0.
@@ -19,7 +25,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +36,13 @@ from pyspark.sql import functions as F
 
 from .eliasfano import Trie
 from .ragged import blocks, row_sums, texts_of
-from .store import partitions, written
+from .store import partitions, small_batches, written
 
 SPACE = re.compile(rb"[ \t-\r]+")
 CHUNK = 10_000_000  # characters of a chunk at the most, or one text
 #: Dictionary words, and tokens, of all chunks for each holder: what a holder gathers in one task stays the same however
 #: large the corpus is.
-WORDS, PAIRS = 2_000_000, 3_000_000
+WORDS, GRAMS = 2_000_000, 3_000_000
 END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # no words
 MU, ADD, STEP, MISSING = 2.0, 0.1, 25.0, 255
 U = np.uint64
@@ -72,14 +79,38 @@ def _rows(names: tuple[str, ...], rows: list[tuple]) -> dict[str, pa.Array]:
     return {n: pa.array(list(c), _KINDS.get(n, pa.binary())) for n, c in zip(names, columns, strict=True)}
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: each carries a chunk."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """A chunk's words from the most frequent in training on: the order that tokens are numbered in, so that most are small."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def flagged(totals: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Counts, doubled, and one more where several chunks have the word or pair."""
+    return totals.astype(U) * U(2) + (chunks > 1).astype(U)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ordered pair of word hashes."""
+    x = a * U(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(29))
+
+
 def held(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
 def encoded(docs: DataFrame) -> DataFrame:
     """(chunk, docs, sizes, words, counts, numbers, n_words, n_tokens) of (doc_id, text): sizes are tokens a document,
-    words the sorted hashes of its dictionary, counts their training counts, numbers the tokens by their place among
-    words."""
+    words the sorted hashes of its dictionary, counts their training counts, numbers the tokens by their word's place in
+    ``by_count``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -94,6 +125,9 @@ def encoded(docs: DataFrame) -> DataFrame:
             flat = place.astype(np.uint32)[np.concatenate(numbers)] if numbers else np.zeros(0, np.uint32)
             train = np.repeat([not held(k) for k in ids], sizes)
             counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
+            rank = np.empty(len(words), np.uint32)
+            rank[by_count(counts)] = np.arange(len(words), dtype=np.uint32)
+            flat = rank[flat]
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(pa.int64())), pa.array([squeeze(np.array(sizes, np.uint32))]), pa.array([squeeze(words)]), pa.array([squeeze(counts)]), pa.array([squeeze(flat)]), pa.array([len(words)], pa.int64()), pa.array([len(flat)], pa.int64())],
                 ["docs", "sizes", "words", "counts", "numbers", "n_words", "n_tokens"],
@@ -129,24 +163,23 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def holders_of(chunks: DataFrame) -> tuple[int, int]:
-    """How many holders of words and of pairs there are: one a partition at the least, and as many as keep each one's
-    share within WORDS and PAIRS."""
+    """How many holders of words and of grams there are: one a partition at the least, and as many as keep each one's
+    share within WORDS and GRAMS."""
     words, tokens = (int(x or 0) for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     least = partitions(chunks.sparkSession)
-    return max(least, -(-words // WORDS)), max(least, -(-tokens // PAIRS))
+    return max(least, -(-words // WORDS)), max(least, -(-tokens // GRAMS))
 
 
 def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
     """(chunk, holder, counts, tokens, types): for each chunk and range of hashes, one of ``parts``, the corpus counts of
-    its words; tokens and types of the range's training words stand in one row a holder."""
+    its words, ``flagged``; tokens and types of the range's training words stand in one row a holder."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, counts = widen(row["words"], U), widen(row["counts"], np.uint32)
-                cuts = _cuts(words, parts)
-                rows = [(k, row["chunk"], squeeze(words[a:b]), squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                yield pa.RecordBatch.from_pydict(_rows(("holder", "chunk", "words", "counts"), rows))
+        for row in _each(batches):
+            words, counts = widen(row["words"], U), widen(row["counts"], np.uint32)
+            cuts = _cuts(words, parts)
+            rows = [(k, row["chunk"], squeeze(words[a:b]), squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_pydict(_rows(("holder", "chunk", "words", "counts"), rows))
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -155,101 +188,188 @@ def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
         total = np.bincount(where, np.concatenate([widen(r["counts"], np.uint32) for r in rows]), len(known)).astype(np.uint64)
         ends = np.cumsum([len(w) for w in words])
         sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * (len(rows) - 1)
-        out = [(r["chunk"], r["holder"], squeeze(total[where[e - len(w) : e]]), *s) for r, w, e, s in zip(rows, words, ends, sums, strict=True)]
+        marked = flagged(total, np.bincount(where, minlength=len(known)))
+        out = [(r["chunk"], r["holder"], squeeze(marked[where[e - len(w) : e]]), *s) for r, w, e, s in zip(rows, words, ends, sums, strict=True)]
         return pa.table(_rows(("chunk", "holder", "counts", "tokens", "types"), out))
 
     asked = chunks.select("chunk", "words", "counts").mapInArrow(ask, "holder int, chunk long, words binary, counts binary")
     return asked.groupBy("holder").applyInArrow(answer, "chunk long, holder int, counts binary, tokens long, types long")
 
 
-def _answers(table: DataFrame, name: str) -> DataFrame:
-    rows = table.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("holder", name))).alias("a"))  # one row a holder
-    return rows.select("chunk", F.col(f"a.{name}").alias(f"all_{name}"))
+def _answers(table: DataFrame, *names: str, level: str = "") -> DataFrame:
+    """A chunk's answers in the order of holders, each of ``names`` as a list all_<name><level>."""
+    rows = table.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("holder", *names))).alias("a"))  # one row a holder
+    return rows.select("chunk", *[F.col(f"a.{n}").alias(f"all_{n}{level}") for n in names])
+
+
+class Grams:
+    """A chunk's distinct grams of one order: ``first`` is a gram's context and ``last`` its ending, by number.
+
+    ``hashes``, ``totals`` and ``alone`` are the contexts' hashes, training counts in the corpus, and whether no other
+    chunk has them; ``ids``, ``end_alone`` and ``lower`` the endings' last words, whether no other chunk has the ending,
+    and log10 p of the last word by the order below. ``counts`` are the grams' training counts in the chunk, ``where`` each token's gram.
+    """
+
+    def __init__(self, contexts: tuple, endings: tuple, first: np.ndarray, last: np.ndarray, counts: np.ndarray, where: np.ndarray):
+        self.hashes, self.totals, self.alone = contexts
+        self.ids, self.end_alone, self.lower = endings
+        self.first, self.last, self.counts, self.where = first, last, counts, where
+
+    @cached_property
+    def at_home(self) -> np.ndarray:
+        """Grams whose context or ending no other chunk has: their counts here are the corpus'."""
+        return self.alone[self.first] | self.end_alone[self.last]
+
+    def away(self, tokens: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The other grams by holder, context and word, and where each holder's begin and end. A context's hash gives
+        the holder; frequent contexts are spread by the last word."""
+        at = np.flatnonzero(~self.at_home)
+        first, ids = self.first[at], self.ids[self.last[at]]
+        share = np.ceil(self.totals * 4 * parts / max(tokens, 1)).astype(np.int64)
+        spread = np.minimum(np.maximum(share, 1), parts)[first]
+        home = (self.hashes[first] >> U(32)).astype(np.int64) * parts >> 32
+        holder = (home + (ids >> np.uint32(8)).astype(np.int64) % spread) % parts
+        order = np.lexsort((ids, self.hashes[first], holder))
+        return at[order], np.searchsorted(holder[order], np.arange(parts + 1))
+
+    def messages(self, chunk: int, tokens: int, parts: int) -> list[tuple]:
+        order, cuts = self.away(tokens, parts)
+        rows = []
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if b > a:
+                f, last = self.first[order[a:b]], self.last[order[a:b]]
+                new = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+                runs = np.diff(np.append(new, len(f))).astype(np.uint32)
+                rows.append((k, chunk, squeeze(self.hashes[f[new]]), squeeze(self.totals[f[new]].astype(U)), squeeze(runs), squeeze(self.ids[last]), squeeze(self.counts[order[a:b]].astype(np.uint32)), squeeze(code_of(self.lower[last]))))
+        return rows
+
+    def solved(self, tokens: int, parts: int, codes: list[bytes] | None, counts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 p and, if they were answered, corpus counts of the grams, and whether no other chunk has them."""
+        got, total, alone = np.full(len(self.first), MISSING, np.uint8), self.counts.astype(np.int64), np.ones(len(self.first), bool)
+        home = np.flatnonzero(self.at_home)
+        contexts, ids = self.hashes[self.first[home]], self.ids[self.last[home]]
+        order = np.lexsort((ids, contexts))
+        order = order[self.counts[home[order]] > 0]
+        known = home[order]
+        p = smoothed(self.counts[known], self.lower[self.last[known]], self.totals[self.first[known]])
+        got[home] = trie_of(contexts[order], ids[order], p).codes_of(contexts, ids, MISSING)
+        away, _ = self.away(tokens, parts)
+        got[away] = np.concatenate([np.zeros(0, np.uint8), *[widen(x, np.uint8) for x in codes or []]])
+        if counts:
+            marked = np.concatenate([widen(x, U) for x in counts])
+            total[away], alone[away] = (marked >> U(1)).astype(np.int64), (marked & U(1)) == 0
+        unseen = self.lower[self.last] + np.log10(MU / (self.totals[self.first] + MU))
+        return np.where(got == MISSING, unseen, got / -STEP), total, alone
+
+
+def smoothed(counts: np.ndarray, lower: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Probabilities of grams seen ``counts`` times after contexts seen ``totals`` times; ``lower`` are quantised before use,
+    as in messages."""
+    return (counts + MU * 10 ** (code_of(lower) / -STEP)) / (totals.astype(np.float64) + MU)
+
+
+def trie_of(contexts: np.ndarray, ids: np.ndarray, p: np.ndarray) -> Trie:
+    """The mapped trie of grams in order; equal neighbours, which only equal hashes of different words can give, are one."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])
+    return Trie.of(contexts[new], ids[new], code_of(np.log10(p[new]))).mapped()
 
 
 class Chunk:
     """A chunk with the corpus counts of its words."""
 
     def __init__(self, row: dict, tokens: int, types: int, parts: int):
-        self.tokens, self.types = tokens, types
+        self.row, self.tokens, self.types, self.parts = row, tokens, types, parts
         self.sizes = widen(row["sizes"], np.uint32).astype(np.int64)
-        self.numbers = widen(row["numbers"], np.uint32).astype(np.int64)
-        self.counts = np.concatenate([np.zeros(0, U), *[widen(c, U) for c in row["all_counts"]]]).astype(np.float64)
+        self.words = widen(row["words"], U)
+        self.numbers = by_count(widen(row["counts"], np.uint32))[widen(row["numbers"], np.uint32)]
+        marked = np.concatenate([widen(c, U) for c in row["all_counts"]])
+        self.counts, self.alone = (marked >> U(1)).astype(np.float64), (marked & U(1)) == 0
         self.logs = np.log10((self.counts + ADD) / (tokens + ADD * (types + 1)))
         self.docs = row["docs"]
         self.held = np.array([held(k) for k in self.docs], bool)
-        self.parts = parts
-        self.width = len(self.counts)
+        self.train = np.repeat(~self.held, self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs (first, second) in order, first being ``width`` for a text's start; their training
-        counts; and each token's pair."""
+    @cached_property
+    def pairs(self) -> Grams:
+        """A text's start is a context as frequent as the end."""
+        width, end = len(self.words), int(np.searchsorted(self.words, U(END)))
         before = np.empty_like(self.numbers)
         before[1:] = self.numbers[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = self.width
-        keys, where = np.unique(before * self.width + self.numbers, return_inverse=True)
-        counts = np.bincount(where, np.repeat(~self.held, self.sizes), len(keys)).astype(np.uint32)
-        return keys // self.width, keys % self.width, counts, where
-
-    def first_counts(self, end: int) -> np.ndarray:
-        """Training counts of words as first of a pair; a start is as frequent as an end."""
-        return np.append(self.counts, self.counts[end])
-
-    def holders(self, words: np.ndarray, first: np.ndarray, second: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Which holder has each pair: by the first word's hash, and for frequent ones by the second's as well."""
-        hashes = np.append(words, U(START))
-        share = np.ceil(firsts * 4 * self.parts / max(self.tokens, 1)).astype(np.int64)
-        spread = np.minimum(np.maximum(share, 1), self.parts)[first]
-        home = (hashes[first] >> U(32)).astype(np.int64) * self.parts >> 32
-        return (home + (words[second] >> U(40)).astype(np.int64) % spread) % self.parts
-
-
-def pair_codes(joined: DataFrame, tokens: int, types: int, parts: int) -> DataFrame:
-    """(chunk, holder, codes): the quantised log10 p of a chunk's distinct pairs in order, MISSING for a pair that
-    training texts lack. ``joined`` has chunks with all_counts; ``parts`` holders answer."""
+        before[self.starts] = width
+        keys, where = np.unique(before * width + self.numbers, return_inverse=True)
+        counts = np.bincount(where, self.train, len(keys))
+        contexts = (np.append(self.words, U(START)), np.append(self.counts, self.counts[end]), np.append(self.alone, self.alone[end]))
+        endings = ((self.words >> U(32)).astype(np.uint32), self.alone, self.logs)
+        return Grams(contexts, endings, keys // width, keys % width, counts, where)
+
+    @cached_property
+    def pair_logs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.pairs.solved(self.tokens, self.parts, self.row["all_codes2"], self.row["all_totals2"])
+
+    @cached_property
+    def later(self) -> np.ndarray:
+        """Tokens that aren't a text's first."""
+        out = np.ones(len(self.numbers), bool)
+        out[self.starts] = False
+        return out
+
+    @cached_property
+    def triples(self) -> Grams:
+        two, (logs, totals, alone) = self.pairs, self.pair_logs
+        at, n = np.flatnonzero(self.later), len(two.first)
+        keys, where = np.unique(two.where[at - 1] * n + two.where[at], return_inverse=True)
+        counts = np.bincount(where, self.train[at], len(keys))
+        contexts = (paired(two.hashes[two.first], self.words[two.last]), totals, alone)
+        return Grams(contexts, (two.ids[two.last], alone, logs), keys // n, keys % n, counts, where)
+
+    def token_logs(self) -> np.ndarray:
+        """log10 p of each token, by the model."""
+        logs = self.pair_logs[0][self.pairs.where]
+        logs[self.later] = self.triples.solved(self.tokens, self.parts, self.row["all_codes3"])[0][self.triples.where]
+        return logs
+
+
+def gram_codes(joined: DataFrame, tokens: int, types: int, parts: int, grams: Callable[[Chunk], Grams]) -> DataFrame:
+    """(chunk, holder, codes, totals): the quantised log10 p and the corpus counts, ``flagged``, of those of a chunk's ``grams`` that it asks
+    for, in order; MISSING for a gram that training texts lack. ``joined`` has chunks with the answers so far; ``parts``
+    holders answer."""
+    names = ("holder", "chunk", "contexts", "totals", "runs", "words", "counts", "lower")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c, words = Chunk(row, tokens, types, parts), widen(row["words"], U)
-                first, second, counts, _ = c.pairs()
-                firsts = c.first_counts(int(np.searchsorted(words, U(END))))
-                holder = c.holders(words, first, second, firsts)
-                order = np.lexsort((words[second], np.append(words, U(START))[first], holder))
-                cuts = np.searchsorted(holder[order], np.arange(parts + 1))
-                hashes, rows = np.append(words, U(START)), []
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b == a:
-                        continue
-                    at = order[a:b]
-                    f = first[at]
-                    new = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-                    runs = np.diff(np.append(new, len(f))).astype(np.uint32)
-                    rows.append((k, row["chunk"], squeeze(hashes[f[new]]), squeeze(firsts[f[new]].astype(U)), squeeze(runs), squeeze((words[second[at]] >> U(32)).astype(np.uint32)), squeeze(counts[at]), squeeze(code_of(c.logs[second[at]]))))
-                names = ("holder", "chunk", "contexts", "totals", "runs", "words", "counts", "lower")
-                yield pa.RecordBatch.from_pydict(_rows(names, rows))
+        for row in _each(batches):
+            yield pa.RecordBatch.from_pydict(_rows(names, grams(Chunk(row, tokens, types, parts)).messages(row["chunk"], tokens, parts)))
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        pieces = []
+        sizes, pieces = [], []
         for r in rows:
             runs = widen(r["runs"], np.uint32)
             pieces.append((np.repeat(widen(r["contexts"], U), runs), np.repeat(widen(r["totals"], U), runs), *(widen(r[k], kind) for k, kind in (("words", np.uint32), ("counts", np.uint32), ("lower", np.uint8)))))
-        trained = [p[3] > 0 for p in pieces]
-        contexts, totals, words, counts, lower = (np.concatenate([p[k][t] for p, t in zip(pieces, trained, strict=True)]) for k in range(5))
+            sizes.append(len(pieces[-1][2]))
+        contexts, totals, words, counts, lower = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        del pieces
         order = np.lexsort((words, contexts))
-        contexts, totals, words, counts, lower = (x[order] for x in (contexts, totals, words, counts, lower))
-        new = np.ones(len(contexts), bool)
-        new[1:] = (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])
-        at = np.flatnonzero(new)
-        c = np.add.reduceat(counts, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-        p = (c + MU * 10 ** (lower[at] / -STEP)) / (totals[at].astype(np.float64) + MU)
-        trie = Trie.of(contexts[at], words[at], code_of(np.log10(p))).mapped()
-        out = [(r["chunk"], r["holder"], squeeze(trie.codes_of(p[0], p[2], MISSING))) for r, p in zip(rows, pieces, strict=True)]
-        return pa.table(_rows(("chunk", "holder", "codes"), out))
+        c, w = contexts[order], words[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        at = order[new]
+        sums = np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.int64)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        marked = flagged(sums, np.diff(np.append(np.flatnonzero(new), len(order))))
+        seen = sums > 0
+        at_seen = at[seen]
+        trie = trie_of(contexts[at_seen], words[at_seen], smoothed(sums[seen], lower[at_seen] / -STEP, totals[at_seen]))
+        out, a = [], 0
+        for r, n in zip(rows, sizes, strict=True):
+            out.append((r["chunk"], r["holder"], squeeze(trie.codes_of(contexts[a : a + n], words[a : a + n], MISSING)), squeeze(marked[group[a : a + n]])))
+            a += n
+        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "holder": pa.array([r[1] for r in out], pa.int32()), "codes": pa.array([r[2] for r in out], pa.binary()), "totals": pa.array([r[3] for r in out], pa.binary())})
 
     asked = joined.mapInArrow(ask, "holder int, chunk long, contexts binary, totals binary, runs binary, words binary, counts binary, lower binary")
-    return asked.groupBy("holder").applyInArrow(answer, "chunk long, holder int, codes binary")
+    return asked.groupBy("holder").applyInArrow(answer, "chunk long, holder int, codes binary, totals binary")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -257,28 +377,25 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every text under the counts, and under the model, of the texts that aren't held out."""
+    small_batches(docs.sparkSession)
     chunks = written(encoded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "chunks")
     word_holders, parts = holders_of(chunks)
     counts = written(word_counts(chunks, word_holders), "words")
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
-    joined = chunks.drop("counts").join(_answers(counts, "counts"), "chunk")
-    codes = pair_codes(joined, tokens, types, parts)
+    joined = chunks.join(_answers(counts, "counts"), "chunk")
+    # a chunk that keeps all its grams at home asks nobody
+    pairs = gram_codes(joined, tokens, types, parts, lambda c: c.pairs)
+    joined = joined.join(_answers(pairs, "codes", "totals", level="2"), "chunk", "left")
+    triples = gram_codes(joined, tokens, types, parts, lambda c: c.triples).drop("totals")
+    joined = joined.join(_answers(triples, "codes", level="3"), "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c, words = Chunk(row, tokens, types, parts), widen(row["words"], U)
-                first, second, _, where = c.pairs()
-                firsts = c.first_counts(int(np.searchsorted(words, U(END))))
-                order = np.lexsort((words[second], np.append(words, U(START))[first], c.holders(words, first, second, firsts)))
-                got = np.empty(len(first), np.uint8)
-                got[order] = np.concatenate([widen(x, np.uint8) for x in row["all_codes"]])
-                own = c.logs[second] + np.log10(MU / (firsts[first] + MU))
-                logs = np.where(got == MISSING, own, got / -STEP)[where]
-                known = (c.counts > 0)[c.numbers]
-                columns = [c.docs, c.held, c.sizes, row_sums(known, c.sizes), np.full(len(c.sizes), tokens), row_sums(c.logs[c.numbers], c.sizes), row_sums(logs, c.sizes)]
-                for a, b in blocks([1] * len(c.docs), 10_000):
-                    arrays = [pa.array(x[a:b], kind) for x, kind in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in RESULT.split(", ")])
-
-    return joined.join(_answers(codes, "codes"), "chunk").mapInArrow(run, RESULT)
+        for row in _each(batches):
+            c = Chunk(row, tokens, types, parts)
+            known = (c.counts > 0)[c.numbers]
+            columns = [c.docs, c.held, c.sizes, row_sums(known, c.sizes), np.full(len(c.sizes), tokens), row_sums(c.logs[c.numbers], c.sizes), row_sums(c.token_logs(), c.sizes)]
+            for a, b in blocks([1] * len(c.docs), 10_000):
+                arrays = [pa.array(x[a:b], kind) for x, kind in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in RESULT.split(", ")])
+
+    return joined.mapInArrow(run, RESULT)

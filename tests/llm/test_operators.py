@@ -551,8 +551,9 @@ def test_trie():
     assert all((g == 255) == (p not in known) for g, p in zip(got, ask, strict=True))
 
 
-@pytest.mark.parametrize("which", ["docs", "awkward", "empty"])
-def test_lm_scores(which, request, monkeypatch):
+@pytest.mark.parametrize("which, chunk", [("docs", 20_000), ("docs", lm.CHUNK), ("awkward", 100), ("awkward", lm.CHUNK), ("empty", lm.CHUNK)])
+def test_lm_scores(which, chunk, request, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
     df = request.getfixturevalue(which)
     pairs = [(d, split("".join(c.lower() if "A" <= c <= "Z" else c for c in t)) + ["\n"]) for d, t in pairs_of(df)]
     train = [w for d, w in pairs if not lm.held(d)]
@@ -560,13 +561,15 @@ def test_lm_scores(which, request, monkeypatch):
     n, v = sum(one.values()), len(one)
     p1 = lambda x: (one[x] + 0.1) / (n + 0.1 * (v + 1))
     p2 = lambda a, b: (two[a, b] + lm.MU * p1(b)) / (first[a] + lm.MU)
+    three = Counter(t for w in train for t in zip(["\t", *w], w, w[1:], strict=False))
+    p3 = lambda a, b, c: (three[a, b, c] + lm.MU * p2(b, c)) / (two[a, b] + lm.MU)
     got = rows_of(lm.scores(df))
     want = Counter((d, lm.held(d), len(w), sum(one[x] > 0 for x in w), n) for d, w in pairs)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == want
-    base, score = {d: sum(math.log10(p1(x)) for x in w) for d, w in pairs}, {d: sum(math.log10(p2(a, b)) for a, b in zip(["\t", *w], w, strict=False)) for d, w in pairs}
+    base, score = {d: sum(math.log10(p1(x)) for x in w) for d, w in pairs}, {d: math.log10(p2("\t", w[0])) + sum(math.log10(p3(*x)) for x in zip(["\t", *w], w, w[1:], strict=False)) for d, w in pairs}
     for r in got:
         assert math.isclose(r["base_score"], base[r["doc_id"]], rel_tol=1e-9)
-        assert abs(r["score"] - score[r["doc_id"]]) <= 0.045 * r["n_tokens"]
+        assert abs(r["score"] - score[r["doc_id"]]) <= 0.065 * r["n_tokens"]  # each level's quantisation adds 1/50 at the most
 
 
 def test_lm_beats_single_words(spark, small):
