@@ -2,7 +2,8 @@
 
 The corpus is encoded once, in chunks of documents: a chunk's dictionary of word hashes and its texts as numbers
 in it. A chunk then asks for what it needs and nothing is ever gathered whole: the holders of a range of word
-hashes add up every chunk's training counts and answer with the sums; the holders of a range of contexts merge
+hashes add up every chunk's training counts and answer with the sums, and with numbers for the words, small for
+frequent ones, which stand for them from then on; the holders of a range of contexts merge
 every chunk's training pairs into a trie of quantised smoothed probabilities, memory-map it and answer the pairs
 that chunks ask for by search among the context's successors; then other holders do the same with triples, whose
 contexts are pairs. A gram is asked for once a chunk, however often it occurs. Contexts so frequent that they would
@@ -43,7 +44,8 @@ CHUNK = 10_000_000  # characters of a chunk at the most, or one text
 #: Dictionary words, and tokens, of all chunks for each holder: what a holder gathers in one task stays the same however
 #: large the corpus is.
 WORDS, GRAMS = 2_000_000, 3_000_000
-END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # no words
+END = xxhash.xxh64_intdigest(b"\n")  # no word
+START = (1 << 32) - 1  # the number of a text's start
 MU, ADD, STEP, MISSING = 2.0, 0.1, 25.0, 255
 U = np.uint64
 
@@ -96,11 +98,11 @@ def flagged(totals: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     return totals.astype(U) * U(2) + (chunks > 1).astype(U)
 
 
-def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ordered pair of word hashes."""
-    x = a * U(0x9E3779B97F4A7C15) + b
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Evenly spread 32-bit values of keys, for dealing them out."""
+    x = keys.astype(U) * U(0x9E3779B97F4A7C15)
     x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U(29))
+    return (x ^ (x >> U(29))) >> U(32)
 
 
 def held(doc_id: int | None) -> bool:
@@ -171,8 +173,9 @@ def holders_of(chunks: DataFrame) -> tuple[int, int]:
 
 
 def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, holder, counts, tokens, types): for each chunk and range of hashes, one of ``parts``, the corpus counts of
-    its words, ``flagged``; tokens and types of the range's training words stand in one row a holder."""
+    """(chunk, holder, counts, ids, tokens, types): for each chunk and range of hashes, one of ``parts``, the corpus counts of
+    its words, ``flagged``, and their numbers: the place by count among the holder's words, holders taking turns; tokens
+    and types of the range's training words stand in one row a holder."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -189,11 +192,16 @@ def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
         ends = np.cumsum([len(w) for w in words])
         sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * (len(rows) - 1)
         marked = flagged(total, np.bincount(where, minlength=len(known)))
-        out = [(r["chunk"], r["holder"], squeeze(marked[where[e - len(w) : e]]), *s) for r, w, e, s in zip(rows, words, ends, sums, strict=True)]
-        return pa.table(_rows(("chunk", "holder", "counts", "tokens", "types"), out))
+        ids = np.empty(len(known), np.int64)
+        ids[by_count(total)] = np.arange(len(known)) * parts + rows[0]["holder"]
+        if len(ids) and ids.max() >= START:
+            raise ValueError("more distinct words than 32-bit numbers")
+        ids = ids.astype(np.uint32)
+        out = [(r["chunk"], r["holder"], squeeze(marked[where[e - len(w) : e]]), squeeze(ids[where[e - len(w) : e]]), *s) for r, w, e, s in zip(rows, words, ends, sums, strict=True)]
+        return pa.table(_rows(("chunk", "holder", "counts", "ids", "tokens", "types"), out))
 
     asked = chunks.select("chunk", "words", "counts").mapInArrow(ask, "holder int, chunk long, words binary, counts binary")
-    return asked.groupBy("holder").applyInArrow(answer, "chunk long, holder int, counts binary, tokens long, types long")
+    return asked.groupBy("holder").applyInArrow(answer, "chunk long, holder int, counts binary, ids binary, tokens long, types long")
 
 
 def _answers(table: DataFrame, *names: str, level: str = "") -> DataFrame:
@@ -205,13 +213,13 @@ def _answers(table: DataFrame, *names: str, level: str = "") -> DataFrame:
 class Grams:
     """A chunk's distinct grams of one order: ``first`` is a gram's context and ``last`` its ending, by number.
 
-    ``hashes``, ``totals`` and ``alone`` are the contexts' hashes, training counts in the corpus, and whether no other
+    ``keys``, ``totals`` and ``alone`` are the contexts' words as one number, training counts in the corpus, and whether no other
     chunk has them; ``ids``, ``end_alone`` and ``lower`` the endings' last words, whether no other chunk has the ending,
     and log10 p of the last word by the order below. ``counts`` are the grams' training counts in the chunk, ``where`` each token's gram.
     """
 
     def __init__(self, contexts: tuple, endings: tuple, first: np.ndarray, last: np.ndarray, counts: np.ndarray, where: np.ndarray):
-        self.hashes, self.totals, self.alone = contexts
+        self.keys, self.totals, self.alone = contexts
         self.ids, self.end_alone, self.lower = endings
         self.first, self.last, self.counts, self.where = first, last, counts, where
 
@@ -221,15 +229,15 @@ class Grams:
         return self.alone[self.first] | self.end_alone[self.last]
 
     def away(self, tokens: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """The other grams by holder, context and word, and where each holder's begin and end. A context's hash gives
+        """The other grams by holder, context and word, and where each holder's begin and end. A context's key gives
         the holder; frequent contexts are spread by the last word."""
         at = np.flatnonzero(~self.at_home)
         first, ids = self.first[at], self.ids[self.last[at]]
         share = np.ceil(self.totals * 4 * parts / max(tokens, 1)).astype(np.int64)
         spread = np.minimum(np.maximum(share, 1), parts)[first]
-        home = (self.hashes[first] >> U(32)).astype(np.int64) * parts >> 32
-        holder = (home + (ids >> np.uint32(8)).astype(np.int64) % spread) % parts
-        order = np.lexsort((ids, self.hashes[first], holder))
+        home = (mixed(self.keys) * U(parts) >> U(32)).astype(np.int64)[first]
+        holder = (home + mixed(ids).astype(np.int64) % spread) % parts
+        order = np.lexsort((ids, self.keys[first], holder))
         return at[order], np.searchsorted(holder[order], np.arange(parts + 1))
 
     def messages(self, chunk: int, tokens: int, parts: int) -> list[tuple]:
@@ -240,14 +248,14 @@ class Grams:
                 f, last = self.first[order[a:b]], self.last[order[a:b]]
                 new = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
                 runs = np.diff(np.append(new, len(f))).astype(np.uint32)
-                rows.append((k, chunk, squeeze(self.hashes[f[new]]), squeeze(self.totals[f[new]].astype(U)), squeeze(runs), squeeze(self.ids[last]), squeeze(self.counts[order[a:b]].astype(np.uint32)), squeeze(code_of(self.lower[last]))))
+                rows.append((k, chunk, squeeze(self.keys[f[new]]), squeeze(self.totals[f[new]].astype(U)), squeeze(runs), squeeze(self.ids[last]), squeeze(self.counts[order[a:b]].astype(np.uint32)), squeeze(code_of(self.lower[last]))))
         return rows
 
     def solved(self, tokens: int, parts: int, codes: list[bytes] | None, counts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 p and, if they were answered, corpus counts of the grams, and whether no other chunk has them."""
         got, total, alone = np.full(len(self.first), MISSING, np.uint8), self.counts.astype(np.int64), np.ones(len(self.first), bool)
         home = np.flatnonzero(self.at_home)
-        contexts, ids = self.hashes[self.first[home]], self.ids[self.last[home]]
+        contexts, ids = self.keys[self.first[home]], self.ids[self.last[home]]
         order = np.lexsort((ids, contexts))
         order = order[self.counts[home[order]] > 0]
         known = home[order]
@@ -269,10 +277,8 @@ def smoothed(counts: np.ndarray, lower: np.ndarray, totals: np.ndarray) -> np.nd
 
 
 def trie_of(contexts: np.ndarray, ids: np.ndarray, p: np.ndarray) -> Trie:
-    """The mapped trie of grams in order; equal neighbours, which only equal hashes of different words can give, are one."""
-    new = np.ones(len(ids), bool)
-    new[1:] = (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])
-    return Trie.of(contexts[new], ids[new], code_of(np.log10(p[new]))).mapped()
+    """The mapped trie of distinct grams in order."""
+    return Trie.of(contexts, ids, code_of(np.log10(p))).mapped()
 
 
 class Chunk:
@@ -285,6 +291,7 @@ class Chunk:
         self.numbers = by_count(widen(row["counts"], np.uint32))[widen(row["numbers"], np.uint32)]
         marked = np.concatenate([widen(c, U) for c in row["all_counts"]])
         self.counts, self.alone = (marked >> U(1)).astype(np.float64), (marked & U(1)) == 0
+        self.ids = np.concatenate([widen(c, np.uint32) for c in row["all_ids"]])
         self.logs = np.log10((self.counts + ADD) / (tokens + ADD * (types + 1)))
         self.docs = row["docs"]
         self.held = np.array([held(k) for k in self.docs], bool)
@@ -300,8 +307,8 @@ class Chunk:
         before[self.starts] = width
         keys, where = np.unique(before * width + self.numbers, return_inverse=True)
         counts = np.bincount(where, self.train, len(keys))
-        contexts = (np.append(self.words, U(START)), np.append(self.counts, self.counts[end]), np.append(self.alone, self.alone[end]))
-        endings = ((self.words >> U(32)).astype(np.uint32), self.alone, self.logs)
+        contexts = (np.append(self.ids, np.uint32(START)).astype(U), np.append(self.counts, self.counts[end]), np.append(self.alone, self.alone[end]))
+        endings = (self.ids, self.alone, self.logs)
         return Grams(contexts, endings, keys // width, keys % width, counts, where)
 
     @cached_property
@@ -321,7 +328,7 @@ class Chunk:
         at, n = np.flatnonzero(self.later), len(two.first)
         keys, where = np.unique(two.where[at - 1] * n + two.where[at], return_inverse=True)
         counts = np.bincount(where, self.train[at], len(keys))
-        contexts = (paired(two.hashes[two.first], self.words[two.last]), totals, alone)
+        contexts = (two.keys[two.first] << U(32) | self.ids[two.last].astype(U), totals, alone)
         return Grams(contexts, (two.ids[two.last], alone, logs), keys // n, keys % n, counts, where)
 
     def token_logs(self) -> np.ndarray:
@@ -382,7 +389,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     word_holders, parts = holders_of(chunks)
     counts = written(word_counts(chunks, word_holders), "words")
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
-    joined = chunks.join(_answers(counts, "counts"), "chunk")
+    joined = chunks.join(_answers(counts, "counts", "ids"), "chunk")
     # a chunk that keeps all its grams at home asks nobody
     pairs = gram_codes(joined, tokens, types, parts, lambda c: c.pairs)
     joined = joined.join(_answers(pairs, "codes", "totals", level="2"), "chunk", "left")
