@@ -17,7 +17,10 @@ PLACEHOLDER = (
     r"|%\([A-Za-z_]\w*\)[#0 +\-]?(?:\d+|\*)?(?:\.\d+)?[diouxXeEfFgGcrs%]"
     r"|%(?:[#0 +\-]?(?:\d+|\*)?(?:\.\d+)?[diouxXeEfFgGcrs%])|\[\[[^\[\]\n]+\]\]|<[A-Za-z][^<>\n]*?>"
 )
-ENGLISH = r"(?U)\b[A-Za-z][A-Za-z'’-]*(?:\s+[A-Za-z][A-Za-z'’-]*){4,}\b"
+# Five words or more. Java steps into itself for each turn of a group that may give turns back, and a long run of words
+# overflows its stack; a possessive group doesn't. It takes a word only if another one that ends at a bound comes after it.
+WORD = r"[A-Za-z][A-Za-z'’-]*"
+ENGLISH = rf"(?U)\b{WORD}+(?:\s+{WORD}+(?=\s+{WORD}\b)){{3,}}+\s+{WORD}\b"
 
 
 def once(frame: DataFrame, name: str, value: Column) -> DataFrame:

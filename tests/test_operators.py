@@ -1,6 +1,7 @@
 """Facts about the operators on small rows."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -344,3 +345,17 @@ def test_glossary_csv(spark, tmp_path):
     rows = D.read_glossary_csv(spark, str(file)).collect()
     assert (rows[0]["note"], rows[0]["case_sensitive"], rows[0]["enabled"], rows[0]["reason"]) == ("two\nlines", True, True, None)
     assert [r["reason"] for r in rows[1:]] == ["source_term", "case_sensitive"]
+
+
+def test_english_runs_of_any_length(spark):
+    """A long line of words overflowed the stack of Java's pattern; short ones end where Python's do."""
+    draw = random.Random(4)
+    parts = ["a", "don't", "o'", "x-", "it'sé", "café", "foo'é", "ab", "é", "_", "7", "B’s", "-", "."]
+    texts = ["".join(draw.choice(parts) + draw.choice([" ", " ", " ", "  ", "\n", ""]) for _ in range(draw.randrange(4, 24))) for _ in range(6000)]
+    texts += ["WORD " * 200_000 + "end", "word " * 100_000 + "café"]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["runs"] for r in table.select("id", T.english_runs(F.col("t")).alias("runs")).collect()}
+    python = re.compile(r"\b[A-Za-z][A-Za-z'’-]*(?:\s+[A-Za-z][A-Za-z'’-]*){4,}\b")
+    assert sum(bool(v) for v in got.values()) > 300
+    for k, t in enumerate(texts):
+        assert got[k] == [m[0] for m in python.finditer(t)], t[:200]
