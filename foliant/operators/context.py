@@ -86,10 +86,10 @@ def chapter_summary_source(chapters: DataFrame, segments: DataFrame, candidates:
     """(chapter_id, text) of chapters without a summary that hold a candidate: sources in order, ``most`` characters."""
     due = chapters.where(T.is_blank(F.col("summary"))).select(F.col("id").alias("chapter_id"))
     due = due.join(candidates.select("chapter_id"), "chapter_id", "left_semi")
-    # only what may reach the first characters is gathered: lengths run on without the texts
+    # only what may reach the first characters, if by its separator alone, is gathered: lengths run on without the texts
     before = Window.partitionBy("chapter_id").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = segments.select("id", "chapter_id", "ord", F.length("source_text").alias("n")).join(due, "chapter_id", "left_semi")
-    first = sizes.withColumn("at", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0))).where(F.col("at") < most).select("id")
+    first = sizes.withColumn("at", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0))).where(F.col("at") - 2 < most).select("id")
     rows = segments.join(first, "id", "left_semi").groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "source_text"))).alias("r"))
     text = F.substring(F.array_join(F.transform("r", lambda x: x["source_text"]), "\n\n"), 1, most)
     return rows.select("chapter_id", text.alias("text")).where(~T.is_blank(F.col("text")))

@@ -359,3 +359,12 @@ def test_english_runs_of_any_length(spark):
     assert sum(bool(v) for v in got.values()) > 300
     for k, t in enumerate(texts):
         assert got[k] == [m[0] for m in python.finditer(t)], t[:200]
+
+
+def test_chapter_summary_source_cut_in_a_separator(spark):
+    """The cut may fall between two texts: what stands between them counts, though none of the next one does."""
+    chapters = spark.createDataFrame([(1, ""), (2, ""), (3, "")], "id long, summary string")
+    rows = [(c, c, n, "x" * (10 - k) if n == 0 else "next") for k, c in enumerate((1, 2, 3)) for n in (0, 1)]
+    s = spark.createDataFrame([(c * 10 + n, c, n, t) for c, _, n, t in rows], "id long, chapter_id long, ord long, source_text string")
+    got = {r["chapter_id"]: r["text"] for r in C.chapter_summary_source(chapters, s, s, 10).collect()}
+    assert got == {1: "x" * 10, 2: "x" * 9 + "\n", 3: "x" * 8 + "\n\n"}
