@@ -7,6 +7,7 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,41 @@ def test_gram_index_finds_what_a_scan_finds(spark, tmp_path):
     assert opened(found, "/rows") <= 2 < 10 <= len(folders(f"{path}/rows", "_block="))
 
 
+def test_gram_index_of_runs_cut_in_batches(spark, tmp_path, monkeypatch):
+    """Runs that lie in several batches and parts of them give what a scan gives; there are few folders and few bytes,
+    however small the blocks and long the keys are."""
+    path, key = str(tmp_path), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    table = spark.range(20_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("id"), F.concat(F.lit("Row the "), F.hex(F.xxhash64("id")), F.when(F.col("id") % 5000 == 7, " rare").otherwise("")).alias("t"))
+    monkeypatch.setattr(S, "FOLDERS", 4)
+    spark.conf.set(key, "333")
+    try:
+        S.write_gram_index(table, path, ["t"], block=500, buckets=8)
+    finally:
+        spark.conf.unset(key)
+    for needle in ("rare", "the a", "e ab", "ROW", "absent"):
+        assert S.indexed_search(spark, path, needle).count() == table.where(F.contains(F.lower("t"), F.lit(needle.lower()))).count()
+    assert len(folders(f"{path}/rows", "_block=")) <= 16
+    grams = spark.read.parquet(f"{path}/postings")
+    assert grams.agg(F.sum(F.octet_length("held"))).first()[0] < 20_000 * 24 * 3
+    assert opened(S.indexed_search(spark, path, "rare"), "/rows") <= 4
+
+
+def test_grams_of_many_signs():
+    """Grams of any letters, also more kinds of them than fit one number with the row."""
+    for texts in ([["abcab", "", "ab"], ["xabc", "b", "😀grin"]], [["".join(map(chr, range(0x4E00, 0x9FFF)))], ["abc"]]):
+        row = np.array([7, 300, 65_535][: len(texts[0])])
+        for block in (65_536, 1 << 30):
+            grams, held = S.grams_of(texts, row, block) if block == 65_536 else S.grams_of(texts, row % 100, 100)
+            own = {}
+            for column in texts:
+                for r, t in zip(row if block == 65_536 else row % 100, column, strict=True):
+                    for k in range(len(t) - 2):
+                        own.setdefault(t[k : k + 3], set()).add(int(r))
+            wide = 8192 if block == 65_536 else 13
+            got = {g: set(np.frombuffer(h, "<u2").tolist()) if len(h) < wide else set(np.flatnonzero(np.unpackbits(np.frombuffer(h, np.uint8), bitorder="little")).tolist()) for g, h in zip(grams, held, strict=True)}
+            assert got == own and len(grams) == len(own)
+
+
 # --- the stored ledger ---------------------------------------------------------------------------------------------------
 
 
