@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.helpers import vectorized
 from ..sources.blocks import plain, scan
+from ..sources.scratch import small_batches
 from .glossary import glossary_mismatches
 
 ISSUE = ["project_id", "segment_id", "stable_key", "code", "severity", "detail", "details"]
@@ -112,6 +113,7 @@ def signature(s: pd.Series) -> pd.Series:
 
 def markdown_structure(rendered: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Documents whose structure changed: the first index that differs, and both lengths."""
+    small_batches(rendered.sparkSession)
     wide = rendered.withColumns({"_a": signature(F.col(source)), "_b": signature(F.col(target))})
     pairs = F.arrays_zip(F.col("_a").alias("a"), F.col("_b").alias("b"))
     first = F.array_position(F.transform(pairs, lambda p: ~p["a"].eqNullSafe(p["b"])), True) - 1
@@ -136,6 +138,7 @@ def xml_error(s: pd.Series) -> pd.Series:
 
 def xhtml_structure(projects: DataFrame, rendered: DataFrame) -> DataFrame:
     """(project_id, documents, damaged, error): a project without documents is an error as well."""
+    small_batches(rendered.sparkSession)
     own = rendered.withColumn("_e", xml_error(F.col("xhtml"))).groupBy("project_id").agg(F.count("*").alias("documents"), F.count("_e").alias("damaged"))
     out = projects.select(F.col("id").alias("project_id")).join(own, "project_id", "left").na.fill(0)
     return out.withColumn("error", (F.col("documents") == 0) | (F.col("damaged") > 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,3 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, most: int = 4) -> None:
+    """Arrow batches of at most ``most`` MB from here on, where the session allows larger ones: what Python makes of whole
+    documents takes many times their size, and 10,000 documents are a batch else."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    size = int(re.sub(r"\D", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(re.sub(r"[\d\sb]", "", now.lower())[:1], 1)
+    if size <= 0 or size > most << 20:
+        spark.conf.set(key, f"{most}m")

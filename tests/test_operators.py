@@ -368,3 +368,18 @@ def test_chapter_summary_source_cut_in_a_separator(spark):
     s = spark.createDataFrame([(c * 10 + n, c, n, t) for c, _, n, t in rows], "id long, chapter_id long, ord long, source_text string")
     got = {r["chapter_id"]: r["text"] for r in C.chapter_summary_source(chapters, s, s, 10).collect()}
     assert got == {1: "x" * 10, 2: "x" * 9 + "\n", 3: "x" * 8 + "\n\n"}
+
+
+def test_whole_documents_come_in_small_batches(spark, monkeypatch):
+    """What Python holds of whole documents at once is bounded in bytes, and blocks leave it before all are made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(6).select(F.col("id").alias("page_id"), F.concat(F.repeat(F.lit("<p>x</p>"), 30), F.lit("<h1>"), F.col("id").cast("string"), F.lit("</h1>")).alias("html"))
+    monkeypatch.setattr(B, "ROWS", 7)
+    before = spark.conf.get(key)
+    for use in (lambda: B.xhtml_blocks(docs, ["page_id"]), lambda: Q.markdown_structure(docs.select(F.col("html").alias("source"), F.col("html").alias("target"))), lambda: R.render_xhtml(docs, docs.select("page_id", F.lit(0).alias("token_index"), F.lit("p").alias("tag"), F.lit("t").alias("target"), F.lit(None).cast("array<string>").alias("slots")), "page_id"), lambda: Q.xhtml_structure(spark.range(1), docs.select(F.col("page_id").alias("project_id"), F.col("html").alias("xhtml")))):
+        spark.conf.set(key, "64m")
+        use()
+        assert spark.conf.get(key) == "4m"
+    rows = B.xhtml_blocks(docs.coalesce(1), ["page_id"]).collect()
+    assert [(r["page_id"], r["token_index"]) for r in rows] == [(p, k) for p in range(6) for k in range(31)] and rows[-1]["text"] == "5"
+    spark.conf.set(key, before)
