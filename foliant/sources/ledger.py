@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ledger import ledger_merge
-from .scratch import written
+from .scratch import shared, written
 
 GROUP = "project_group"
 GROUPS, BUCKETS = 64, 64
+#: Bytes of Parquet that a bucket holds at the most when a ledger is made.
+LARGEST = 32 << 20
 
 
 def group_of(project_id: Column, groups: int) -> Column:
@@ -25,6 +27,12 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def open_ledger(spark: SparkSession, path: str, schema: T.StructType | None = None, groups: int = GROUPS, buckets: int = BUCKETS) -> tuple[str, int, int]:
     """(table, groups, buckets) of the ledger at ``path``; with ``schema`` one is made where none is. Rows lie in folders by
     groups of projects, and in each by buckets of (project_id, stable_key), sorted: joins on that key find them in
@@ -80,10 +88,14 @@ def _location(spark: SparkSession, name: str) -> str:
 
 
 def write_ledger(rows: DataFrame, path: str, groups: int = GROUPS, buckets: int = BUCKETS) -> None:
-    """The projects in ``rows`` hold ``rows`` from now on, all other projects what they held."""
+    """The projects in ``rows`` hold ``rows`` from now on, all other projects what they held. The first ``rows`` make the
+    ledger: with ``buckets``, or as many more as keep each of them, which is a task's share, within ``LARGEST``."""
     spark = rows.sparkSession
-    ledger = open_ledger(spark, path, rows.schema, groups, buckets)
-    new = written(rows.withColumn(GROUP, group_of(F.col("project_id"), ledger[1])), "incoming")
+    incoming = shared(spark, "incoming")
+    rows.write.parquet(incoming)
+    made = spark.read.schema(rows.schema).parquet(incoming)
+    ledger = open_ledger(spark, path, rows.schema, groups, max(buckets, -(-_size(spark, incoming) // LARGEST)))
+    new = made.withColumn(GROUP, group_of(F.col("project_id"), ledger[1]))
     touched = _touched(new)
     stored = spark.table(ledger[0]).where(F.col(GROUP).isin(touched))
     others = stored.join(new.select("project_id").distinct(), "project_id", "left_anti")

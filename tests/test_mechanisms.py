@@ -441,3 +441,21 @@ def test_fold():
     assert ST.fold("x ", "pending", rows.iloc[::-1]) == ("new d3 ", "reviewed")
     rows.loc[3, "type"] = "segment_reset"
     assert ST.fold("x ", "pending", rows) == ("", "reviewed")
+
+
+def test_a_large_first_import_makes_more_buckets(spark, tmp_path, monkeypatch):
+    """No task gets more than a bucket, so buckets are as many as their size asks for; later writes keep the shape."""
+    path = str(tmp_path / "ledger")
+    monkeypatch.setattr(LD, "LARGEST", 1000)
+    rows = ledger_rows(spark, 4000)
+    LD.write_ledger(rows, path, 2, 4)
+    buckets = LD.open_ledger(spark, path)[2]
+    assert buckets > 16
+    files = [f for g in folders(f"{path}/rows", LD.GROUP) for f in os.listdir(f"{path}/rows/{g}") if f.endswith(".parquet")]
+    assert len(files) > 16
+    LD.write_ledger(rows.where("project_id < 2"), path, 2, 4)
+    assert LD.open_ledger(spark, path)[2] == buckets and LD.read_ledger(spark, path).count() == 4000
+    small = str(tmp_path / "small")
+    monkeypatch.undo()
+    LD.write_ledger(rows, small, 2, 4)
+    assert LD.open_ledger(spark, small)[2] == 4
