@@ -474,10 +474,14 @@ def glossary_section(b):
     return g.select("project_id", C.glossary_section(F.col("t")).alias("section"))
 
 
-def _contexts(b):
+def _contexts(b, only=None):
+    """The contexts of all segments, or of those with the ids in ``only``."""
     s = b.segments()
+    previous = C.rolling_context(s)
+    if only is not None:
+        s, previous = s.join(only, "id", "left_semi"), previous.join(only, "id", "left_semi")
     terms = G.glossary_matches(s.select("id", "project_id", "source_text"), b.glossary()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term_id", "source_term", "target_term", "note"))).alias("terms"))
-    frame = s.select("id", "chapter_id").join(terms, "id", "left").join(C.rolling_context(s), "id", "left").join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
+    frame = s.select("id", "chapter_id").join(terms, "id", "left").join(previous, "id", "left").join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
     return C.build_context(frame)
 
 
@@ -578,8 +582,9 @@ def build_requests(b):
     of both."""
     prompts = C.resolve_prompt(b.projects(), _templates(b))
     kinds = b.projects().select(F.col("id").alias("project_id"), "source_type")
-    made = C.build_requests(_leaders(b).join(kinds, "project_id"), b.segments(), b.chapters(), b.glossary(), prompts).join(kinds, "project_id")
-    fits = _contexts(b).select("id", (T.estimate_tokens(_whole()) <= 1200).alias("fits"))
+    leaders = written(_leaders(b), "leaders")
+    made = C.build_requests(leaders.join(kinds, "project_id"), b.segments(), b.chapters(), b.glossary(), prompts).join(kinds, "project_id")
+    fits = _contexts(b, leaders.select("id")).select("id", (T.estimate_tokens(_whole()) <= 1200).alias("fits"))
     message = F.concat(F.lit(f"{C.CONTEXT}\n"), F.coalesce(F.nullif(T.strip(F.col("context")), F.lit("")), F.lit(C.NO_CONTEXT)), F.lit(f"\n\n{C.TASK}\n"), F.col("text"))
     return made.join(fits, "id").select("id", "project_id", "system_prompt", F.when(F.col("fits"), F.col("context")).alias("context"), F.when(F.col("source_type") == "epub", F.col("text")).alias("plain_text"), (F.col("message") == message).alias("is_message"))
 
