@@ -89,11 +89,20 @@ def stable_key(chapter_ord: Column, block_index: Column, path: Column, part_inde
     return F.when(part_count > 1, F.concat(key, F.lit("#"), part_index.cast("string"))).otherwise(key)
 
 
+def other_length(c: Column) -> Column:
+    """Characters that aren't CJK ones."""
+    return F.length(F.regexp_replace(c, "[㐀-鿿]", ""))
+
+
 def estimate_tokens(c: Column) -> Column:
-    """A token for each CJK character and for each four others begun; 0 for an empty text."""
-    n = F.length(c)
-    cjk = n - F.length(F.regexp_replace(c, "[㐀-鿿]", ""))
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), cjk + F.ceil((n - cjk) / 4.0))).cast("long")
+    """A token for each CJK character and for each four others begun; 0 for an empty text, 1 for a null one. With m others
+    of n characters this is n - m + ceil(m / 4) = n - floor(3 m / 4): the text is searched once."""
+    return F.coalesce(F.length(c) - F.floor(3 * other_length(c).cast("long") / 4.0), F.lit(1)).cast("long")
+
+
+def fits(c: Column, most: int) -> Column:
+    """Whether ``c`` has ``most`` tokens at the most. No text has more tokens than characters, so short ones aren't searched."""
+    return (F.length(c) <= most) | (estimate_tokens(c) <= most)
 
 
 def placeholders(c: Column) -> Column:

@@ -16,28 +16,59 @@ GUIDANCE, GLOSSARY, HISTORY, SUMMARY = "【额外要求】", "【术语表（必
 SOURCE, TARGET = "原文：", "译文："
 NO_CONTEXT, CONTEXT, TASK = "（无额外上下文）", "【上下文，仅供理解，不要翻译或复述】", "【待译原文】"
 DEFAULT_MODEL, MOST_CONCURRENT = "gpt-5-mini", 8
-RUN = 10_000  # ordinals that one task counts
+RUN = 10_000  # ordinals that one task sorts at once
+LABELS = f"\n{SOURCE}\n{TARGET}"  # what a pair has beside its texts
+
+
+def _ideographs(text: str) -> int:
+    return sum("㐀" <= c <= "鿿" for c in text)
+
+
+CJK_LABELS = _ideographs(LABELS)
 
 
 def rolling_context(segments: DataFrame, n: int = 3) -> DataFrame:
     """(id, previous): the last ``n`` completed segments with a target before each segment of its project, oldest
-    first; blank targets take their place and are dropped. A running count numbers completed rows, so the window is
-    an equi-join on that number and no list ever grows with the project."""
+    first; blank targets take their place and are dropped."""
+    pairs = F.transform("previous", lambda p: F.struct(p["o"].alias("o"), p["s"].alias("s"), p["t"].alias("t")))
+    return recent(segments, n).select("id", pairs.alias("previous"))
+
+
+def recent(segments: DataFrame, n: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep.., previous) as in ``rolling_context``, null without any, each pair with what it costs in a context: ``c``
+    CJK characters of ``n``. Runs of ordinals are sorted each by itself, and the few pairs that a run's first rows take
+    from the runs before it are joined by run: a text is shuffled once and costed once, and no list grows with the
+    project."""
     if not 0 <= n <= 12:
         raise ValueError("0 to 12 previous segments")
     ready = T.completed(F.col("status")) & F.col("target_text").isNotNull()
-    slim = segments.select("id", "project_id", "ord", ready.alias("ready"), F.floor(F.col("ord") / RUN).alias("run"))
-    # running counts inside runs of ordinals, then over the few runs: no task has a whole project, and no text is sorted
-    over = Window.partitionBy("project_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base = slim.groupBy("project_id", "run").agg(F.count_if("ready").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
-    before = Window.partitionBy("project_id", "run").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = slim.join(base, ["project_id", "run"]).withColumn("rank", F.col("_base") + F.coalesce(F.count_if("ready").over(before), F.lit(0))).drop("_base", "run")
-    texts = segments.where(ready).select("id", "source_text", "target_text")
-    done = ranked.where("ready").join(texts, "id").where("ready").select("project_id", F.col("rank").alias("k"), F.col("ord").alias("o"), F.col("source_text").alias("s"), F.col("target_text").alias("t"))
-    first = F.greatest(F.col("rank") - n, F.lit(0))
-    wanted = ranked.where((F.col("rank") > 0) & F.lit(n > 0)).select("id", "project_id", F.explode(F.sequence(first, F.col("rank") - 1)).alias("k"))
-    pairs = wanted.join(done, ["project_id", "k"]).where(F.col("t") != "").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "s", "t"))).alias("previous"))
-    return segments.select("id").join(pairs, "id", "left")
+    s, t = F.col("source_text"), F.col("target_text")
+    pair = F.struct(F.col("ord").alias("o"), s.alias("s"), t.alias("t"), (cjk(s) + cjk(t) + CJK_LABELS).cast("long").alias("c"), (F.length(s) + F.length(t) + len(LABELS)).cast("long").alias("n"))
+    rows = segments.select("id", "project_id", "ord", *keep, F.floor(F.col("ord") / RUN).alias("run"), F.when(ready, pair).alias("_pair"))
+    if n == 0:
+        return rows.select("id", *keep, F.array().cast(f"array<{rows.schema['_pair'].dataType.simpleString()}>").alias("previous"))
+    rows = rows.repartition("project_id", "run")
+    lags = [F.expr(f"lag(_pair, {k}) IGNORE NULLS OVER (PARTITION BY project_id, run ORDER BY ord, id)") for k in range(n, 0, -1)]
+    wide = rows.withColumn("_own", F.array(*lags)).drop("_pair")
+    wide = wide.join(_carried(segments.select("id", "project_id", "ord", ready.alias("ready"), s, t), n, pair), ["project_id", "run"], "left")
+    every = F.concat(F.coalesce("_carried", F.array().cast(wide.schema["_own"].dataType)), F.filter("_own", lambda p: p.isNotNull()))
+    last = F.filter(F.slice(every, F.greatest(F.size(every) - n + 1, F.lit(1)), n), lambda p: p["t"] != "")
+    return wide.select("id", *keep, F.when(F.size(last) > 0, last).alias("previous"))
+
+
+def _carried(segments: DataFrame, n: int, pair: Column) -> DataFrame:
+    """(project_id, run, _carried): the last ``n`` pairs before each run. They are among the last ``n`` of the runs before it,
+    which are numbered through in each project; their texts alone are fetched."""
+    slim = segments.select("id", "project_id", "ord", "ready", F.floor(F.col("ord") / RUN).alias("run"))
+    back = Window.partitionBy("project_id", "run").orderBy(F.desc("ord"), F.desc("id"))
+    ends = slim.where("ready").withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= n).select("id", "project_id", "run", "ord")
+    runs = slim.groupBy("project_id", "run").agg(F.least(F.count_if("ready"), F.lit(n)).alias("_n"))
+    ended = Window.partitionBy("project_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_to", F.coalesce(F.sum("_n").over(ended), F.lit(0))).where("_to > 0")
+    wanted = runs.select("project_id", "run", F.explode(F.sequence(F.greatest(F.col("_to") - n + 1, F.lit(1)), F.col("_to"))).alias("_k"))
+    ends = ends.withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("ord", "id"))).select("id", "project_id", "_k")
+    texts = segments.where("ready").join(ends.select("id", "_k"), "id").select("project_id", "_k", pair.alias("_pair"))
+    return wanted.join(texts, ["project_id", "_k"]).groupBy("project_id", "run").agg(F.array_sort(F.collect_list("_pair")).alias("_carried"))
 
 
 def history_section(previous: Column) -> Column:
@@ -53,33 +84,41 @@ def glossary_section(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.concat(F.lit(GLOSSARY + "\n"), F.array_join(lines, "\n"))).otherwise("")
 
 
+def cjk(c: Column) -> Column:
+    return F.length(c) - T.other_length(c)
+
+
 def build_context(frame: DataFrame, most: int = 1200) -> DataFrame:
-    """``context`` from ``terms``, ``summary`` and ``previous``. History is taken newest first, pairs that don't fit
-    are passed over. A text's cost is additive in its CJK and its other characters, so the fold keeps two totals."""
+    """``context`` from ``terms``, ``summary`` and ``previous``, and ``complete``: whether nothing was left out. History is
+    taken newest first, pairs that don't fit are passed over. A text's cost is additive in its CJK and its other characters,
+    so the fold keeps two totals; pairs that come from ``recent`` bring theirs."""
     summary = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(SUMMARY + "\n"), T.strip(F.col("summary")))).otherwise("")
     terms = F.coalesce(glossary_section(F.col("terms")), F.lit(""))
     head = F.array_join(F.filter(F.array(terms, summary), lambda x: x != ""), "\n\n")
-    frame = T.once(frame, "_head", head).withColumn("_prev", F.coalesce("previous", F.array().cast(frame.schema["previous"].dataType)))
-    cjk = lambda c: F.length(c) - F.length(F.regexp_replace(c, "[㐀-鿿]", ""))
-    fixed = F.concat(F.col("_head"), F.when(F.col("_head") != "", "\n\n").otherwise(""), F.lit(HISTORY))
-    frame = frame.withColumns({"_cjk": cjk(fixed).cast("long"), "_all": F.length(fixed).cast("long")})
-    pair = lambda p: F.concat(F.lit("\n" + SOURCE), p["s"], F.lit("\n" + TARGET), p["t"])
-    sized = F.transform("_prev", lambda p: F.struct(p.alias("p"), cjk(pair(p)).cast("long").alias("c"), F.length(pair(p)).cast("long").alias("n")))
-    frame = frame.withColumn("_sized", F.reverse(sized))
-    kind = frame.schema["_prev"].dataType.simpleString()
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("got"), F.col("_cjk").alias("c"), F.col("_all").alias("n"))
+    kind = frame.schema["previous"].dataType
+    frame = T.once(frame, "_head", head).withColumn("_prev", F.coalesce("previous", F.array().cast(kind)))
+    frame = T.once(frame, "_cost", F.struct(cjk(F.col("_head")).alias("c"), F.length("_head").alias("n")))
+    opening = F.when(F.col("_head") != "", 2).otherwise(0) + len(HISTORY)
+    sized = F.reverse("_prev")
+    if "c" not in kind.elementType.names:
+        costs = lambda p: ((cjk(p["s"]) + cjk(p["t"]) + CJK_LABELS).cast("long").alias("c"), (F.length(p["s"]) + F.length(p["t"]) + len(LABELS)).cast("long").alias("n"))
+        sized = F.transform(sized, lambda p: F.struct(*[p[f].alias(f) for f in kind.elementType.names], *costs(p)))
+        kind = frame.select(sized.alias("x")).schema["x"].dataType
+    start = F.struct(F.array().cast(kind).alias("got"), (F.col("_cost.c") + _ideographs(HISTORY)).cast("long").alias("c"), (F.col("_cost.n") + opening).cast("long").alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
         c, n = acc["c"] + x["c"], acc["n"] + x["n"]
         fits = c + F.ceil((n - c) / F.lit(4.0)) <= most
-        return F.struct(F.when(fits, F.concat(F.array(x["p"]), acc["got"])).otherwise(acc["got"]).alias("got"), F.when(fits, c).otherwise(acc["c"]).alias("c"), F.when(fits, n).otherwise(acc["n"]).alias("n"))
+        return F.when(fits, F.struct(F.concat(F.array(x), acc["got"]).alias("got"), c.alias("c"), n.alias("n"))).otherwise(acc)
 
-    frame = T.once(frame, "_got", F.aggregate("_sized", start, step, lambda acc: acc["got"]))
+    frame = T.once(frame, "_got", F.aggregate(sized, start, step, lambda acc: acc["got"]))
     whole = F.array_join(F.filter(F.array(F.col("_head"), history_section(F.col("_got"))), lambda x: x != ""), "\n\n")
     frame = T.once(frame, "_whole", whole)
-    long = T.estimate_tokens(F.col("_whole")) > most
+    # history is taken only where it fits, so what is too long is a head that is
+    long = F.col("_cost.c") + F.ceil((F.col("_cost.n") - F.col("_cost.c")) / F.lit(4.0)) > most
     context = F.when(long, clip_context(most)(F.when(long, F.col("_whole")))).otherwise(F.col("_whole"))
-    return T.once(frame, "context", context).drop("_head", "_prev", "_cjk", "_all", "_sized", "_got", "_whole")
+    frame = frame.withColumn("complete", ~long & (F.size("_got") == F.size("_prev")))
+    return T.once(frame, "context", context).drop("_head", "_prev", "_cost", "_got", "_whole")
 
 
 def chapter_summary_source(chapters: DataFrame, segments: DataFrame, candidates: DataFrame, most: int = 8000) -> DataFrame:
@@ -158,10 +197,8 @@ def build_requests(leaders: DataFrame, segments: DataFrame, chapters: DataFrame,
     """A request for each leader: prompt, context, masked text, message and its tokens. ``prompts`` has (id, prompt,
     guidance) by project; leaders carry source_lang, target_lang and, for masking by kind, source_type, part_count and
     inline_slots."""
-    matches = G.glossary_matches(leaders.select("id", "project_id", "source_text"), terms)
-    sorted_terms = F.array_sort(F.collect_list(F.struct("term_id", "source_term", "target_term", "note")))
-    matches = matches.groupBy("id").agg(sorted_terms.alias("terms"))
-    wide = leaders.join(matches, "id", "left").join(rolling_context(segments, n), "id", "left")
+    matches = G.term_lists(leaders.select("id", "project_id", "source_text"), terms)
+    wide = leaders.join(matches, "id", "left").join(recent(segments, n), "id", "left")
     wide = wide.join(chapters.select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
     wide = wide.join(prompts.select(F.col("id").alias("project_id"), "prompt", "guidance"), "project_id", "left")
     for name, kind in (("source_type", "string"), ("part_count", "int"), ("inline_slots", "array<struct<start:int,end:int>>")):

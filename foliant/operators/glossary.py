@@ -17,6 +17,7 @@ from .spread import salted_join
 
 #: Characters of segments, and terms, that meet in one group: what a task holds at once, whatever a project's size.
 CHARS, TERMS = 2_000_000, 20_000
+GROUPS = ("project_id", "_split", "_shard")
 TERM = ("term_id", "source_term", "target_term", "note", "case_sensitive")
 
 
@@ -58,12 +59,9 @@ def places(text: str, machines: tuple) -> dict[int, list[int]]:
     return {k: sorted(set(v)) for k, v in out.items()}
 
 
-def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """Segments (id, project_id, source_text and more) with each enabled term of their project that their source holds
-    as a substring, and ``starts``, its places. A project's segments are dealt into groups of ``CHARS`` characters and
-    its terms into groups of ``TERMS``; where a group of each meets, one pass of an automaton over each text finds all
-    its terms. Time grows with the texts and what is found, not with texts times terms; texts of projects without terms
-    are not moved."""
+def _dealt(segments: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments and enabled terms by ``GROUPS``. A project's segments are dealt into groups of ``CHARS`` characters and its
+    terms into groups of ``TERMS``; texts of projects without terms are not moved."""
     live = terms.where(F.col("enabled") & (F.length("source_term") > 0))
     live = live.select("project_id", F.col("id").alias("term_id"), "source_term", "target_term", "note", "case_sensitive")
     shards = F.ceil(F.count("*") / TERMS).cast("int")
@@ -75,7 +73,15 @@ def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
     left = left.withColumn("_split", F.pmod(F.xxhash64("id", "source_text"), F.col("_splits")).cast("int")).withColumn("_shard", upto("_shards")).drop("_splits", "_shards")
     right = salted_join(live, shape, "project_id", "term_id")
     right = right.withColumn("_shard", F.pmod(F.xxhash64("source_term", "term_id"), F.col("_shards")).cast("int")).withColumn("_split", upto("_splits")).drop("_splits", "_shards")
-    kinds = {f.name: f for f in live.schema.fields}
+    return left, right
+
+
+def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """Segments (id, project_id, source_text and more) with each enabled term of their project that their source holds
+    as a substring, and ``starts``, its places. Where a group of segments and one of terms meet, one pass of an automaton
+    over each text finds all its terms. Time grows with the texts and what is found, not with texts times terms."""
+    left, right = _dealt(segments, terms)
+    kinds = {f.name: f for f in right.schema.fields}
     schema = ty.StructType([*segments.schema.fields, *(kinds[c] for c in TERM), ty.StructField("starts", ty.ArrayType(ty.IntegerType()))])
     own = segments.columns
 
@@ -90,8 +96,41 @@ def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
         found = glossary.select(list(TERM)).take(pa.array(pairs[1], pa.int64()))
         return pa.table([*mine.columns, *found.columns, pa.array(pairs[2], pa.list_(pa.int32()))], names=[*own, *TERM, "starts"])
 
-    keys = ("project_id", "_split", "_shard")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    return left.groupBy(*GROUPS).cogroup(right.groupBy(*GROUPS)).applyInArrow(meet, schema)
+
+
+def terms_in(text: str, machines: tuple) -> list[int]:
+    """Numbers of the terms that ``text`` has, ascending; their places are not kept."""
+    exact, folded = machines
+    met = {} if exact is None else {numbers[0]: numbers for _, (_, numbers) in exact.iter(text)}
+    if folded is not None:
+        met.update({numbers[0]: numbers for _, (_, numbers) in folded.iter(text.casefold())})
+    return sorted(k for numbers in met.values() for k in numbers)
+
+
+def term_lists(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, terms): of each segment with any the terms of ``glossary_matches``, by their id, in one row. Neither texts nor
+    places leave the task that finds the terms."""
+    left, right = _dealt(segments.select("id", "project_id", "source_text"), terms.where(~T.is_blank(F.col("source_term"))))
+    names = TERM[:4]
+    schema = f"id {left.schema['id'].dataType.simpleString()}, terms array<struct<{', '.join(f'{c}: {right.schema[c].dataType.simpleString()}' for c in names)}>>"
+
+    def meet(texts: pa.Table, glossary: pa.Table) -> pa.Table:
+        rows, numbers, ends = [], [], [0]
+        if len(texts) and len(glossary):
+            glossary = glossary.sort_by("term_id")
+            machines = automata(tuple(zip(glossary.column("source_term").to_pylist(), glossary.column("case_sensitive").to_pylist(), strict=True)))
+            for n, text in enumerate(texts.column("source_text").to_pylist()):
+                found = terms_in(text, machines)
+                if found:
+                    rows.append(n), numbers.extend(found), ends.append(len(numbers))
+        found = glossary.select(list(names)).take(pa.array(numbers, pa.int64())).combine_chunks()
+        items = pa.StructArray.from_arrays([found.column(c).combine_chunks() for c in names], list(names))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=pa.list_(pa.field("element", items.type)))
+        return pa.table([texts.column("id").take(pa.array(rows, pa.int64())), lists], names=["id", "terms"])
+
+    lists = left.groupBy(*GROUPS).cogroup(right.groupBy(*GROUPS)).applyInArrow(meet, schema).groupBy("id").agg(F.collect_list("terms").alias("l"))
+    return lists.select("id", F.when(F.size("l") == 1, F.col("l")[0]).otherwise(F.array_sort(F.flatten("l"))).alias("terms"))
 
 
 def glossary_matches(segments: DataFrame, terms: DataFrame) -> DataFrame:

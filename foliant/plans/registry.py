@@ -475,14 +475,16 @@ def glossary_section(b):
 
 
 def _contexts(b, only=None):
-    """The contexts of all segments, or of those with the ids in ``only``."""
-    s = b.segments()
-    previous = C.rolling_context(s)
+    """The contexts of all segments, or of those with the ids in ``only``; segments are worked out once."""
+    s = written(b.segments().select("id", "project_id", "chapter_id", "ord", "status", "source_text", "target_text"), "segments")
     if only is not None:
-        s, previous = s.join(only, "id", "left_semi"), previous.join(only, "id", "left_semi")
-    terms = G.glossary_matches(s.select("id", "project_id", "source_text"), b.glossary()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term_id", "source_term", "target_term", "note"))).alias("terms"))
-    frame = s.select("id", "chapter_id").join(terms, "id", "left").join(previous, "id", "left").join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
-    return C.build_context(frame)
+        s = s.join(only.withColumn("_asked", F.lit(True)), "id", "left")
+    asked = s if only is None else s.where("_asked")
+    terms = G.term_lists(asked, b.glossary())
+    keep = ("chapter_id", "terms") if only is None else ("chapter_id", "terms", "_asked")
+    frame = C.recent(s.join(terms, "id", "left"), keep=keep)
+    frame = frame if only is None else frame.where("_asked")
+    return C.build_context(frame.join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left"))
 
 
 WHOLE = f"""d AS (SELECT project_id, ord, source_text, target_text, row_number() OVER (PARTITION BY project_id ORDER BY ord) - 1 AS k FROM segment WHERE {DONE} AND target_text IS NOT NULL),
@@ -497,12 +499,7 @@ WHOLE = f"""d AS (SELECT project_id, ord, source_text, target_text, row_number()
 def build_context(b):
     """The whole context where all of it fits; beyond that it is cut to what does."""
     made = _contexts(b)
-    return made.select("id", F.when(T.estimate_tokens(_whole()) <= 1200, F.col("context")).alias("context"), (T.estimate_tokens(F.col("context")) <= 1200).alias("fits"))
-
-
-def _whole():
-    """Everything that a context is made from, fitting or not."""
-    return F.array_join(F.filter(F.array(F.coalesce(C.glossary_section(F.col("terms")), F.lit("")), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(C.SUMMARY + "\n"), "summary")).otherwise(""), F.coalesce(C.history_section(F.col("previous")), F.lit(""))), lambda x: x != ""), "\n\n")
+    return made.select("id", F.when(F.col("complete"), F.col("context")).alias("context"), T.fits(F.col("context"), 1200).alias("fits"))
 
 
 @query("segment chapter", f"""SELECT chapter_id, text FROM (SELECT s.chapter_id, substr(string_agg(s.source_text, chr(10) || chr(10) ORDER BY s.ord, s.id), 1, 8000) AS text FROM segment s JOIN chapter c ON c.id = s.chapter_id WHERE {blank('c.summary')} AND s.chapter_id IN (SELECT chapter_id FROM segment WHERE status IN ('pending', 'error')) GROUP BY 1)""")
@@ -584,7 +581,7 @@ def build_requests(b):
     kinds = b.projects().select(F.col("id").alias("project_id"), "source_type")
     leaders = written(_leaders(b), "leaders")
     made = C.build_requests(leaders.join(kinds, "project_id"), b.segments(), b.chapters(), b.glossary(), prompts).join(kinds, "project_id")
-    fits = _contexts(b, leaders.select("id")).select("id", (T.estimate_tokens(_whole()) <= 1200).alias("fits"))
+    fits = _contexts(b, leaders.select("id")).select("id", F.col("complete").alias("fits"))
     message = F.concat(F.lit(f"{C.CONTEXT}\n"), F.coalesce(F.nullif(T.strip(F.col("context")), F.lit("")), F.lit(C.NO_CONTEXT)), F.lit(f"\n\n{C.TASK}\n"), F.col("text"))
     return made.join(fits, "id").select("id", "project_id", "system_prompt", F.when(F.col("fits"), F.col("context")).alias("context"), F.when(F.col("source_type") == "epub", F.col("text")).alias("plain_text"), (F.col("message") == message).alias("is_message"))
 

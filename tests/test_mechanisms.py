@@ -12,6 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+from foliant.operators import context as C
 from foliant.operators import glossary as G
 from foliant.operators import ledger as L
 from foliant.operators import progress as P
@@ -459,3 +461,40 @@ def test_a_large_first_import_makes_more_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     LD.write_ledger(rows, small, 2, 4)
     assert LD.open_ledger(spark, small)[2] == 4
+
+
+def test_previous_pairs_cross_runs(spark, monkeypatch):
+    """Runs of two ordinals: the pairs before a segment lie in runs before it, some of which have none."""
+    monkeypatch.setattr(C, "RUN", 2)
+    rng = random.Random(7)
+    rows = [(1000 * p + k, p, k, rng.choice(["done", "pending", "reviewed"]) if k % 9 < 4 else "error", f"中s{k}", rng.choice(["", f"t{k}", None])) for p in (1, 2) for k in range(40)]
+    frame = spark.createDataFrame(rows, "id long, project_id long, ord long, status string, source_text string, target_text string")
+    for n in (0, 1, 3, 5):
+        got = {r["id"]: r["previous"] for r in C.recent(frame, n).collect()}
+        plain = {r["id"]: r["previous"] for r in C.rolling_context(frame, n).collect()}
+        assert len(got) == len(rows)
+        for id_, p, k, *_ in rows:
+            ready = [(r[2], r[4], r[5]) for r in rows if r[1] == p and r[2] < k and r[3] in ("done", "reviewed") and r[5] is not None]
+            want = [x for x in ready[-n:] if x[2] != ""] if n else []
+            assert [tuple(x) for x in plain[id_] or []] == want
+            assert [tuple(x) for x in got[id_] or []] == [(*x, 5, len(x[1]) + len(x[2]) + 8) for x in want]
+
+
+def test_terms_of_a_segment_are_one_row(spark, monkeypatch):
+    """Also where a project's terms lie in several groups; texts and places don't come along."""
+    monkeypatch.setattr(G, "TERMS", 2)
+    s = spark.createDataFrame([(1, 1, "A party in New York"), (2, 1, "Straße"), (3, 1, "none"), (4, 2, "art")], "id long, project_id long, source_text string")
+    g = spark.createDataFrame([(9, 1, "art", "艺术", None, False, True), (2, 1, "new york", "纽约", None, False, True), (3, 1, "NEW", "新", None, True, True), (4, 1, " ", "x", None, False, True), (5, 1, "STRASSE", "路", None, False, True), (6, 1, "New", "x", "n", True, True)], "id long, project_id long, source_term string, target_term string, note string, case_sensitive boolean, enabled boolean")
+    lists = G.term_lists(s, g)
+    assert lists.columns == ["id", "terms"]
+    assert {r["id"]: [t["term_id"] for t in r["terms"]] for r in lists.collect()} == {1: [2, 6, 9], 2: [5]}
+
+
+def test_contexts_cost_each_text_once(spark, tiny):
+    """Segments are read from where they were written, not worked out at each use."""
+    from foliant import plans
+
+    plan = plans.queries()["build_context"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 12
+    rows = spark.createDataFrame([("中文 ab",), ("",), (None,), ("x" * 9,)], "t string").select(T.estimate_tokens(F.col("t")).alias("n"), T.fits(F.col("t"), 2).alias("f")).collect()
+    assert [(r["n"], r["f"]) for r in rows] == [(3, False), (0, True), (1, True), (3, False)]
