@@ -498,3 +498,28 @@ def test_contexts_cost_each_text_once(spark, tiny):
     assert plan.count("Relation [") <= 12
     rows = spark.createDataFrame([("中文 ab",), ("",), (None,), ("x" * 9,)], "t string").select(T.estimate_tokens(F.col("t")).alias("n"), T.fits(F.col("t"), 2).alias("f")).collect()
     assert [(r["n"], r["f"]) for r in rows] == [(3, False), (0, True), (1, True), (3, False)]
+
+
+def test_waiting_events_are_kept_only_as_far_as_needed(spark, tmp_path):
+    """Within the watermark's span every event waits, but what stands before the last reset is not kept; an event that
+    comes late before it changes the status alone."""
+    minute = lambda k: k // 10
+    events = [event(k, "segment_reset" if k % 20 == 10 else "segment_delta", minute=minute(k)) for k in range(0, 400, 2)]
+    late = [event(31, "segment_done", "old ", minute=38), event(395, minute=38), event(5, "segment_reset", minute=38)]
+    out, held = run_stream(spark, tmp_path, [events, late])
+    assert out[1]["text"] == "".join(f"d{k} " for k in sorted([*range(392, 400, 2), 395]))
+    assert out[1]["status"] == "done" and out[1]["last_id"] == 398
+    assert held < 20
+
+
+def test_needed_events_give_the_same_text():
+    """Folding what is kept and what comes later equals folding everything, whatever the cut."""
+    rng = random.Random(3)
+    kinds = ["segment_delta", "segment_done", "segment_error", "segment_reset", "segment_updated"]
+    for _ in range(300):
+        events = [(k, k, rng.choice(kinds), rng.choice([None, f"d{k}"]), rng.choice([None, None, f"T{k}"]), rng.choice([None, f"s{k}"])) for k in range(12)]
+        first = sorted(rng.sample(events, rng.randint(1, 12)))
+        kept = ST.needed(first)
+        later = [e for e in events if e not in first]
+        assert set(kept) <= set(first) and kept[-1] == first[-1]
+        assert ST.folded("x", "pending", sorted(kept + later)) == ST.folded("x", "pending", sorted(first + later))
