@@ -24,6 +24,13 @@ def select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     return at * 64 + pos
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first value of each run of equal ones, and each value's run."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new], np.cumsum(new) - 1
+
+
 class EliasFano:
     """A non-decreasing sequence of n integers: low bits as they are, high bits in unary."""
 
@@ -56,31 +63,40 @@ class EliasFano:
         return out
 
     def successor(self, targets: np.ndarray) -> np.ndarray:
-        """Index of the first value that isn't below each target; n if there is none. The high bits give the run
-        of values to look at; a run holds a value or two, and long ones are halved."""
-        high = np.minimum(targets >> U(self.low_bits), U(max(0, 64 * len(self.highs) - self.n - 2))).astype(np.int64)
-        first = np.zeros(len(targets), np.int64)
-        some = high > 0
+        """Index of the first value that isn't below each target; n if there is none."""
+        return self._search(targets)[0]
+
+    def _search(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successors, and whether each is the target. The high bits give the values to look at, once for targets beside
+        each other that share them; they hold a value or two, and more are halved."""
+        wanted, where = runs(targets >> U(self.low_bits))
+        high = np.minimum(wanted, U(max(0, 64 * len(self.highs) - self.n - 2))).astype(np.int64)
         inverse = ~self.highs
-        first[some] = select(inverse, self.zeros_before, high[some] - 1) + 1 - high[some]
-        end = select(inverse, self.zeros_before, high) - high
+        begin = np.zeros(len(high), np.int64)
+        some = high > 0
+        begin[some] = select(inverse, self.zeros_before, high[some] - 1) + 1 - high[some]
+        stop = np.where(high.astype(U) == wanted, select(inverse, self.zeros_before, high) - high, -1)
+        begin = np.where(stop < 0, self.n, begin)  # above all values
+        first, end = begin[where], stop[where]
         low = targets & U((1 << self.low_bits) - 1)
-        while True:
-            open_ = np.flatnonzero(first < end)
-            if not len(open_):
-                return first
+        open_ = np.flatnonzero(first < end)
+        while len(open_):
             mid = (first[open_] + end[open_]) // 2
             less = self._low(mid) < low[open_]
             first[open_] = np.where(less, mid + 1, first[open_])
             end[open_] = np.where(less, end[open_], mid)
+            open_ = open_[first[open_] < end[open_]]
+        found = np.flatnonzero(first < stop[where])
+        hit = np.zeros(len(targets), bool)
+        hit[found] = self._low(first[found]) == low[found]
+        return first, hit
 
     def find(self, targets: np.ndarray) -> np.ndarray:
         """Index of each target, -1 where the sequence lacks it."""
         if not self.n:
             return np.full(len(targets), -1)
-        at = self.successor(targets)
-        hit = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(hit) == targets), hit, -1)
+        at, hit = self._search(targets)
+        return np.where(hit, at, -1)
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits, len(self.lows), len(self.highs)], "<u8"), self.lows, self.highs]
@@ -108,7 +124,7 @@ class Trie:
         out = np.full(len(contexts), missing, np.uint8)
         if not self.contexts.n:
             return out
-        keys, where = np.unique(contexts, return_inverse=True)
+        keys, where = runs(contexts)
         rank = self.contexts.find(keys)
         known = np.flatnonzero(rank >= 0)
         first = np.zeros(len(keys), np.int64)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import Trie
+from .eliasfano import Trie, runs
 from .ragged import blocks, row_sums, texts_of
 from .store import partitions, small_batches, written
 
@@ -105,6 +105,21 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(29))) >> U(32)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, none negative, in order, and the place of each key among them. Keys are sorted together with where
+    they stand, as one number, wherever both fit in it."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        return np.unique(keys, return_inverse=True)
+    both = keys.astype(U) << U(bits) | np.arange(len(keys), dtype=U)
+    both.sort()
+    at = (both & U((1 << bits) - 1)).astype(np.int64)
+    values, run = runs((both >> U(bits)).astype(np.int64))
+    where = np.empty(len(keys), np.int64)
+    where[at] = run
+    return values, where
+
+
 def held(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
@@ -211,7 +226,8 @@ def _answers(table: DataFrame, *names: str, level: str = "") -> DataFrame:
 
 
 class Grams:
-    """A chunk's distinct grams of one order: ``first`` is a gram's context and ``last`` its ending, by number.
+    """A chunk's distinct grams of one order: ``first`` is a gram's context and ``last`` its ending, by number. They stand in
+    the order of the contexts' and the last words' corpus numbers, since a chunk's words do.
 
     ``keys``, ``totals`` and ``alone`` are the contexts' words as one number, training counts in the corpus, and whether no other
     chunk has them; ``ids``, ``end_alone`` and ``lower`` the endings' last words, whether no other chunk has the ending,
@@ -237,7 +253,7 @@ class Grams:
         spread = np.minimum(np.maximum(share, 1), parts)[first]
         home = (mixed(self.keys) * U(parts) >> U(32)).astype(np.int64)[first]
         holder = (home + mixed(ids).astype(np.int64) % spread) % parts
-        order = np.lexsort((ids, self.keys[first], holder))
+        order = np.argsort(holder.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
         return at[order], np.searchsorted(holder[order], np.arange(parts + 1))
 
     def messages(self, chunk: int, tokens: int, parts: int) -> list[tuple]:
@@ -256,8 +272,7 @@ class Grams:
         got, total, alone = np.full(len(self.first), MISSING, np.uint8), self.counts.astype(np.int64), np.ones(len(self.first), bool)
         home = np.flatnonzero(self.at_home)
         contexts, ids = self.keys[self.first[home]], self.ids[self.last[home]]
-        order = np.lexsort((ids, contexts))
-        order = order[self.counts[home[order]] > 0]
+        order = np.flatnonzero(self.counts[home] > 0)
         known = home[order]
         p = smoothed(self.counts[known], self.lower[self.last[known]], self.totals[self.first[known]])
         got[home] = trie_of(contexts[order], ids[order], p).codes_of(contexts, ids, MISSING)
@@ -282,16 +297,19 @@ def trie_of(contexts: np.ndarray, ids: np.ndarray, p: np.ndarray) -> Trie:
 
 
 class Chunk:
-    """A chunk with the corpus counts of its words."""
+    """A chunk with the corpus counts of its words, which are numbered by their corpus numbers' order."""
 
     def __init__(self, row: dict, tokens: int, types: int, parts: int):
         self.row, self.tokens, self.types, self.parts = row, tokens, types, parts
         self.sizes = widen(row["sizes"], np.uint32).astype(np.int64)
-        self.words = widen(row["words"], U)
-        self.numbers = by_count(widen(row["counts"], np.uint32))[widen(row["numbers"], np.uint32)]
-        marked = np.concatenate([widen(c, U) for c in row["all_counts"]])
+        words, ids = widen(row["words"], U), np.concatenate([widen(c, np.uint32) for c in row["all_ids"]])
+        order = np.argsort(ids)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.words, self.ids, self.end = words[order], ids[order], int(place[np.searchsorted(words, U(END))])
+        self.numbers = place[by_count(widen(row["counts"], np.uint32))][widen(row["numbers"], np.uint32)]
+        marked = np.concatenate([widen(c, U) for c in row["all_counts"]])[order]
         self.counts, self.alone = (marked >> U(1)).astype(np.float64), (marked & U(1)) == 0
-        self.ids = np.concatenate([widen(c, np.uint32) for c in row["all_ids"]])
         self.logs = np.log10((self.counts + ADD) / (tokens + ADD * (types + 1)))
         self.docs = row["docs"]
         self.held = np.array([held(k) for k in self.docs], bool)
@@ -301,11 +319,11 @@ class Chunk:
     @cached_property
     def pairs(self) -> Grams:
         """A text's start is a context as frequent as the end."""
-        width, end = len(self.words), int(np.searchsorted(self.words, U(END)))
+        width, end = len(self.words), self.end
         before = np.empty_like(self.numbers)
         before[1:] = self.numbers[:-1]
         before[self.starts] = width
-        keys, where = np.unique(before * width + self.numbers, return_inverse=True)
+        keys, where = distinct(before * width + self.numbers)
         counts = np.bincount(where, self.train, len(keys))
         contexts = (np.append(self.ids, np.uint32(START)).astype(U), np.append(self.counts, self.counts[end]), np.append(self.alone, self.alone[end]))
         endings = (self.ids, self.alone, self.logs)
@@ -326,7 +344,7 @@ class Chunk:
     def triples(self) -> Grams:
         two, (logs, totals, alone) = self.pairs, self.pair_logs
         at, n = np.flatnonzero(self.later), len(two.first)
-        keys, where = np.unique(two.where[at - 1] * n + two.where[at], return_inverse=True)
+        keys, where = distinct(two.where[at - 1] * n + two.where[at])
         counts = np.bincount(where, self.train[at], len(keys))
         contexts = (two.keys[two.first] << U(32) | self.ids[two.last].astype(U), totals, alone)
         return Grams(contexts, (two.ids[two.last], alone, logs), keys // n, keys % n, counts, where)
@@ -351,17 +369,23 @@ def gram_codes(joined: DataFrame, tokens: int, types: int, parts: int, grams: Ca
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         sizes, pieces = [], []
+        # contexts by their place among all: a gram is then one number, and grams are sorted once
+        known, place = np.unique(np.concatenate([widen(r["contexts"], U) for r in rows]), return_inverse=True)
+        taken = 0
         for r in rows:
-            runs = widen(r["runs"], np.uint32)
-            pieces.append((np.repeat(widen(r["contexts"], U), runs), np.repeat(widen(r["totals"], U), runs), *(widen(r[k], kind) for k, kind in (("words", np.uint32), ("counts", np.uint32), ("lower", np.uint8)))))
+            times = widen(r["runs"], np.uint32)
+            pieces.append((np.repeat(place[taken : taken + len(times)], times), np.repeat(widen(r["totals"], U), times), *(widen(r[k], kind) for k, kind in (("words", np.uint32), ("counts", np.uint32), ("lower", np.uint8)))))
             sizes.append(len(pieces[-1][2]))
-        contexts, totals, words, counts, lower = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        del pieces
-        order = np.lexsort((words, contexts))
-        c, w = contexts[order], words[order]
+            taken += len(times)
+        places, totals, words, counts, lower = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        del pieces, place
+        contexts, packed = known[places], places.astype(U) << U(32) | words.astype(U)
+        order = np.argsort(packed)
+        packed = packed[order]
         new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        new[1:] = packed[1:] != packed[:-1]
         at = order[new]
+        del places, packed
         sums = np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.int64)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1

@@ -712,3 +712,35 @@ def test_pages_table(spark):
     assert pages.extract(df.limit(0)).count() == 0
     odd = df.selectExpr("page_id", "url", "html", "'x' AS text", "1 AS n_chars")
     assert pages.extract(odd).columns == ["page_id", "url", "text", "n_chars"] and pages.extract(odd).count() == 3
+
+
+def test_lm_sorts_grams_once():
+    """Distinct keys come with their places, also where a key and its place don't fit one number; messages of a chunk are in
+    the order of contexts and words without being sorted again, and a search asks once for keys beside each other."""
+    import numpy as np
+
+    from foliant.llm import eliasfano, lm
+
+    rng = np.random.default_rng(5)
+    for top in (1, 50, 1 << 40, (1 << 62) - 1):
+        keys = rng.integers(0, top, 4000)
+        for got, want in zip(lm.distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert (got == want).all()
+    assert [len(x) for x in lm.distinct(np.zeros(0, np.int64))] == [0, 0]
+    for top in (300, 1 << 20, 1 << 50):
+        values = np.unique(rng.integers(0, top, 2000)).astype(np.uint64)
+        targets = np.concatenate([values, rng.integers(0, top * 4, 3000).astype(np.uint64), [np.uint64(0)]])
+        for t in (targets, np.sort(targets)):
+            seq = eliasfano.EliasFano.of(values)
+            at = np.searchsorted(values, t)
+            assert (seq.successor(t) == at).all()
+            assert (seq.find(t) == np.where(np.isin(t, values), at, -1)).all()
+    words = np.sort(rng.integers(0, 1 << 60, 500).astype(np.uint64))
+    words[0], words = np.uint64(lm.END), np.sort(np.append(words[1:], np.uint64(lm.END)))
+    ids = rng.permutation(500).astype(np.uint32)
+    numbers = rng.integers(0, 500, 9000).astype(np.uint32)
+    counts = np.bincount(numbers, minlength=500).astype(np.uint32)
+    row = {"sizes": lm.squeeze(np.array([9000], np.uint32)), "words": lm.squeeze(words), "counts": lm.squeeze(counts), "numbers": lm.squeeze(numbers), "docs": [1], "all_counts": [lm.squeeze(lm.flagged(counts, np.full(500, 2)))], "all_ids": [lm.squeeze(ids)]}
+    pairs = lm.Chunk(row, 9000, 500, 4).pairs
+    gram = pairs.keys[pairs.first] << np.uint64(32) | pairs.ids[pairs.last].astype(np.uint64)
+    assert (gram[1:] > gram[:-1]).all()
