@@ -34,40 +34,50 @@ def rolling_context(segments: DataFrame, n: int = 3) -> DataFrame:
     return recent(segments, n).select("id", pairs.alias("previous"))
 
 
-def recent(segments: DataFrame, n: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def recent(segments: DataFrame, n: int = 3, keep: tuple[str, ...] = (), asked: DataFrame | None = None) -> DataFrame:
     """(id, keep.., previous) as in ``rolling_context``, null without any, each pair with what it costs in a context: ``c``
     CJK characters of ``n``. Runs of ordinals are sorted each by itself, and the few pairs that a run's first rows take
     from the runs before it are joined by run: a text is shuffled once and costed once, and no list grows with the
-    project."""
+    project. With ``asked`` (id, project_id, ord, keep..) only its rows get pairs: they stand among those that can be one,
+    and neither other texts nor other rows' pairs move."""
     if not 0 <= n <= 12:
         raise ValueError("0 to 12 previous segments")
     ready = T.completed(F.col("status")) & F.col("target_text").isNotNull()
     s, t = F.col("source_text"), F.col("target_text")
     pair = F.struct(F.col("ord").alias("o"), s.alias("s"), t.alias("t"), (cjk(s) + cjk(t) + CJK_LABELS).cast("long").alias("c"), (F.length(s) + F.length(t) + len(LABELS)).cast("long").alias("n"))
-    rows = segments.select("id", "project_id", "ord", *keep, F.floor(F.col("ord") / RUN).alias("run"), F.when(ready, pair).alias("_pair"))
+    run = F.floor(F.col("ord") / RUN).alias("run")
+    place = ["id", "project_id", "ord"]
+    slim = segments.select(*place, run, ready.alias("ready"))
+    rows = segments.select(*place, *keep, run, F.when(ready, pair).alias("_pair"), F.lit(True).alias("_asked")) if asked is None else None
+    if rows is None:
+        made = segments.where(ready).select(*place, run, pair.alias("_pair"))
+        kind = made.schema["_pair"].dataType
+        rows = made.select(*place, *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in keep], "run", "_pair", F.lit(False).alias("_asked"))
+        rows = rows.unionByName(asked.select(*place, *keep, run, F.lit(None).cast(kind).alias("_pair"), F.lit(True).alias("_asked")))
+        slim = slim.where("ready").unionByName(asked.select(*place, run, F.lit(False).alias("ready")))
     if n == 0:
-        return rows.select("id", *keep, F.array().cast(f"array<{rows.schema['_pair'].dataType.simpleString()}>").alias("previous"))
+        return rows.where("_asked").select("id", *keep, F.array().cast(f"array<{rows.schema['_pair'].dataType.simpleString()}>").alias("previous"))
     rows = rows.repartition("project_id", "run")
-    lags = [F.expr(f"lag(_pair, {k}) IGNORE NULLS OVER (PARTITION BY project_id, run ORDER BY ord, id)") for k in range(n, 0, -1)]
-    wide = rows.withColumn("_own", F.array(*lags)).drop("_pair")
-    wide = wide.join(_carried(segments.select("id", "project_id", "ord", ready.alias("ready"), s, t), n, pair), ["project_id", "run"], "left")
+    lags = [F.expr(f"lag(_pair, {k}) IGNORE NULLS OVER (PARTITION BY project_id, run ORDER BY ord, id, _asked DESC)") for k in range(n, 0, -1)]
+    wide = rows.withColumn("_own", F.array(*lags)).where("_asked").drop("_pair", "_asked")
+    wide = wide.join(_carried(segments.where(ready), slim, n, pair), ["project_id", "run"], "left")
     every = F.concat(F.coalesce("_carried", F.array().cast(wide.schema["_own"].dataType)), F.filter("_own", lambda p: p.isNotNull()))
     last = F.filter(F.slice(every, F.greatest(F.size(every) - n + 1, F.lit(1)), n), lambda p: p["t"] != "")
     return wide.select("id", *keep, F.when(F.size(last) > 0, last).alias("previous"))
 
 
-def _carried(segments: DataFrame, n: int, pair: Column) -> DataFrame:
+def _carried(ready: DataFrame, slim: DataFrame, n: int, pair: Column) -> DataFrame:
     """(project_id, run, _carried): the last ``n`` pairs before each run. They are among the last ``n`` of the runs before it,
-    which are numbered through in each project; their texts alone are fetched."""
-    slim = segments.select("id", "project_id", "ord", "ready", F.floor(F.col("ord") / RUN).alias("run"))
+    which are numbered through in each project; their texts alone are fetched, by broadcast, as they are ``n`` for ``RUN``
+    ordinals at the most."""
     back = Window.partitionBy("project_id", "run").orderBy(F.desc("ord"), F.desc("id"))
     ends = slim.where("ready").withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= n).select("id", "project_id", "run", "ord")
     runs = slim.groupBy("project_id", "run").agg(F.least(F.count_if("ready"), F.lit(n)).alias("_n"))
     ended = Window.partitionBy("project_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_to", F.coalesce(F.sum("_n").over(ended), F.lit(0))).where("_to > 0")
     wanted = runs.select("project_id", "run", F.explode(F.sequence(F.greatest(F.col("_to") - n + 1, F.lit(1)), F.col("_to"))).alias("_k"))
-    ends = ends.withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("ord", "id"))).select("id", "project_id", "_k")
-    texts = segments.where("ready").join(ends.select("id", "_k"), "id").select("project_id", "_k", pair.alias("_pair"))
+    ends = ends.withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("ord", "id"))).select("id", "_k")
+    texts = ready.join(F.broadcast(ends), "id").select("project_id", "_k", pair.alias("_pair"))
     return wanted.join(texts, ["project_id", "_k"]).groupBy("project_id", "run").agg(F.array_sort(F.collect_list("_pair")).alias("_carried"))
 
 
@@ -194,12 +204,13 @@ def user_message(context: Column, text: Column) -> Column:
 
 
 def build_requests(leaders: DataFrame, segments: DataFrame, chapters: DataFrame, terms: DataFrame, prompts: DataFrame, n: int = 3, most: int = 1200) -> DataFrame:
-    """A request for each leader: prompt, context, masked text, message and its tokens. ``prompts`` has (id, prompt,
-    guidance) by project; leaders carry source_lang, target_lang and, for masking by kind, source_type, part_count and
-    inline_slots."""
+    """A request for each leader: prompt, context, whether that is ``complete``, masked text, message and its tokens.
+    ``prompts`` has (id, prompt, guidance) by project; leaders carry ord, source_lang, target_lang and, for masking by kind,
+    source_type, part_count and inline_slots. Leaders get what is short before they meet the texts of others."""
     matches = G.term_lists(leaders.select("id", "project_id", "source_text"), terms)
-    wide = leaders.join(matches, "id", "left").join(recent(segments, n), "id", "left")
-    wide = wide.join(chapters.select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
+    own = leaders.join(matches, "id", "left").join(chapters.select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left")
+    asked = own.select("id", "project_id", "ord", F.struct(*own.columns).alias("_own_row"))
+    wide = recent(segments, n, ("_own_row",), asked).select("_own_row.*", "previous")
     wide = wide.join(prompts.select(F.col("id").alias("project_id"), "prompt", "guidance"), "project_id", "left")
     for name, kind in (("source_type", "string"), ("part_count", "int"), ("inline_slots", "array<struct<start:int,end:int>>")):
         if name not in wide.columns:
@@ -207,5 +218,5 @@ def build_requests(leaders: DataFrame, segments: DataFrame, chapters: DataFrame,
     wide = masked(build_context(wide, most)).withColumnRenamed("masked", "m")
     system = render_prompt(F.col("prompt"), F.col("guidance"), F.col("source_lang"), F.col("target_lang"))
     wide = T.once(wide, "system_prompt", system)
-    out = wide.select("id", "project_id", "system_prompt", "context", F.col("m.text").alias("text"), F.col("m.replacements").alias("replacements"), user_message(F.col("context"), F.col("m.text")).alias("message"))
+    out = wide.select("id", "project_id", "system_prompt", "context", "complete", F.col("m.text").alias("text"), F.col("m.replacements").alias("replacements"), user_message(F.col("context"), F.col("m.text")).alias("message"))
     return out.withColumn("tokens", T.estimate_tokens(F.col("system_prompt")) + T.estimate_tokens(F.col("message")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from ..functions import text as T
+from ..sources.scratch import written
 from .search import indexed_search
 from .spread import salted_join
 
@@ -67,7 +68,8 @@ def _dealt(segments: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]
     shards = F.ceil(F.count("*") / TERMS).cast("int")
     splits = F.ceil(F.sum(F.length("source_text")) / CHARS + F.lit(1e-9)).cast("int")
     shape = live.groupBy("project_id").agg(shards.alias("_shards")).join(segments.groupBy("project_id").agg(splits.alias("_splits")), "project_id")
-    shape = shape.withColumn("_splits", F.coalesce("_splits", F.lit(1)))
+    # a row a project: written, so that its size is known before texts are shuffled to meet it
+    shape = written(shape.withColumn("_splits", F.coalesce("_splits", F.lit(1))), "shape")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = salted_join(segments.where("source_text IS NOT NULL"), shape, "project_id", "id")
     left = left.withColumn("_split", F.pmod(F.xxhash64("id", "source_text"), F.col("_splits")).cast("int")).withColumn("_shard", upto("_shards")).drop("_splits", "_shards")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import tm as M
-from ..sources.scratch import shared
+from ..sources.scratch import written
 
 NOW = "2026-06-01T00:00:00.000Z"
 STATES = ["pending", "processing", "done", "done", "error", "reviewed", "done"]
@@ -85,9 +85,7 @@ class Base:
     def languages(self) -> DataFrame:
         """Segments with their languages, written once: queries on the memory read them several times."""
         if "languages" not in self.kept:
-            made, path = M.with_languages(self.segments(), self.projects()), shared(self.spark, "ledger")
-            made.write.parquet(path)
-            self.kept["languages"] = self.spark.read.schema(made.schema).parquet(path)
+            self.kept["languages"] = written(M.with_languages(self.segments(), self.projects()), "ledger")
         return self.kept["languages"]
 
     def memory(self) -> DataFrame:

@@ -474,16 +474,10 @@ def glossary_section(b):
     return g.select("project_id", C.glossary_section(F.col("t")).alias("section"))
 
 
-def _contexts(b, only=None):
-    """The contexts of all segments, or of those with the ids in ``only``; segments are worked out once."""
+def _contexts(b):
+    """The contexts of all segments, which are worked out once."""
     s = written(b.segments().select("id", "project_id", "chapter_id", "ord", "status", "source_text", "target_text"), "segments")
-    if only is not None:
-        s = s.join(only.withColumn("_asked", F.lit(True)), "id", "left")
-    asked = s if only is None else s.where("_asked")
-    terms = G.term_lists(asked, b.glossary())
-    keep = ("chapter_id", "terms") if only is None else ("chapter_id", "terms", "_asked")
-    frame = C.recent(s.join(terms, "id", "left"), keep=keep)
-    frame = frame if only is None else frame.where("_asked")
+    frame = C.recent(s.join(G.term_lists(s, b.glossary()), "id", "left"), keep=("chapter_id", "terms"))
     return C.build_context(frame.join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left"))
 
 
@@ -577,13 +571,12 @@ def _prompt_sql(prompt: str, source: str) -> str:
 def build_requests(b):
     """Every request with its prompt, its context where all of it fits, the masked text of plain ones, and the message made
     of both."""
-    prompts = C.resolve_prompt(b.projects(), _templates(b))
-    kinds = b.projects().select(F.col("id").alias("project_id"), "source_type")
-    leaders = written(_leaders(b), "leaders")
-    made = C.build_requests(leaders.join(kinds, "project_id"), b.segments(), b.chapters(), b.glossary(), prompts).join(kinds, "project_id")
-    fits = _contexts(b, leaders.select("id")).select("id", F.col("complete").alias("fits"))
+    kinds = written(b.projects().select(F.col("id").alias("project_id"), "source_type"), "kinds")  # few rows, and known to be
+    prompts = written(C.resolve_prompt(b.projects(), _templates(b)), "prompts")
+    leaders = written(_leaders(b).join(kinds, "project_id"), "leaders")
+    made = C.build_requests(leaders, b.languages(), b.chapters(), b.glossary(), prompts).join(kinds, "project_id")
     message = F.concat(F.lit(f"{C.CONTEXT}\n"), F.coalesce(F.nullif(T.strip(F.col("context")), F.lit("")), F.lit(C.NO_CONTEXT)), F.lit(f"\n\n{C.TASK}\n"), F.col("text"))
-    return made.join(fits, "id").select("id", "project_id", "system_prompt", F.when(F.col("fits"), F.col("context")).alias("context"), F.when(F.col("source_type") == "epub", F.col("text")).alias("plain_text"), (F.col("message") == message).alias("is_message"))
+    return made.select("id", "project_id", "system_prompt", F.when(F.col("complete"), F.col("context")).alias("context"), F.when(F.col("source_type") == "epub", F.col("text")).alias("plain_text"), (F.col("message") == message).alias("is_message"))
 
 
 # --- progress and cost ------------------------------------------------------------------------------------------------------

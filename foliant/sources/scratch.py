@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,39 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it has ended: they stay else until the driver happens to collect its
+    garbage, and a job of several tables keeps those of all."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table: computed once, and safe from lost executors."""
+    """``df`` as a Parquet table: computed once, and safe from lost executors. Its shuffles go when it is there."""
     path = shared(df.sparkSession, name)
-    df.write.parquet(path)
+    with passing_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place(table: DataFrame) -> str:
+    """The folder of a table that ``written`` made."""
+    return next(d for f in table.inputFiles() if re.search(r"-[0-9a-f]{32}$", d := f.rsplit("/", 1)[0]))
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made, when nothing will read it again."""
+    spark = table.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(place(table))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_batches(spark: SparkSession, most: int = 4) -> None:
     """Arrow batches of at most ``most`` MB from here on, where the session allows larger ones: what Python makes of whole
     documents takes many times their size, and 10,000 documents are a batch else."""

@@ -4,6 +4,8 @@ import hashlib
 import io
 import os
 import random
+import tempfile
+import time
 import zipfile
 from datetime import datetime, timedelta
 
@@ -22,6 +24,7 @@ from foliant.operators import tm as M
 from foliant.sources import books as K
 from foliant.sources import documents as D
 from foliant.sources import ledger as LD
+from foliant.sources import scratch
 from foliant.streaming import events as ST
 
 SEGMENT = "id long, project_id long, chapter_id long, ord long, stable_key string, source_text string, target_text string, src_hash string, status string, error_msg string, token_in long, token_out long, provider string, updated_at string"
@@ -541,3 +544,36 @@ def test_later_waves_read_what_is_open_alone(spark, tmp_path, monkeypatch):
     out = {r["id"]: (r["outcome"], r["wave"]) for r in M.translate_waves(spark.read.parquet(path), answer).collect()}
     assert out == {k: ("error", k // 2 + 1) if k < 4 else ("done", 3) if k < 6 else ("hit", None) for k in range(8)}
     assert reads == [True, False, False]
+
+
+def test_asked_rows_get_their_own_pairs(spark, monkeypatch):
+    """Rows that are asked for stand among the pairs alone; done ones among them don't get themselves."""
+    monkeypatch.setattr(C, "RUN", 3)
+    rng = random.Random(9)
+    rows = [(1000 * p + k, p, k, rng.choice(["done", "pending", "error"]), f"s{k}", rng.choice(["", f"t{k}", None])) for p in (1, 2) for k in range(30)]
+    frame = spark.createDataFrame(rows, "id long, project_id long, ord long, status string, source_text string, target_text string")
+    asked = frame.where("id % 3 = 1").select("id", "project_id", "ord", F.struct("status", "id").alias("own"))
+    for n in (0, 2, 3):
+        want = {r["id"]: r["previous"] for r in C.recent(frame, n).where("id % 3 = 1").collect()}
+        got = C.recent(frame, n, ("own",), asked).collect()
+        assert {r["id"]: r["previous"] for r in got} == want and len(got) == len(want)
+        assert all(r["own"]["id"] == r["id"] for r in got)
+
+
+def test_written_tables_keep_no_shuffle(spark, tmp_path, monkeypatch):
+    """What a table was shuffled by goes when the table is there, and a table that nothing reads again goes as a whole."""
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    roots = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for root in roots for _, _, names in os.walk(root) for f in names if f.startswith("shuffle_")}
+    before = files()
+    made = scratch.written(spark.range(5000).repartition(7, "id"), "made")
+    for _ in range(40):
+        if files() <= before:
+            break
+        time.sleep(0.25)
+    assert files() <= before and made.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    folder = scratch.place(made).removeprefix("file:")
+    assert os.path.isdir(folder)
+    scratch.remove(made)
+    assert not os.path.exists(folder)
