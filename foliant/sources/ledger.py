@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ledger import ledger_merge
-from .scratch import shared, written
+from .scratch import passing_shuffles, place, remove, written
 
 GROUP = "project_group"
 GROUPS, BUCKETS = 64, 64
 #: Bytes of Parquet that a bucket holds at the most when a ledger is made.
 LARGEST = 32 << 20
+#: Projects of one import that are broadcast at the most: 8 MB of numbers.
+FEW = 1_000_000
 
 
 def group_of(project_id: Column, groups: int) -> Column:
@@ -48,7 +50,7 @@ def open_ledger(spark: SparkSession, path: str, schema: T.StructType | None = No
     if not spark.catalog.tableExists(name):  # the table is a name for the files: making it writes and removes nothing
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(shape["schema"])))
         key = "project_id, stable_key"
-        spark.sql(f"CREATE TABLE {name} ({fields}, {GROUP} INT) USING parquet PARTITIONED BY ({GROUP}) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {shape['buckets']} BUCKETS LOCATION '{path}/rows'")
+        spark.sql(f"CREATE TABLE {name} ({fields}, {GROUP} INT) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({GROUP}) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {shape['buckets']} BUCKETS LOCATION '{path}/rows'")
         if _there(spark, f"{path}/rows"):
             spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return name, shape["groups"], shape["buckets"]
@@ -58,48 +60,50 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(open_ledger(spark, path)[0]).drop(GROUP)
 
 
-def _touched(frame: DataFrame) -> list[int]:
-    return sorted(r[GROUP] for r in frame.select(GROUP).distinct().collect())  # GROUPS at the most
+def _projects(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The projects of ``rows``, written, and their groups, which are GROUPS at the most. Up to ``FEW`` are for broadcast: the
+    stored rows that meet them stay in their buckets."""
+    found = written(rows.select("project_id", GROUP).distinct(), "projects")
+    touched = sorted(r[GROUP] for r in found.select(GROUP).distinct().collect())
+    return F.broadcast(found.select("project_id")) if found.count() <= FEW else found.select("project_id"), touched
 
 
-def _replace(spark: SparkSession, ledger: tuple[str, int, int], rows: DataFrame, touched: list[int]) -> None:
-    """The folders of the groups ``touched`` get ``rows``, which were written elsewhere before. Spark fills new folders
-    and puts them in place when all tasks are done, so a write that fails leaves what was there."""
+def _replace(spark: SparkSession, ledger: tuple[str, int, int], projects: DataFrame, touched: list[int], rows: DataFrame) -> None:
+    """``projects``, all in the groups ``touched``, hold ``rows`` from now on, which were written elsewhere before and go to
+    their buckets. The others' rows are read in their buckets from the very folders that are filled anew and don't move
+    between tasks. Spark fills new folders and puts them in place when all tasks are done, so a write that fails leaves
+    what was there."""
     name, _, buckets = ledger
     columns = spark.table(name).columns
-    mode = "spark.sql.sources.partitionOverwriteMode"  # the table's folders that get rows are replaced, no others
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
+    others = spark.table(name).where(F.col(GROUP).isin(touched)).join(projects, "project_id", "left_anti").select(*columns)
+    if projects.count() > FEW:  # too many for broadcast, so the rows that they met have left their buckets
+        others = others.repartition(buckets, "project_id", "stable_key")
+    both = others.unionByName(rows.select(*columns).repartition(buckets, "project_id", "stable_key"))
+    # folders that get rows are replaced, no others; a task reads a bucket's files together, so they don't get more
+    conf = {"spark.sql.sources.partitionOverwriteMode": "dynamic", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
     try:
-        rows.select(*columns).repartition(buckets, "project_id", "stable_key").write.mode("overwrite").insertInto(name)
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        with passing_shuffles(spark):
+            both.write.mode("overwrite").insertInto(name)
     finally:
-        spark.conf.set(mode, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     spark.catalog.refreshTable(name)
-    left = set(_touched(rows))
-    for g in touched:
-        if g not in left:  # nothing is left of this group
-            place = spark._jvm.org.apache.hadoop.fs.Path(f"{_location(spark, name)}/{GROUP}={g}")
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({GROUP} = {g})")
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _location(spark: SparkSession, name: str) -> str:
-    return next(r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r["col_name"] == "Location")
 
 
 def write_ledger(rows: DataFrame, path: str, groups: int = GROUPS, buckets: int = BUCKETS) -> None:
     """The projects in ``rows`` hold ``rows`` from now on, all other projects what they held. The first ``rows`` make the
     ledger: with ``buckets``, or as many more as keep each of them, which is a task's share, within ``LARGEST``."""
     spark = rows.sparkSession
-    incoming = shared(spark, "incoming")
-    rows.write.parquet(incoming)
-    made = spark.read.schema(rows.schema).parquet(incoming)
-    ledger = open_ledger(spark, path, rows.schema, groups, max(buckets, -(-_size(spark, incoming) // LARGEST)))
+    made = written(rows, "incoming")
+    ledger = open_ledger(spark, path, rows.schema, groups, max(buckets, -(-_size(spark, place(made)) // LARGEST)))
     new = made.withColumn(GROUP, group_of(F.col("project_id"), ledger[1]))
-    touched = _touched(new)
-    stored = spark.table(ledger[0]).where(F.col(GROUP).isin(touched))
-    others = stored.join(new.select("project_id").distinct(), "project_id", "left_anti")
-    _replace(spark, ledger, written(others.unionByName(new), "replaced"), touched)
+    projects, touched = _projects(new)
+    _replace(spark, ledger, projects, touched, new)
+    remove(made)
+    remove(projects)
 
 
 def stored_side(spark: SparkSession, path: str, projects: DataFrame, touched: list[int]) -> DataFrame:
@@ -112,11 +116,12 @@ def merge_ledger(spark: SparkSession, path: str, drafts: DataFrame, now: str) ->
     buckets. Gives the merged rows with their actions."""
     ledger = open_ledger(spark, path)
     new = written(drafts.withColumn(GROUP, group_of(F.col("project_id"), ledger[1])), "incoming")
-    touched, projects = _touched(new), new.select("project_id").distinct()
+    projects, touched = _projects(new)
     merged = written(ledger_merge(stored_side(spark, path, projects, touched), new.drop(GROUP), now), "merged")
+    remove(new)
     columns = [c for c in spark.table(ledger[0]).columns if c != GROUP]
     extra = [F.lit(None).cast(spark.table(ledger[0]).schema[c].dataType).alias(c) for c in columns if c not in merged.columns]
     ours = merged.where("action <> 'delete'").select("*", *extra).select(*columns).withColumn(GROUP, group_of(F.col("project_id"), ledger[1]))
-    others = spark.table(ledger[0]).where(F.col(GROUP).isin(touched)).join(projects, "project_id", "left_anti")
-    _replace(spark, ledger, written(others.unionByName(ours), "replaced"), touched)
+    _replace(spark, ledger, projects, touched, ours)
+    remove(projects)
     return merged

@@ -4,8 +4,8 @@ import hashlib
 import io
 import os
 import random
-import tempfile
 import time
+import uuid
 import zipfile
 from datetime import datetime, timedelta
 
@@ -560,9 +560,8 @@ def test_asked_rows_get_their_own_pairs(spark, monkeypatch):
         assert all(r["own"]["id"] == r["id"] for r in got)
 
 
-def test_written_tables_keep_no_shuffle(spark, tmp_path, monkeypatch):
+def test_written_tables_keep_no_shuffle(spark):
     """What a table was shuffled by goes when the table is there, and a table that nothing reads again goes as a whole."""
-    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
     roots = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for root in roots for _, _, names in os.walk(root) for f in names if f.startswith("shuffle_")}
     before = files()
@@ -577,3 +576,26 @@ def test_written_tables_keep_no_shuffle(spark, tmp_path, monkeypatch):
     assert os.path.isdir(folder)
     scratch.remove(made)
     assert not os.path.exists(folder)
+
+
+def test_merges_leave_what_they_give_alone(spark, tmp_path, monkeypatch):
+    """Of a merge's tables the merged rows stay; stored rows of other projects don't move, and folders don't fill with files,
+    with projects by broadcast and beyond that."""
+    for k, few in enumerate((LD.FEW, 0)):
+        own = tmp_path / str(k)
+        own.mkdir()
+        monkeypatch.setattr(scratch, "shared", lambda _, name, own=own: f"{own}/tables/{name}-{uuid.uuid4().hex}")
+        monkeypatch.setattr(LD, "FEW", few)
+        path, rows = str(own / "ledger"), ledger_rows(spark)
+        LD.write_ledger(rows, path, groups=1, buckets=2)
+        assert list((own / "tables").iterdir()) == []
+        for p in range(5):
+            drafts = rows.where(f"project_id = {p}").select("project_id", "stable_key", "chapter_id", "ord", F.concat("source_text", F.lit("!")).alias("source_text"), F.lit("h").alias("src_hash"))
+            merged = LD.merge_ledger(spark, path, drafts, "now")
+            left = list((own / "tables").iterdir())
+            assert [f.name.split("-")[0] for f in left] == ["merged"] and merged.count() == 50
+            scratch.remove(merged)
+        got = LD.read_ledger(spark, path)
+        assert got.count() == 400 and got.where("source_text LIKE '%!'").count() == 250 == got.where("src_hash = 'h' AND status = 'pending' AND project_id < 5").count()
+        files = [f for g in folders(f"{path}/rows", LD.GROUP) for f in os.listdir(f"{path}/rows/{g}") if f.endswith(".parquet")]
+        assert len(files) <= 4
