@@ -599,3 +599,16 @@ def test_merges_leave_what_they_give_alone(spark, tmp_path, monkeypatch):
         assert got.count() == 400 and got.where("source_text LIKE '%!'").count() == 250 == got.where("src_hash = 'h' AND status = 'pending' AND project_id < 5").count()
         files = [f for g in folders(f"{path}/rows", LD.GROUP) for f in os.listdir(f"{path}/rows/{g}") if f.endswith(".parquet")]
         assert len(files) <= 4
+
+
+def test_a_write_copies_what_comes_alone(spark, tmp_path, monkeypatch):
+    """Stored rows of other projects are never written elsewhere, and what came goes when it is in its place."""
+    real, names = LD.written, []
+    monkeypatch.setattr(scratch, "shared", lambda _, name: f"{tmp_path}/tables/{name}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(LD, "written", lambda df, name: names.append((name, df.count())) or real(df, name))
+    path, rows = str(tmp_path / "ledger"), ledger_rows(spark)
+    LD.write_ledger(rows, path, groups=1, buckets=2)
+    LD.write_ledger(rows.where("project_id = 3 AND ord < 100"), path)
+    assert names == [("incoming", 400), ("projects", 8), ("incoming", 13), ("projects", 1)]
+    assert list((tmp_path / "tables").iterdir()) == []
+    assert LD.read_ledger(spark, path).groupBy("project_id").count().where("count <> 50").collect() == [(3, 13)]
