@@ -60,16 +60,23 @@ def places(text: str, machines: tuple) -> dict[int, list[int]]:
     return {k: sorted(set(v)) for k, v in out.items()}
 
 
-def _dealt(segments: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments and enabled terms by ``GROUPS``. A project's segments are dealt into groups of ``CHARS`` characters and its
-    terms into groups of ``TERMS``; texts of projects without terms are not moved."""
-    live = terms.where(F.col("enabled") & (F.length("source_term") > 0))
-    live = live.select("project_id", F.col("id").alias("term_id"), "source_term", "target_term", "note", "case_sensitive")
+def _shape(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(project_id, _shards, _splits) of projects with terms and segments: into how many groups each is dealt. A row a project:
+    written, so that its size is known before texts are shuffled to meet it."""
     shards = F.ceil(F.count("*") / TERMS).cast("int")
     splits = F.ceil(F.sum(F.length("source_text")) / CHARS + F.lit(1e-9)).cast("int")
-    shape = live.groupBy("project_id").agg(shards.alias("_shards")).join(segments.groupBy("project_id").agg(splits.alias("_splits")), "project_id")
-    # a row a project: written, so that its size is known before texts are shuffled to meet it
-    shape = written(shape.withColumn("_splits", F.coalesce("_splits", F.lit(1))), "shape")
+    shape = terms.groupBy("project_id").agg(shards.alias("_shards")).join(segments.groupBy("project_id").agg(splits.alias("_splits")), "project_id")
+    return written(shape.withColumn("_splits", F.coalesce("_splits", F.lit(1))), "shape")
+
+
+def _live(terms: DataFrame) -> DataFrame:
+    live = terms.where(F.col("enabled") & (F.length("source_term") > 0))
+    return live.select("project_id", F.col("id").alias("term_id"), "source_term", "target_term", "note", "case_sensitive")
+
+
+def _dealt(segments: DataFrame, live: DataFrame, shape: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments and terms by ``GROUPS``. A project's segments are dealt into groups of ``CHARS`` characters and its
+    terms into groups of ``TERMS``; texts of projects without terms are not moved."""
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = salted_join(segments.where("source_text IS NOT NULL"), shape, "project_id", "id")
     left = left.withColumn("_split", F.pmod(F.xxhash64("id", "source_text"), F.col("_splits")).cast("int")).withColumn("_shard", upto("_shards")).drop("_splits", "_shards")
@@ -82,7 +89,8 @@ def term_places(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Segments (id, project_id, source_text and more) with each enabled term of their project that their source holds
     as a substring, and ``starts``, its places. Where a group of segments and one of terms meet, one pass of an automaton
     over each text finds all its terms. Time grows with the texts and what is found, not with texts times terms."""
-    left, right = _dealt(segments, terms)
+    live = _live(terms)
+    left, right = _dealt(segments, live, _shape(segments, live))
     kinds = {f.name: f for f in right.schema.fields}
     schema = ty.StructType([*segments.schema.fields, *(kinds[c] for c in TERM), ty.StructField("starts", ty.ArrayType(ty.IntegerType()))])
     own = segments.columns
@@ -110,12 +118,11 @@ def terms_in(text: str, machines: tuple) -> list[int]:
     return sorted(k for numbers in met.values() for k in numbers)
 
 
-def term_lists(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, terms): of each segment with any the terms of ``glossary_matches``, by their id, in one row. Neither texts nor
-    places leave the task that finds the terms."""
-    left, right = _dealt(segments.select("id", "project_id", "source_text"), terms.where(~T.is_blank(F.col("source_term"))))
+def _listed(left: DataFrame, right: DataFrame, own: list[str], every: bool) -> DataFrame:
+    """``own`` columns and ``terms`` of dealt segments that have any of their group's, or of ``every`` one."""
     names = TERM[:4]
-    schema = f"id {left.schema['id'].dataType.simpleString()}, terms array<struct<{', '.join(f'{c}: {right.schema[c].dataType.simpleString()}' for c in names)}>>"
+    item = f"struct<{', '.join(f'{c}: {right.schema[c].dataType.simpleString()}' for c in names)}>"
+    schema = ty.StructType([*(left.schema[c] for c in own), *ty.StructType.fromDDL(f"terms array<{item}>").fields])
 
     def meet(texts: pa.Table, glossary: pa.Table) -> pa.Table:
         rows, numbers, ends = [], [], [0]
@@ -124,17 +131,47 @@ def term_lists(segments: DataFrame, terms: DataFrame) -> DataFrame:
             machines = automata(tuple(zip(glossary.column("source_term").to_pylist(), glossary.column("case_sensitive").to_pylist(), strict=True)))
             for n, text in enumerate(texts.column("source_text").to_pylist()):
                 found = terms_in(text, machines)
-                if found:
+                if found or every:
                     rows.append(n), numbers.extend(found), ends.append(len(numbers))
+        elif every:
+            rows, ends = list(range(len(texts))), [0] * (len(texts) + 1)
         found = glossary.select(list(names)).take(pa.array(numbers, pa.int64())).combine_chunks()
         items = pa.StructArray.from_arrays([found.column(c).combine_chunks() for c in names], list(names))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=pa.list_(pa.field("element", items.type)))
-        return pa.table([texts.column("id").take(pa.array(rows, pa.int64())), lists], names=["id", "terms"])
+        none = pa.array([a == z for a, z in zip(ends, ends[1:], strict=False)], pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=pa.list_(pa.field("element", items.type)), mask=none)
+        mine = texts.select(own).take(pa.array(rows, pa.int64()))
+        return pa.table([*mine.columns, lists], names=[*own, "terms"])
 
-    lists = left.groupBy(*GROUPS).cogroup(right.groupBy(*GROUPS)).applyInArrow(meet, schema).groupBy("id").agg(F.collect_list("terms").alias("l"))
+    return left.groupBy(*GROUPS).cogroup(right.groupBy(*GROUPS)).applyInArrow(meet, schema)
+
+
+def term_lists(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, terms): of each segment with any the terms of ``glossary_matches``, by their id, in one row. Neither texts nor
+    places leave the task that finds the terms."""
+    live, own = _live(terms.where(~T.is_blank(F.col("source_term")))), segments.select("id", "project_id", "source_text")
+    return _gathered(own, live, _shape(own, live))
+
+
+def _gathered(segments: DataFrame, live: DataFrame, shape: DataFrame) -> DataFrame:
+    lists = _listed(*_dealt(segments, live, shape), ["id"], False).groupBy("id").agg(F.collect_list("terms").alias("l"))
     return lists.select("id", F.when(F.size("l") == 1, F.col("l")[0]).otherwise(F.array_sort(F.flatten("l"))).alias("terms"))
 
 
+def with_terms(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """All of ``segments`` with ``terms`` as in ``term_lists``, null without any. As long as no project has more than one
+    group of terms, a segment comes back whole from the only group that it meets, and neither lists nor texts are
+    shuffled again to meet each other."""
+    live, own = _live(terms.where(~T.is_blank(F.col("source_term")))), segments.columns
+    shape = _shape(segments, live)
+    if (shape.agg(F.max("_shards")).first()[0] or 0) > 1:
+        lists = _gathered(segments.select("id", "project_id", "source_text"), live, shape)
+        return segments.join(lists, "id", "left").select(*own, "terms")
+    dealt = _listed(*_dealt(segments, live, shape), own, True)
+    none = F.lit(None).cast(dealt.schema["terms"].dataType).alias("terms")
+    apart = salted_join(segments, shape.withColumn("_there", F.lit(True)), "project_id", "id", how="left").where("source_text IS NULL OR _there IS NULL")
+    return dealt.unionByName(apart.select(*own, none))
+
+
 def glossary_matches(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """A row for each segment and term, with the places of the term; blank terms never match."""
     return term_places(segments, terms.where(~T.is_blank(F.col("source_term"))))

@@ -10,11 +10,11 @@ SALTS = 32
 HOT, LEAST = 2000, 1000
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``keyed``, which has a row a key and few of them, such as projects. Where Spark
     shuffles, each key is spread over ``salts`` tasks by a hash of ``by``; ``keyed`` is copied as often."""
     many = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [key, "_salt"], how).drop("_salt")
 
 
 def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str = "n", how: str = "left") -> DataFrame:

@@ -24,7 +24,7 @@ from ..sources import books as K
 from ..sources import documents as D
 from ..sources import ledger as LD
 from ..streaming import events as ST
-from ..sources.scratch import shared, written
+from ..sources.scratch import remove, shared, written
 from .base import NON_WS, NOW, WS, Base, normal_sql, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,13 +474,6 @@ def glossary_section(b):
     return g.select("project_id", C.glossary_section(F.col("t")).alias("section"))
 
 
-def _contexts(b):
-    """The contexts of all segments, which are worked out once."""
-    s = written(b.segments().select("id", "project_id", "chapter_id", "ord", "status", "source_text", "target_text"), "segments")
-    frame = C.recent(s.join(G.term_lists(s, b.glossary()), "id", "left"), keep=("chapter_id", "terms"))
-    return C.build_context(frame.join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left"))
-
-
 WHOLE = f"""d AS (SELECT project_id, ord, source_text, target_text, row_number() OVER (PARTITION BY project_id ORDER BY ord) - 1 AS k FROM segment WHERE {DONE} AND target_text IS NOT NULL),
   n AS (SELECT id, project_id, chapter_id, ord, coalesce(count(*) FILTER ({DONE} AND target_text IS NOT NULL) OVER (PARTITION BY project_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM segment),
   h AS (SELECT n.id, '{C.HISTORY}' || chr(10) || string_agg('{C.SOURCE}' || d.source_text || chr(10) || '{C.TARGET}' || d.target_text, chr(10) ORDER BY d.ord) AS history FROM n JOIN d ON d.project_id = n.project_id AND d.k BETWEEN n.r - 3 AND n.r - 1 WHERE d.target_text <> '' GROUP BY 1),
@@ -492,7 +485,11 @@ WHOLE = f"""d AS (SELECT project_id, ord, source_text, target_text, row_number()
 @query("segment glossary chapter", f", {WHOLE} SELECT id, CASE WHEN {TOKENS} <= 1200 THEN text END AS context, true AS fits FROM w")
 def build_context(b):
     """The whole context where all of it fits; beyond that it is cut to what does."""
-    made = _contexts(b)
+    s = b.segments().select("id", "project_id", "chapter_id", "ord", "status", "source_text", "target_text")
+    s = written(s.join(b.chapters().select(F.col("id").alias("chapter_id"), "summary"), "chapter_id", "left").drop("chapter_id"), "segments")
+    rows = written(G.with_terms(s, b.glossary()), "rows")  # whole, before texts are copied into others' contexts
+    remove(s)
+    made = C.build_context(C.recent(rows, keep=("terms", "summary")))
     return made.select("id", F.when(F.col("complete"), F.col("context")).alias("context"), T.fits(F.col("context"), 1200).alias("fits"))
 
 

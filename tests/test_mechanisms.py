@@ -612,3 +612,31 @@ def test_a_write_copies_what_comes_alone(spark, tmp_path, monkeypatch):
     assert names == [("incoming", 400), ("projects", 8), ("incoming", 13), ("projects", 1)]
     assert list((tmp_path / "tables").iterdir()) == []
     assert LD.read_ledger(spark, path).groupBy("project_id").count().where("count <> 50").collect() == [(3, 13)]
+
+
+def test_segments_come_back_with_their_terms(spark, monkeypatch):
+    """Every row once and whole, with or without text, terms or a project that has terms, whether a project's terms are one
+    group or more; only more than one make another shuffle by id."""
+    rows = [(k, k % 3, random.Random(k).choice(["A party in New York", "Straße", "none", "", None]), k * 2) for k in range(40)]
+    s = spark.createDataFrame(rows, "id long, project_id long, source_text string, more long")
+    g = spark.createDataFrame([(9, 1, "art", "艺术", None, False, True), (2, 1, "new york", "纽约", None, False, True), (3, 1, "NEW", "新", None, True, True), (4, 2, " ", "x", None, False, True), (5, 2, "STRASSE", "路", None, False, True), (6, 1, "New", "x", "n", True, True)], "id long, project_id long, source_term string, target_term string, note string, case_sensitive boolean, enabled boolean")
+    for most in (G.TERMS, 2):
+        monkeypatch.setattr(G, "TERMS", most)
+        wide = G.with_terms(s, g)
+        assert wide.columns == [*s.columns, "terms"]
+        assert ("collect_list" in wide._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
+        want = {r["id"]: r["terms"] for r in G.term_lists(s, g).collect()}
+        got = wide.collect()
+        assert sorted(tuple(r)[:4] for r in got) == sorted(rows) and {r["id"]: r["terms"] for r in got if r["terms"] is not None} == want
+        assert len(want) > 5
+    assert all(r["terms"] is None for r in G.with_terms(s, g.limit(0)).collect())
+
+
+def test_contexts_move_whole_rows_once(spark, tiny):
+    """What is left to run after rows have their terms and summaries: one shuffle of texts, by run."""
+    from foliant import plans
+
+    plan = plan_of(plans.queries()["build_context"](spark, tiny))
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("(project_id#" in line and "run#" in line and "REPARTITION" in line for line in moved) == 1
+    assert "collect_list(terms" not in plan and "FlatMapCoGroupsInArrow" not in plan
