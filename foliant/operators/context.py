@@ -68,15 +68,16 @@ def recent(segments: DataFrame, n: int = 3, keep: tuple[str, ...] = (), asked: D
 
 def _carried(ready: DataFrame, slim: DataFrame, n: int, pair: Column) -> DataFrame:
     """(project_id, run, _carried): the last ``n`` pairs before each run. They are among the last ``n`` of the runs before it,
-    which are numbered through in each project; their texts alone are fetched, by broadcast, as they are ``n`` for ``RUN``
-    ordinals at the most."""
+    which are numbered through in each project; their texts alone are fetched, by broadcast: only those before
+    another run are wanted, ``n`` for ``RUN`` ordinals, and none of a project within one run."""
     back = Window.partitionBy("project_id", "run").orderBy(F.desc("ord"), F.desc("id"))
     ends = slim.where("ready").withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= n).select("id", "project_id", "run", "ord")
     runs = slim.groupBy("project_id", "run").agg(F.least(F.count_if("ready"), F.lit(n)).alias("_n"))
     ended = Window.partitionBy("project_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_to", F.coalesce(F.sum("_n").over(ended), F.lit(0))).where("_to > 0")
     wanted = runs.select("project_id", "run", F.explode(F.sequence(F.greatest(F.col("_to") - n + 1, F.lit(1)), F.col("_to"))).alias("_k"))
-    ends = ends.withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("ord", "id"))).select("id", "_k")
+    ends = ends.withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("ord", "id"))).select("id", "project_id", "_k")
+    ends = ends.join(wanted.select("project_id", "_k"), ["project_id", "_k"], "left_semi").select("id", "_k")
     texts = ready.join(F.broadcast(ends), "id").select("project_id", "_k", pair.alias("_pair"))
     return wanted.join(texts, ["project_id", "_k"]).groupBy("project_id", "run").agg(F.array_sort(F.collect_list("_pair")).alias("_carried"))
 
